@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import consensus, quantiles, ranking, topn
+from . import consensus, leakage, pairs, quantiles, ranking, topn, truncation
 from .base import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,56 @@ def p6_finalist_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = a.join(b, ["run_id", "cross_judge", "item_id", "dim_name"])
     within = (F.abs(F.col("ga") - F.col("gb")) <= 1).cast("double")
     return pairs.groupBy("run_id").agg(F.round(F.max("agreement_rate"), 9).alias("agreement_rate"), F.count("*").alias("n_pairs"), F.round(F.avg(within), 9).alias("within_one"))
+
+
+# --- 8: evaluation texts leaking into training text
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "test_items", "item_id", "text"))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@query("p8_leaked_items")
+def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test items leaked, into how many documents and how far at most."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("share").alias("greatest_share"))
+
+
+# --- 4: text cut off by field limits
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "completions", "call_id", "source", "text")
+    r = read(spark, sf_dir, "results", "call_id", "source", "output").withColumnRenamed("output", "text")
+    return c.unionByName(r)
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(_texts(spark, sf_dir)).filter("cut").select("call_id")
+
+
+@query("p4_by_source")
+def p4_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.by_source(truncation.truncated(_texts(spark, sf_dir)))
+
+
+@query("p4_limits")
+def p4_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec = truncation.records(_texts(spark, sf_dir))
+    return truncation.limits(rec).select("source", "encoding", "length", "n_texts", "n_cut", F.round("expected", 6).alias("expected"))
+
+
+# --- 5: broken prompt and response pairs
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = read(spark, sf_dir, "results", "call_id", "prompt", "output", "lang")
+    j = read(spark, sf_dir, "judge_results", "call_id", F.col("message").alias("prompt"), "output", F.lit(None).cast("string").alias("lang"))
+    return pairs.defects(r.unionByName(j), pairs.learn(r))
