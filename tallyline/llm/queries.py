@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import consensus, leakage, pairs, quantiles, ranking, topn, truncation
+from . import consensus, leakage, packing, pairs, quantiles, ranking, reading, topn, truncation
 from .base import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,3 +228,39 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = read(spark, sf_dir, "results", "call_id", "prompt", "output", "lang")
     j = read(spark, sf_dir, "judge_results", "call_id", F.col("message").alias("prompt"), "output", F.lit(None).cast("string").alias("lang"))
     return pairs.defects(r.unionByName(j), pairs.learn(r))
+
+
+# --- 7: filling fixed-capacity containers
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = packing.token_counts(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return packing.fill(tokens, read(spark, sf_dir, "containers", "container_kind", "capacity_tokens"))
+
+
+@query("p7_containers")
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filled(spark, sf_dir)
+
+
+@query("p7_summary")
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.summary(_filled(spark, sf_dir))
+
+
+# --- 9: reading level of each document
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reader = reading.train(read(spark, sf_dir, "reading_anchors"))
+    return reading.levels(read(spark, sf_dir, "documents", "doc_id", "text"), reader).select("doc_id", "level")
+
+
+@query("p9_by_source")
+def p9_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How demanding each source is: prose documents, mean score and the share of each level."""
+    reader = reading.train(read(spark, sf_dir, "reading_anchors"))
+    got = reading.levels(read(spark, sf_dir, "documents", "doc_id", "text", F.element_at(F.split("source", "/"), 1).alias("source")), reader, "source")
+    shares = [F.round(F.avg((F.col("level") == k).cast("double")), 6).alias(f"level_{k}") for k in range(1, reading.LEVELS + 1)]
+    return got.groupBy("source").agg(F.count("*").alias("n_docs"), F.round(F.avg("score"), 6).alias("mean_score"), *shares)
