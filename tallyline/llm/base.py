@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_table(df: DataFrame) -> DataFrame:
+    """Like durable(), as a compressed table of columns: for results that are large or read more than once.
+
+    The table lies in a folder of its own below the checkpoint folder and is left there, since frames
+    made from it may still be read; whoever owns the checkpoint folder empties it.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def valid_number(c: Column) -> Column:
     """Neither null nor NaN."""
     return c.isNotNull() & ~F.isnan(c)

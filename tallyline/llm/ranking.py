@@ -26,41 +26,51 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable
+from .base import durable, durable_table
 
 FIELD = 0.25
 SELF = 0.25
 ITERATIONS = 100
 TOLERANCE = 1e-9
-#: Directed pairs that one task may hold for a set; sets with more are scaled by joins.
+#: Rows of counts that one task may hold for a set; sets with more are scaled by joins.
 EDGES_IN_MEMORY = 400_000
+SALTS = 16
 
 
-def votes(verdicts: DataFrame) -> DataFrame:
-    """Valid votes, each verdict_id once: set_id, judge, a, b, vote in (1, 2, tie).
+def pair_counts(verdicts: DataFrame) -> DataFrame:
+    """Votes folded to set_id, judge, a, b (a shown first), first, second, tie: partial counts, several rows a pair.
 
-    ``better`` counts with blanks and case aside. Left out: other values, rows without two different
-    run_ids, without set_id or verdict_id. Of several rows of one verdict_id the earliest counts.
+    ``better`` counts with blanks and case aside. Left out: values that are no vote, rows without two
+    different run_ids, without set_id or verdict_id. Rows of one verdict_id and pair count once (of
+    different votes the smallest). One shuffle: by set, pair and a salt from the verdict_id, so
+    that rows of one verdict_id meet and a hot pair is split; both aggregations stay in its partitions.
     """
     v = verdicts.select(
-        "verdict_id", "set_id", "judge", "created_at", F.get("arm_ids", F.lit(0)).alias("a"), F.get("arm_ids", F.lit(1)).alias("b"),
-        F.size("arm_ids").alias("n_arms"), F.lower(F.trim("better")).alias("vote"),
+        "verdict_id", "set_id", F.coalesce("judge", F.lit("")).alias("judge"), F.get("arm_ids", F.lit(0)).alias("a"), F.get("arm_ids", F.lit(1)).alias("b"),
+        F.size("arm_ids").alias("n_arms"), F.lower(F.trim("better")).alias("vote"), F.pmod(F.xxhash64("verdict_id"), F.lit(SALTS)).alias("salt"),
     )
     v = v.filter(F.col("vote").isin("1", "2", "tie") & (F.col("n_arms") == 2) & (F.col("a") != F.col("b")) & F.col("set_id").isNotNull() & F.col("verdict_id").isNotNull())
-    once = v.groupBy("verdict_id").agg(F.min(F.struct("created_at", "set_id", "judge", "a", "b", "vote")).alias("x"))
-    return once.select("x.set_id", "x.judge", "x.a", "x.b", "x.vote")
+    vote = F.when(F.col("vote") == "tie", 3).otherwise(F.col("vote").cast("int"))
+    v = v.select("set_id", "a", "b", "salt", "judge", "verdict_id", vote.alias("vote")).repartition("set_id", "a", "b", "salt")
+    once = v.groupBy("set_id", "a", "b", "salt", "judge", "verdict_id").agg(F.min("vote").alias("vote"))
+    hits = lambda x: F.sum((F.col("vote") == x).cast("double"))
+    return once.groupBy("set_id", "a", "b", "salt", "judge").agg(hits(1).alias("first"), hits(2).alias("second"), hits(3).alias("tie")).drop("salt")
 
 
-def win_matrix(v: DataFrame) -> DataFrame:
-    """Weighted wins set_id, i, j, w (i beat j), each judge's lean to a side taken out."""
-    hits = lambda x: F.sum((F.col("vote") == x).cast("double"))
-    pairs = v.groupBy("set_id", "judge", "a", "b").agg(hits("1").alias("first"), hits("2").alias("second"), hits("tie").alias("tie"))
-    pairs = durable(pairs.withColumn("judge", F.coalesce("judge", F.lit(""))))
-    lean = pairs.groupBy("judge").agg(F.sqrt((F.sum("first") + 5) / (F.sum("second") + 5)).alias("lean"))
-    p = pairs.join(lean, "judge")
-    first = (F.col("first") + F.col("tie") / 2) / F.col("lean")
-    second = (F.col("second") + F.col("tie") / 2) * F.col("lean")
-    both = p.select("set_id", F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j"), first.alias("w")), F.struct(F.col("b").alias("i"), F.col("a").alias("j"), second.alias("w")))).alias("e"))
+def leanings(pairs: DataFrame) -> DataFrame:
+    """judge, lean: the root of the odds that this judge prefers what is shown first."""
+    return pairs.groupBy("judge").agg(F.sqrt((F.sum("first") + 5) / (F.sum("second") + 5)).alias("lean"))
+
+
+def weighted(pairs: DataFrame) -> DataFrame:
+    """set_id, a, b, wa, wb: wins of a and of b, ties halved, each judge's lean to a side taken out."""
+    p = pairs.join(leanings(pairs), "judge")
+    return p.select("set_id", "a", "b", ((F.col("first") + F.col("tie") / 2) / F.col("lean")).alias("wa"), ((F.col("second") + F.col("tie") / 2) * F.col("lean")).alias("wb"))
+
+
+def win_matrix(w: DataFrame) -> DataFrame:
+    """set_id, i, j, w (i beat j) of weighted pairs."""
+    both = w.select("set_id", F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j"), F.col("wa").alias("w")), F.struct(F.col("b").alias("i"), F.col("a").alias("j"), F.col("wb").alias("w")))).alias("e"))
     return both.groupBy("set_id", F.col("e.i").alias("i"), F.col("e.j").alias("j")).agg(F.sum("e.w").alias("w"))
 
 
@@ -81,14 +91,14 @@ def scale(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
     return now - now.mean()
 
 
-def _in_memory(edges: DataFrame) -> DataFrame:
+def _in_memory(pairs: DataFrame) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, codes = np.unique(np.concatenate([pdf["i"].to_numpy(str), pdf["j"].to_numpy(str)]), return_inverse=True)
-        k = len(pdf)
-        s = scale(codes[:k], codes[k:], pdf["w"].to_numpy(float), len(names))
+        names, codes = np.unique(np.concatenate([pdf["a"].to_numpy(str), pdf["b"].to_numpy(str)]), return_inverse=True)
+        a, b = codes[: len(pdf)], codes[len(pdf) :]
+        s = scale(np.r_[a, b], np.r_[b, a], np.r_[pdf["wa"].to_numpy(float), pdf["wb"].to_numpy(float)], len(names))
         return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "run_id": names, "strength": np.exp(s)})
 
-    return edges.groupBy("set_id").applyInPandas(one, "set_id string, run_id string, strength double")
+    return pairs.groupBy("set_id").applyInPandas(one, "set_id string, run_id string, strength double")
 
 
 def _by_joins(edges: DataFrame, iterations: int = ITERATIONS, tolerance: float = 1e-6) -> DataFrame:
@@ -119,17 +129,18 @@ def _by_joins(edges: DataFrame, iterations: int = ITERATIONS, tolerance: float =
 def strengths(verdicts: DataFrame, edges_in_memory: int = EDGES_IN_MEMORY) -> DataFrame:
     """set_id, run_id, strength (geometric mean 1 in a set): odds of a over b are strength a : strength b.
 
-    See votes() for what counts. Contestants without any valid vote are absent, an empty
-    table gives an empty result, repeated rows count once. Votes are folded to weighted win counts
-    before they are gathered by set; a set with more directed pairs than ``edges_in_memory`` is never
+    See pair_counts() for what counts. Contestants without any valid vote are absent, an empty
+    table gives an empty result, repeated rows count once. Votes are folded to counts before they
+    are gathered by set; a set with more than ``edges_in_memory`` rows of counts is never
     gathered but scaled by joins.
     """
-    edges = durable(win_matrix(votes(verdicts)))
-    sizes = edges.groupBy("set_id").agg(F.count("*").alias("n"))
+    pairs = durable_table(pair_counts(verdicts))
+    w = weighted(pairs)
+    sizes = pairs.groupBy("set_id").agg(F.count("*").alias("n"))
     most = sizes.agg(F.max("n")).first()[0] or 0
     if most <= edges_in_memory:
-        return _in_memory(edges)
+        return _in_memory(w)
     sizes = durable(sizes)
-    small = edges.join(sizes.filter(F.col("n") <= edges_in_memory), "set_id", "left_semi")
-    large = edges.join(sizes.filter(F.col("n") > edges_in_memory), "set_id", "left_semi")
-    return _in_memory(small).unionByName(_by_joins(large))
+    small = w.join(sizes.filter(F.col("n") <= edges_in_memory), "set_id", "left_semi")
+    large = w.join(sizes.filter(F.col("n") > edges_in_memory), "set_id", "left_semi")
+    return _in_memory(small).unionByName(_by_joins(win_matrix(large)))
