@@ -76,6 +76,25 @@ def _p2_sql(key: str, source: str = _P2_ONCE) -> str:
     SELECT {key}, measure, max(n) AS n, 0.0::DOUBLE AS max_rank_error, {pick} FROM r GROUP BY {key}, measure"""
 
 
+_P2_GROUPS = {"config_id": "config_id", "dataset_id": "dataset_id", "day": "day::VARCHAR", "config_id|day": "config_id || '|' || day::VARCHAR"}
+
+
+def _p2_all_sql() -> str:
+    parts = " UNION ALL ".join(f"SELECT '{name}' AS grouping, {key} AS group_key, measure, x FROM good" for name, key in _P2_GROUPS.items())
+    body = _p2_sql("grouping, group_key", _P2_ONCE.replace("good AS", "good0 AS") + ", good AS (" + parts.replace("FROM good", "FROM good0") + ")")
+    return body
+
+
+@query("p2_percentiles", _p2_all_sql())
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By config, by dataset, by day and by config and day, from one pass over the table."""
+    day = F.col("day").cast("string")
+    keys = {"config_id": F.col("config_id"), "dataset_id": F.col("dataset_id"), "day": day, "config_id|day": F.concat("config_id", F.lit("|"), day)}
+    groups = F.explode(F.array(*(F.struct(F.lit(k).alias("grouping"), v.alias("group_key")) for k, v in keys.items()))).alias("g")
+    long = _predictions_once(spark, sf_dir).select(groups, *MEASURES).select("g.grouping", "g.group_key", *MEASURES)
+    return quantiles.percentiles(long, ["grouping", "group_key"], MEASURES, PS)
+
+
 @query("p2_by_config", _p2_sql("config_id"))
 def p2_by_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(_predictions_once(spark, sf_dir), ["config_id"], MEASURES, PS)
