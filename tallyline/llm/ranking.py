@@ -35,6 +35,8 @@ TOLERANCE = 1e-9
 #: Rows of counts that one task may hold for a set; sets with more are scaled by joins.
 EDGES_IN_MEMORY = 400_000
 SALTS = 16
+#: Judges whose leanings are broadcast; one judge may have a third of all votes, so votes are not shuffled by judge below that.
+JUDGES_IN_MEMORY = 20_000
 
 
 def pair_counts(verdicts: DataFrame) -> DataFrame:
@@ -64,7 +66,11 @@ def leanings(pairs: DataFrame) -> DataFrame:
 
 def weighted(pairs: DataFrame) -> DataFrame:
     """set_id, a, b, wa, wb: wins of a and of b, ties halved, each judge's lean to a side taken out."""
-    p = pairs.join(leanings(pairs), "judge")
+    lean = leanings(pairs)
+    known = lean.limit(JUDGES_IN_MEMORY + 1).collect()
+    if len(known) <= JUDGES_IN_MEMORY:  # else by an ordinary join
+        lean = F.broadcast(pairs.sparkSession.createDataFrame([(r["judge"], r["lean"]) for r in known], "judge string, lean double"))
+    p = pairs.join(lean, "judge")
     return p.select("set_id", "a", "b", ((F.col("first") + F.col("tie") / 2) / F.col("lean")).alias("wa"), ((F.col("second") + F.col("tie") / 2) * F.col("lean")).alias("wb"))
 
 
