@@ -22,3 +22,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return keep
+
+
+from . import rollups, selections, statistics  # noqa: E402, F401
