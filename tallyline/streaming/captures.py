@@ -9,9 +9,12 @@ from ..operators.filters import outside, sampled
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """The files of a folder as a stream with ``at`` as event time; the schema is read once, from the files."""
+    """The files of a folder, or one file, as a stream with ``at`` as event time; the schema is read once, from the files.
+
+    The path goes in as a glob that matches itself: a stream takes a plain path for a folder.
+    """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def deduplicated(stream: DataFrame, key: str, delay: str) -> DataFrame:
