@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 _PUNCT = re.compile(r"[^\w\s]|_")
 _BLANK = re.compile(r"\s+")
+_COMMA = re.compile(r",\s*([\]}])")
 
 
 def normalize(text: str | None) -> str | None:
@@ -132,7 +133,9 @@ def entities(text: str | None) -> list[dict] | None:
         return None
     at = text.find("[")
     while at >= 0:
-        for body in (text[at:], re.sub(r",\s*([\]}])", r"\1", text[at:]), re.sub(r"(?<=[{\[,:\s])'|'(?=[}\],:])", '"', text[at:])):
+        body = text[at:]
+        quoted = re.sub(r"(?<=[{\[,:\s])'|'(?=[}\],:])", '"', body)
+        for body in (body, _COMMA.sub(r"\1", body), quoted, _COMMA.sub(r"\1", quoted)):
             try:
                 value, _ = json.JSONDecoder().raw_decode(body)
             except ValueError:

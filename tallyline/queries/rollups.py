@@ -405,9 +405,9 @@ def winners(spark, d):
     return rk.argmax_set(series(facts(spark, d, "overlap_f1"), "overlap_f1"), ["dataset_id", "item_id"], "config_id", "value").withColumn("share", F.round("share", 9))
 
 
-@query("rk_14_running", q("SELECT kind, day::VARCHAR AS day, round(sum(sum(usd)) OVER (PARTITION BY kind ORDER BY day), 6) AS running FROM e GROUP BY kind, day", _SPEND))
+@query("rk_14_running", q("SELECT kind, day::VARCHAR AS day, round(sum(sum(usd)) OVER (PARTITION BY kind ORDER BY day), 9) AS running FROM e GROUP BY kind, day", _SPEND))
 def running(spark, d):
-    return rk.running_total(_spend(spark, d), ["kind"], "day", "usd").select("kind", F.col("day").cast("string").alias("day"), F.round("running", 6).alias("running"))
+    return rk.running_total(_spend(spark, d), ["kind"], "day", "usd").select("kind", F.col("day").cast("string").alias("day"), F.round("running", 9).alias("running"))
 
 
 @query("rk_15_newest", "SELECT doc_id FROM documents WHERE created_at IS NOT NULL ORDER BY created_at DESC, doc_id DESC LIMIT (SELECT round_even(count(created_at) * 0.2, 0)::BIGINT FROM documents)")
