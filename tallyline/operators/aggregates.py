@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's r; null where either side has no spread (ST-23)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def run_scores(long: DataFrame, digits: int = 6) -> DataFrame:
     """Mean of every metric of a run over the rows that carry it, and the sums of cost and tokens (AG-1)."""
     total = F.when(F.col("metric").isin("cost_usd", "tokens_in", "tokens_out"), F.round(F.sum("value"), 8))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import parsers as ps
 from ..functions import text as tx
 from ..operators import agreement as agr
-from ..operators.ranks import midrank
+from ..operators.aggregates import correlation
 from ..plans.frames import table
 from . import query
 from .rollups import _LAB, grades
@@ -98,10 +98,10 @@ def kept_verdicts(spark, d):
     return j.groupBy("judge").agg(F.count("*").alias("n"), F.round(F.avg((F.col("l") == F.col("r")).cast("double")), 9).alias("kept"))
 
 
-@query("st_33_judge_agreement", f"""WITH {_LAB}, {_TWO}, m AS (SELECT ja, jb, run_id, avg(a) AS a, avg(b) AS b FROM t GROUP BY 1, 2, 3) SELECT ja, jb, count(*) AS n_runs, round(avg(abs(a - b)), 6) AS mean_diff, round(corr(a, b), 6) AS r FROM m GROUP BY 1, 2 HAVING count(*) >= 3""")
+@query("st_33_judge_agreement", f"""WITH {_LAB}, {_TWO}, m AS (SELECT ja, jb, run_id, avg(a) AS a, avg(b) AS b FROM t GROUP BY 1, 2, 3) SELECT ja, jb, count(*) AS n_runs, round(avg(abs(a - b)), 6) AS mean_diff, round(CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END, 6) AS r FROM m GROUP BY 1, 2 HAVING count(*) >= 3""")
 def judge_agreement(spark, d):
     m = _two(spark, d).groupBy("ja", "jb", "run_id").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
-    return m.groupBy("ja", "jb").agg(F.count("*").alias("n_runs"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mean_diff"), F.round(F.corr("a", "b"), 6).alias("r")).filter("n_runs >= 3")
+    return m.groupBy("ja", "jb").agg(F.count("*").alias("n_runs"), F.round(F.avg(F.abs(F.col("a") - F.col("b"))), 6).alias("mean_diff"), F.round(correlation("a", "b"), 6).alias("r")).filter("n_runs >= 3")
 
 
 @query("st_34_majority", f"WITH {_LAB}, c AS (SELECT run_id, item_id, dim, grade, count(*) AS n FROM g WHERE grade BETWEEN 1 AND 5 GROUP BY ALL), m AS (SELECT *, max(n) OVER (PARTITION BY run_id, item_id, dim) AS top, FROM c) SELECT run_id, item_id, dim, any_value(grade) AS grade, any_value(n) AS n FROM m WHERE n = top AND n >= 2 GROUP BY 1, 2, 3 HAVING count(*) = 1")
@@ -114,12 +114,12 @@ def majority(spark, d):
 
 
 @query("st_35_leave_one_out", f"""WITH {_LAB}, x AS (SELECT judge, run_id, item_id, dim, grade, (sum(grade) OVER w - grade) / (count(*) OVER w - 1) AS rest, count(*) OVER w AS k FROM g WHERE grade BETWEEN 1 AND 5 WINDOW w AS (PARTITION BY run_id, item_id, dim))
-SELECT judge, count(*) AS n, round(corr(grade, rest), 6) AS r, round(avg(abs(grade - rest)), 6) AS mean_error FROM x WHERE k >= 3 GROUP BY 1""")
+SELECT judge, count(*) AS n, round(CASE WHEN stddev_pop(grade) > 0 AND stddev_pop(rest) > 0 THEN corr(grade, rest) END, 6) AS r, round(avg(abs(grade - rest)), 6) AS mean_error FROM x WHERE k >= 3 GROUP BY 1""")
 def leave_one_out(spark, d):
     """Each judge against the mean of the others."""
     w = Window.partitionBy("run_id", "item_id", "dim")
     x = grades(spark, d).filter(F.col("grade").between(1, 5)).withColumn("k", F.count("*").over(w)).withColumn("rest", (F.sum("grade").over(w) - F.col("grade")) / (F.col("k") - 1)).filter("k >= 3")
-    return x.groupBy("judge").agg(F.count("*").alias("n"), F.round(F.corr("grade", "rest"), 6).alias("r"), F.round(F.avg(F.abs(F.col("grade") - F.col("rest"))), 6).alias("mean_error"))
+    return x.groupBy("judge").agg(F.count("*").alias("n"), F.round(correlation("grade", "rest"), 6).alias("r"), F.round(F.avg(F.abs(F.col("grade") - F.col("rest"))), 6).alias("mean_error"))
 
 
 @query("sf_27_won_from", f"WITH {_VOTES} SELECT set_id, item_id, arm, round(avg(w), 9) AS won FROM (SELECT set_id, item_id, a AS arm, CASE vote WHEN '1' THEN 1 WHEN 'tie' THEN 0.5 ELSE 0 END AS w FROM v UNION ALL SELECT set_id, item_id, b, CASE vote WHEN '2' THEN 1 WHEN 'tie' THEN 0.5 ELSE 0 END FROM v) GROUP BY 1, 2, 3")

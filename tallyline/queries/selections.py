@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import filters, joins
 from ..plans.frames import MEASURES, facts, long_scores, number, series, sql, table
@@ -70,7 +71,8 @@ def unknown_items(spark, d):
 def page(spark, d):
     """Rows [100, 150) of a split in key order: the offset is found with a top-k, not a global sort."""
     first = table(spark, d, "documents").select("doc_id", "lang", "n_chars").orderBy("doc_id").limit(150)
-    return first.orderBy(F.desc("doc_id")).limit(50)
+    place = F.row_number().over(Window.orderBy("doc_id"))  # over the 150 rows alone
+    return first.withColumn("place", place).filter("place > 100").drop("place")
 
 
 @query("sc_17_latest_run", """WITH r AS (SELECT dataset_id, config_id, run_id, max(created_at) AS last_at FROM predictions GROUP BY ALL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import leaderboard as lb
 from ..operators import paired as pr
-from ..operators.aggregates import exact_percentiles
+from ..operators.aggregates import correlation, exact_percentiles
 from ..operators.joins import paired
 from ..plans.frames import facts, series, sql
 from . import query
@@ -187,23 +187,23 @@ def proportion(spark, d):
 _CORR = "m AS (SELECT dataset_id, item_id, avg(overlap_f1) AS x, avg(tokens_out) AS y FROM f WHERE overlap_f1 IS NOT NULL AND tokens_out IS NOT NULL GROUP BY 1, 2)"
 
 
-@query("st_23_pearson", q("SELECT dataset_id, count(*) AS n, round(corr(x, y), 6) AS r, round(tanh(atanh(corr(x, y)) - 1.96 / sqrt(count(*) - 3)), 6) AS low, round(tanh(atanh(corr(x, y)) + 1.96 / sqrt(count(*) - 3)), 6) AS high FROM m GROUP BY 1 HAVING count(*) > 3", _CORR))
+@query("st_23_pearson", q("SELECT dataset_id, count(*) AS n, round(corr(x, y), 6) AS r, round(tanh(atanh(corr(x, y)) - 1.96 / sqrt(count(*) - 3)), 6) AS low, round(tanh(atanh(corr(x, y)) + 1.96 / sqrt(count(*) - 3)), 6) AS high FROM m GROUP BY 1 HAVING count(*) > 3 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0", _CORR))
 def pearson(spark, d):
     """With Fisher's interval (ST-50)."""
     m = facts(spark, d, "overlap_f1", "tokens_out").filter("overlap_f1 IS NOT NULL AND tokens_out IS NOT NULL").groupBy("dataset_id", "item_id").agg(F.avg("overlap_f1").alias("x"), F.avg("tokens_out").alias("y"))
-    c = m.groupBy("dataset_id").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r")).filter("n > 3")
+    c = m.groupBy("dataset_id").agg(F.count("*").alias("n"), correlation("x", "y").alias("r")).filter("n > 3 AND r IS NOT NULL")
     low, high = pr.fisher(F.col("r"), F.col("n"))
     return c.select("dataset_id", "n", F.round("r", 6).alias("r"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("st_24_spearman", q("""SELECT dataset_id, round(corr(rx, ry), 6) AS rho FROM (SELECT dataset_id, rank() OVER (PARTITION BY dataset_id ORDER BY x) + (count(*) OVER (PARTITION BY dataset_id, x) - 1) / 2.0 AS rx,
+@query("st_24_spearman", q("""SELECT dataset_id, round(CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END, 6) AS rho FROM (SELECT dataset_id, rank() OVER (PARTITION BY dataset_id ORDER BY x) + (count(*) OVER (PARTITION BY dataset_id, x) - 1) / 2.0 AS rx,
 rank() OVER (PARTITION BY dataset_id ORDER BY y) + (count(*) OVER (PARTITION BY dataset_id, y) - 1) / 2.0 AS ry FROM (SELECT dataset_id, item_id, round(x, 9) AS x, round(y, 9) AS y FROM m)) GROUP BY 1""", _CORR))
 def spearman(spark, d):
     from ..operators.ranks import midrank
 
     m = facts(spark, d, "overlap_f1", "tokens_out").filter("overlap_f1 IS NOT NULL AND tokens_out IS NOT NULL").groupBy("dataset_id", "item_id").agg(F.round(F.avg("overlap_f1"), 9).alias("x"), F.round(F.avg("tokens_out"), 9).alias("y"))
     r = m.select("dataset_id", midrank(["dataset_id"], F.asc("x"), "x").alias("rx"), midrank(["dataset_id"], F.asc("y"), "y").alias("ry"))
-    return r.groupBy("dataset_id").agg(F.round(F.corr("rx", "ry"), 6).alias("rho"))
+    return r.groupBy("dataset_id").agg(F.round(correlation("rx", "ry"), 6).alias("rho"))
 
 
 @query("st_48_spread", q("SELECT dataset_id, config_id, round(max(m) - min(m), 9) AS spread FROM (SELECT dataset_id, config_id, run_id, avg(overlap_f1) AS m FROM f WHERE overlap_f1 IS NOT NULL GROUP BY ALL) GROUP BY 1, 2 HAVING count(*) > 1"))
@@ -231,12 +231,12 @@ def hypothesis(spark, d):
     return x.select("dataset_id", "config_id", pr.agreement_with_hypothesis(F.lit("better"), F.col("delta"), low, s).alias("better"), pr.agreement_with_hypothesis(F.lit("no worse"), F.col("delta"), low, s).alias("no_worse"))
 
 
-@query("st_49_price_slope", q("""SELECT dataset_id, count(*) AS n, round(regr_slope(quality, log10(cost)), 6) AS slope, round(corr(quality, log10(cost)), 6) AS r FROM pts WHERE cost > 0 AND quality IS NOT NULL GROUP BY 1 HAVING count(*) >= 3""", _PTS))
+@query("st_49_price_slope", q("""SELECT dataset_id, count(*) AS n, round(regr_slope(quality, log10(cost)), 6) AS slope, round(corr(quality, log10(cost)), 6) AS r FROM pts WHERE cost > 0 AND quality IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(cost) > 0 AND stddev_pop(quality) > 0""", _PTS))
 def price_slope(spark, d):
     """Quality for ten times the cost, over arms that cost something."""
     f = facts(spark, d, "overlap_f1", "cost_usd")
     p = f.groupBy("dataset_id", "config_id").agg(F.round(F.avg("overlap_f1"), 9).alias("quality"), F.round(F.sum("cost_usd"), 9).alias("cost")).filter("cost > 0 AND quality IS NOT NULL")
-    return p.groupBy("dataset_id").agg(F.count("*").alias("n"), F.round(F.regr_slope("quality", F.log10("cost")), 6).alias("slope"), F.round(F.corr("quality", F.log10("cost")), 6).alias("r")).filter("n >= 3")
+    return p.groupBy("dataset_id").agg(F.count("*").alias("n"), F.round(F.try_divide(F.covar_pop("quality", F.log10("cost")), F.var_pop(F.log10("cost"))), 6).alias("slope"), F.round(correlation("quality", F.log10("cost")), 6).alias("r")).filter("n >= 3 AND r IS NOT NULL")
 
 
 @query("st_51_r_p_value")
@@ -247,7 +247,7 @@ def r_p_value(spark, d):
     def p(r: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([pr.r_p_value(a, int(b)) for a, b in zip(r, n, strict=True)], dtype="float64")
 
-    return m.groupBy("dataset_id").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n")).select("dataset_id", "r", "n", p("r", "n").alias("p"))
+    return m.groupBy("dataset_id").agg(correlation("x", "y").alias("r"), F.count("*").alias("n")).select("dataset_id", "r", "n", p("r", "n").alias("p"))
 
 
 @query("st_52_percentile_rank", q("""SELECT dataset_id, config_id, round((rank() OVER (PARTITION BY dataset_id ORDER BY mu) - 1 + 0.5 * (count(*) OVER (PARTITION BY dataset_id, mu) - 1)) / nullif(count(*) OVER (PARTITION BY dataset_id) - 1, 0), 9) AS pct_rank
