@@ -105,7 +105,7 @@ def grade_labels(item_scores: DataFrame) -> DataFrame:
     or judge give no label.
     """
     x = item_scores.select("score_id", "run_id", "item_id", "judge", "created_at", F.map_entries("per_dimension").alias("d"))
-    x = x.filter(F.size("d") > 0).groupBy("score_id").agg(F.min_by(F.struct("run_id", "item_id", "judge", "d"), "created_at").alias("x"))
+    x = x.filter(F.size("d") > 0).groupBy("score_id").agg(F.min_by(F.struct("run_id", "item_id", "judge", "d"), F.coalesce("created_at", F.lit("9999-12-31").cast("timestamp"))).alias("x"))
     x = x.select("x.run_id", "x.item_id", "x.judge", F.explode("x.d").alias("e"))
     x = x.select("run_id", "item_id", F.lower(F.trim("e.key")).alias("dim_name"), "judge", F.col("e.value").alias("grade"))
     return x.filter(F.col("grade").between(1, GRADES) & F.col("judge").isNotNull() & F.col("dim_name").isNotNull())

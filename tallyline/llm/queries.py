@@ -56,7 +56,8 @@ def _predictions_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pred_id once, as logged last (rows of one pred_id and logged_at are taken to be alike), with its day."""
     p = read(spark, sf_dir, "predictions", "pred_id", "config_id", "dataset_id", "created_at", "logged_at", *MEASURES)
     keys = ["pred_id", "config_id", "dataset_id", F.to_date("created_at").alias("day")]
-    return p.groupBy(*keys).agg(*(F.max_by(m, "logged_at").alias(m) for m in MEASURES))
+    at = F.coalesce("logged_at", F.lit("0001-01-01").cast("timestamp"))
+    return p.groupBy(*keys).agg(*(F.max_by(m, at).alias(m) for m in MEASURES))
 
 
 _P2_ONCE = """
@@ -105,9 +106,9 @@ def p2_by_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.percentiles(_predictions_once(spark, sf_dir), ["dataset_id"], MEASURES, PS)
 
 
-@query("p2_by_day", _p2_sql("day"))
+@query("p2_by_day", _p2_sql("day", _P2_ONCE.replace("created_at::DATE", "created_at::DATE::VARCHAR")))
 def p2_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantiles.percentiles(_predictions_once(spark, sf_dir), ["day"], MEASURES, PS)
+    return quantiles.percentiles(_predictions_once(spark, sf_dir).withColumn("day", F.col("day").cast("string")), ["day"], MEASURES, PS)
 
 
 @query("p2_days_combined", _p2_sql("config_id"))
