@@ -30,7 +30,8 @@ def facts(spark: SparkSession, sf_dir: str, *measures: str) -> DataFrame:
     """
     wanted = list(measures) or [*MEASURES, "resumed"]
     p = table(spark, sf_dir, "predictions").select(*KEYS, "logged_at", *wanted)
-    return p.groupBy(*KEYS).agg(*(number(F.max_by(m, "logged_at")).alias(m) for m in wanted))
+    at = F.coalesce("logged_at", F.lit("0001-01-01").cast("timestamp"))
+    return p.groupBy(*KEYS).agg(*(number(F.max_by(m, at)).alias(m) for m in wanted))
 
 
 def long_scores(df: DataFrame, measures: list[str] | None = None) -> DataFrame:

@@ -308,7 +308,7 @@ _LAB = """once AS (SELECT * FROM item_scores QUALIFY row_number() OVER (PARTITIO
 
 def grades(spark, d):
     """run_id, item_id, judge, dim, grade with each score_id once."""
-    x = table(spark, d, "item_scores").groupBy("score_id").agg(F.min_by(F.struct("run_id", "item_id", "judge", "per_dimension"), "created_at").alias("x"))
+    x = table(spark, d, "item_scores").groupBy("score_id").agg(F.min_by(F.struct("run_id", "item_id", "judge", "per_dimension"), F.coalesce("created_at", F.lit("9999-12-31").cast("timestamp"))).alias("x"))
     return x.select("x.run_id", "x.item_id", "x.judge", F.explode(F.map_entries("x.per_dimension")).alias("e")).select("run_id", "item_id", "judge", F.lower("e.key").alias("dim"), F.col("e.value").alias("grade"))
 
 
