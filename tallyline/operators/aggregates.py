@@ -75,8 +75,8 @@ def per_class(pairs: DataFrame, gold: str = "gold", pred: str = "pred") -> DataF
 def class_summary(pairs: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Accuracy, macro-F1 over all gold labels, share unparsed, worst class (AG-8)."""
     a = pairs.agg(F.count("*").alias("n"), F.round(F.avg(F.col(gold).eqNullSafe(F.col(pred)).cast("int")), 9).alias("accuracy"), F.round(F.avg(F.col(pred).isNull().cast("int")), 9).alias("unparsed"))
-    c = per_class(pairs, gold, pred).agg(F.round(F.avg("f1"), 9).alias("macro_f1"), F.min(F.struct("f1", "label")).getField("label").alias("worst_class"))
-    return a.join(F.broadcast(c), F.lit(True))
+    c = per_class(pairs, gold, pred).agg(F.round(F.avg("f1"), 9).alias("macro_f1"), F.min(F.struct("f1", "label")).getField("label").alias("worst_class")).first()
+    return a.select("*", F.lit(c["macro_f1"]).cast("double").alias("macro_f1"), F.lit(c["worst_class"]).cast("string").alias("worst_class"))
 
 
 def confusion(pairs: DataFrame, labels: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:

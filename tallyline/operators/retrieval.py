@@ -13,20 +13,19 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def index(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (word, doc_id, f, n: length) and words (word, idf): counted with map-side combine, nothing is collected.
+    """Postings (word, doc_id, f, n: length) and words (word, idf): counted with map-side combine; only three numbers of the corpus go to the driver.
 
     A negative idf becomes EPSILON times the mean idf of all words.
     """
     words = documents.select("doc_id", F.explode(tokens(F.col("text"))).alias("word"))
     tf = words.groupBy("doc_id", "word").agg(F.count("*").alias("f"))
     lengths = documents.select("doc_id", F.size(tokens(F.col("text"))).alias("n"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_len"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(stats), F.lit(True))
-    raw = df.select("word", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    floor = raw.agg((EPSILON * F.avg("idf")).alias("floor"))
-    idf = raw.join(F.broadcast(floor), F.lit(True)).select("word", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    postings = tf.join(lengths, "doc_id").join(F.broadcast(stats.select("avg_len")), F.lit(True))
-    return postings, idf
+    n_docs, avg_len = lengths.agg(F.count("*"), F.avg("n")).first()
+    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    raw = df.select("word", (F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    floor = EPSILON * (raw.agg(F.avg("idf")).first()[0] or 0.0)
+    idf = raw.select("word", F.when(F.col("idf") < 0, F.lit(floor)).otherwise(F.col("idf")).alias("idf"))
+    return tf.join(lengths, "doc_id").withColumn("avg_len", F.lit(float(avg_len or 1.0))), idf
 
 
 def bm25(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -196,12 +196,13 @@ def period_bounds(spark, d):
 
 @query("cv_10i_orders_in_periods", "WITH x AS (SELECT max(o_orderdate)::DATE AS t, min(o_orderdate)::DATE AS f FROM orders), b AS (" + " UNION ALL ".join(f"SELECT '{k}' AS period, ({a})::DATE AS since, ({b})::DATE AS until FROM x" for k, (a, b, _, _) in _BOUNDS.items()) + "), o AS (SELECT o_orderdate::DATE AS day, count(*) AS n, sum(o_totalprice) AS usd FROM orders GROUP BY 1) SELECT period, sum(n)::BIGINT AS n, round(sum(usd), 2) AS usd FROM o JOIN b ON day BETWEEN since AND until GROUP BY 1")
 def in_periods(spark, d):
-    """Daily totals first, then the ten periods over the days."""
+    """Daily totals first; every day then goes to the periods it lies in, whose bounds are computed once."""
     o = table(spark, d, "orders")
-    x = o.agg(F.to_date(F.max("o_orderdate")).alias("t"), F.to_date(F.min("o_orderdate")).alias("f"))
-    p = periods.table(x, "t", F.col("t"), F.col("f")).select("period", "since", "until")
+    today, first = o.agg(F.to_date(F.max("o_orderdate")), F.to_date(F.min("o_orderdate"))).first()
+    at = [F.struct(F.lit(k).alias("period"), *(c.alias(n) for c, n in zip(periods.bounds(k, F.lit(today), F.lit(first))[:2], ("since", "until"), strict=True))) for k in periods.KEYS]
     days = o.groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("usd"))
-    return days.join(F.broadcast(p), F.col("day").between(F.col("since"), F.col("until"))).groupBy("period").agg(F.sum("n").alias("n"), F.round(F.sum("usd"), 2).alias("usd"))
+    x = days.select("day", "n", "usd", F.explode(F.array(*at)).alias("p")).filter(F.col("day").between(F.col("p.since"), F.col("p.until")))
+    return x.groupBy("p.period").agg(F.sum("n").alias("n"), F.round(F.sum("usd"), 2).alias("usd"))
 
 
 @query("cv_11_search", "SELECT 'arm' AS kind, config_id AS name FROM predictions WHERE contains(lower(config_id), 'opal') GROUP BY 2 UNION ALL SELECT 'dataset', dataset_id FROM predictions WHERE contains(lower(dataset_id), 'opal') GROUP BY 2 UNION ALL SELECT 'set', set_id FROM verdicts WHERE contains(lower(set_id), 'opal') GROUP BY 2 UNION ALL SELECT 'run', run_id FROM run_candidates WHERE contains(lower(run_id), 'opal') GROUP BY 2")

@@ -184,9 +184,9 @@ def default_metric(spark, d):
 def bookkeeping(spark, d):
     """Of the stored columns, those that are metrics; replayed rows counted beside."""
     cols = spark.createDataFrame([(c,) for c in ("resumed", "self_family_gap", "overlap_f1", "latency_ms", "cost_usd", "tokens_out")], "metric string")
-    n = cols.filter(~filters.bookkeeping(F.col("metric"))).agg(F.count("*").cast("int").alias("n_metrics"))
+    n = cols.filter(~filters.bookkeeping(F.col("metric"))).count()
     p = table(spark, d, "predictions").select("pred_id", "config_id", "resumed").distinct()
-    return p.groupBy("config_id").agg(F.sum(F.when(F.col("resumed") == 1, 1).otherwise(0)).alias("n_resumed")).join(F.broadcast(n), F.lit(True))
+    return p.groupBy("config_id").agg(F.sum(F.when(F.col("resumed") == 1, 1).otherwise(0)).alias("n_resumed")).withColumn("n_metrics", F.lit(n))
 
 
 @query("fi_15_ambiguous", """WITH r AS (SELECT DISTINCT dataset_id, config_id, run_id FROM predictions)
