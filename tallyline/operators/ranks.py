@@ -52,12 +52,15 @@ def collapsed(text: Column) -> Column:
 def promote(df: DataFrame, group: str, score: str, ident: str, top: int, floor: float, cap: int, terms: tuple[str, ...] = ()) -> DataFrame:
     """Of every group the ``top`` best at or above floor x leader, at most ``cap`` over all, and whatever holds a term (RK-7).
 
-    Equal scores go by ``ident``. Columns: group, ident, score, reason (top, override). A cap needs one order over
-    the promoted rows only, found as a top-k.
+    Equal scores go by ``ident``. Columns: group, ident, score, reason (top, override). The filter on the rank lets every
+    partition cut a group to ``top`` rows before it is gathered, so that a large group costs no more than a small
+    one; the leader is then sought among those rows. A cap needs one order over the promoted rows only, found as a top-k.
     """
     w = Window.partitionBy(group).orderBy(F.desc(score), ident)
-    r = df.select(group, ident, score).withColumn("rank", F.row_number().over(w)).withColumn("leader", F.first(score).over(w))
-    good = r.filter((F.col("rank") <= top) & (F.col(score) >= floor * F.col("leader"))).orderBy(F.desc(score), ident).limit(cap).select(group, ident, score, F.lit("top").alias("reason"))
+    r = df.select(group, ident, score)
+    best = r.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    best = best.withColumn("leader", F.max(score).over(Window.partitionBy(group)))
+    good = best.filter(F.col(score) >= floor * F.col("leader")).orderBy(F.desc(score), ident).limit(cap).select(group, ident, score, F.lit("top").alias("reason"))
     if not terms:
         return good
     hit = F.lit(False)

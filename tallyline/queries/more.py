@@ -113,10 +113,11 @@ def subset_ranks(spark, d):
     return m.select("dataset_id", "config_id", rk.midrank(["dataset_id"], F.desc("mu"), "mu").alias("rank"))
 
 
-@query("rk_6_missing_last", "SELECT run_id, primary_score, row_number() OVER (ORDER BY CASE WHEN isnan(primary_score) THEN NULL ELSE primary_score END DESC NULLS LAST, run_id) AS position FROM (SELECT run_id, max(CASE WHEN isnan(primary_score) THEN NULL ELSE primary_score END) AS primary_score FROM run_candidates WHERE stratum = 'arm_base' GROUP BY 1)")
+@query("rk_6_missing_last", "SELECT run_id, primary_score, row_number() OVER (ORDER BY CASE WHEN isnan(primary_score) THEN NULL ELSE primary_score END DESC NULLS LAST, run_id) AS position FROM (SELECT run_id, max(CASE WHEN isnan(primary_score) THEN NULL ELSE primary_score END) AS primary_score FROM run_candidates WHERE stratum = 'arm_base' GROUP BY 1) QUALIFY position <= 200")
 def missing_last(spark, d):
     r = table(spark, d, "run_candidates").filter("stratum = 'arm_base'").groupBy("run_id").agg(F.max(F.when(~F.isnan("primary_score"), F.col("primary_score"))).alias("primary_score"))
-    return r.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("primary_score"), "run_id")))
+    top = r.orderBy(F.desc_nulls_last("primary_score"), "run_id").limit(200)
+    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("primary_score"), "run_id")))  # over the 200 rows alone
 
 
 @query("rk_11_latest_rescore", "SELECT stratum, run_id, arg_max(primary_score, (filed_at, primary_score)) AS primary_score FROM run_candidates WHERE stratum IS NOT NULL AND primary_score IS NOT NULL AND NOT isnan(primary_score) AND filed_at IS NOT NULL GROUP BY 1, 2")
