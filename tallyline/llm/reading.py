@@ -110,26 +110,52 @@ class Lexicon:
         self.grade = {k: (total[k] + mean) / (n[k] + 1) for k in n if n[k] >= 2}
 
 
+_KNOWN: dict[str, tuple[int, int]] = {}
+
+
+def _word(w: str) -> tuple[int, int]:
+    """Letters and syllables of a word, kept for the next time (up to a bound)."""
+    v = _KNOWN.get(w)
+    if v is None:
+        v = len(w), len(_VOWELS.findall(w)) or 1
+        if len(_KNOWN) < 300_000:
+            _KNOWN[w] = v
+    return v
+
+
+def _spread(x: list, mean: float) -> float:
+    return math.sqrt(sum((v - mean) ** 2 for v in x) / len(x))
+
+
+def _at(x: list, q: float) -> float:
+    """Quantile of a sorted list, between its neighbours."""
+    pos = q * (len(x) - 1)
+    i = int(pos)
+    return x[i] + (x[min(i + 1, len(x) - 1)] - x[i]) * (pos - i)
+
+
 def features(said: list[str], lang: str, lexicon: Lexicon) -> list[float]:
     """One value for each of NAMES."""
-    tokens = [_WORD.findall(s) for s in said]
-    tokens = [t for t in tokens if t] or [["x"]]
-    flat = [w.lower() for t in tokens for w in t]
-    n = len(flat)
-    sizes = np.array([len(t) for t in tokens], dtype=float)
-    chars = np.array([len(w) for w in flat], dtype=float)
-    syl = np.array([len(_VOWELS.findall(w)) or 1 for w in flat], dtype=float)
-    grades = [g for w in flat if (g := lexicon.grade.get((lang, w)))]
+    tokens = [t for s in said if (t := _WORD.findall(s.lower()))] or [["x"]]
+    flat = [w for t in tokens for w in t]
+    n, m = len(flat), len(tokens)
+    sizes = sorted(len(t) for t in tokens)
+    known = [_word(w) for w in flat]
+    info = np.array(known)
+    chars, syl = info[:, 0], info[:, 1]
+    get = lexicon.grade.get
+    grades = [g for w in flat if (g := get((lang, w)))]
     commas = sum(len(_COMMA.findall(s)) for s in said)
-    sets = [set(w.lower() for w in t if len(w) > 4) for t in tokens]
+    sets = [{w for w in t if len(w) > 4} for t in tokens]
     overlap = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:])]
     window = flat[:100]
-    s_mean, c_mean = sizes.mean(), chars.mean()
+    s_mean, c_mean = n / m, float(chars.mean())
+    over6 = np.count_nonzero(chars > 6) / n
     return [
-        s_mean, float(np.median(sizes)), float(np.percentile(sizes, 90)), sizes.std(), c_mean, chars.std(), (chars > 6).mean(), (chars > 8).mean(), (chars > 11).mean(), (chars < 4).mean(),
-        syl.mean(), (syl >= 4).mean(), float(np.mean(grades)) if grades else 3.0, float(np.mean([g >= 3.7 for g in grades])) if grades else 0.3, len(set(window)) / len(window),
-        commas / len(tokens), commas / n, s_mean + 100 * (chars > 6).mean(), 4.71 * c_mean + 0.5 * s_mean, float(np.mean(overlap)) if overlap else 0.0, 1 - len(set(flat)) / n,
-        (sizes <= 8).mean(), (sizes >= 22).mean(),
+        s_mean, _at(sizes, 0.5), _at(sizes, 0.9), _spread(sizes, s_mean), c_mean, float(chars.std()), over6, np.count_nonzero(chars > 8) / n, np.count_nonzero(chars > 11) / n, np.count_nonzero(chars < 4) / n,
+        float(syl.mean()), np.count_nonzero(syl >= 4) / n, sum(grades) / len(grades) if grades else 3.0, sum(g >= 3.7 for g in grades) / len(grades) if grades else 0.3, len(set(window)) / len(window),
+        commas / m, commas / n, s_mean + 100 * over6, 4.71 * c_mean + 0.5 * s_mean, sum(overlap) / len(overlap) if overlap else 0.0, 1 - len(set(flat)) / n,
+        sum(v <= 8 for v in sizes) / m, sum(v >= 22 for v in sizes) / m,
     ]
 
 
