@@ -38,12 +38,13 @@ def plain(rows):
     """Rows as sorted tuples of comparable texts; numbers to six places."""
     import math
 
+    import numpy as np
     import pandas as pd
 
     def one(x):
         if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
             return "null"
-        if isinstance(x, bool) or type(x).__name__ == "bool_":
+        if isinstance(x, bool | np.bool_):
             return str(bool(x))
         if hasattr(x, "__float__") and not isinstance(x, str):
             return repr(round(float(x), 6) + 0.0)
