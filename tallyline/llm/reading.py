@@ -39,7 +39,6 @@ _QUOTE = re.compile(r"^\s*(?:>\s*)+")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _VOWELS = re.compile(r"[aeiouyäöüàâéèêëîïôûùáíóúœæ]+")
-_COMMA = re.compile(r"[,;:]")
 
 
 def sentences(text: str | None) -> tuple[list[str], float]:
@@ -134,9 +133,13 @@ def _at(x: list, q: float) -> float:
     return x[i] + (x[min(i + 1, len(x) - 1)] - x[i]) * (pos - i)
 
 
-def features(said: list[str], lang: str, lexicon: Lexicon) -> list[float]:
+def tokenized(said: list[str]) -> tuple[list[list[str]], int]:
+    """The words of every sentence in lower case, and the commas and their like."""
+    return [t for s in said if (t := _WORD.findall(s.lower()))] or [["x"]], sum(s.count(",") + s.count(";") + s.count(":") for s in said)
+
+
+def features(tokens: list[list[str]], commas: int, lang: str, lexicon: Lexicon) -> list[float]:
     """One value for each of NAMES."""
-    tokens = [t for s in said if (t := _WORD.findall(s.lower()))] or [["x"]]
     flat = [w for t in tokens for w in t]
     n, m = len(flat), len(tokens)
     sizes = sorted(len(t) for t in tokens)
@@ -145,7 +148,6 @@ def features(said: list[str], lang: str, lexicon: Lexicon) -> list[float]:
     chars, syl = info[:, 0], info[:, 1]
     get = lexicon.grade.get
     grades = [g for w in flat if (g := get((lang, w)))]
-    commas = sum(len(_COMMA.findall(s)) for s in said)
     sets = [{w for w in t if len(w) > 4} for t in tokens]
     overlap = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:])]
     window = flat[:100]
@@ -277,7 +279,7 @@ class Reader:
         for _, lang, level, text in anchors:
             said, _ = sentences(text)
             lexicon = self.lexicon
-            rows.append(features(said, lang, lexicon))
+            rows.append(features(*tokenized(said), lang, lexicon))
             langs.append(lang)
             y.append(level)
             for _ in range(resampled):
@@ -287,7 +289,7 @@ class Reader:
                     s = said[int(rng.integers(len(said)))]
                     some.append(s)
                     n += len(s.split())
-                rows.append(features(some, lang, lexicon))
+                rows.append(features(*tokenized(some), lang, lexicon))
                 langs.append(lang)
                 y.append(level)
         return np.array(rows), langs, np.array(y, dtype=float)
@@ -308,10 +310,20 @@ class Reader:
         """Scores of texts given as sentences, on the scale of the levels."""
         if not texts:
             return np.zeros(0)
-        lang = [self.languages.language(" ".join(t)) or "" for t in texts]
-        raw = np.array([features(t, k, self.lexicon) for t, k in zip(texts, lang, strict=True)])
+        cut = [tokenized(t) for t in texts]
+        lang = [self._language(tokens) for tokens, _ in cut]
+        raw = np.array([features(*t, k, self.lexicon) for t, k in zip(cut, lang, strict=True)])
         return self.trees.predict(self._scaled(raw, lang))
 
+    def _language(self, tokens: list[list[str]]) -> str:
+        """The language that the words speak for, or none."""
+        get = self.languages.words.get
+        found = [v for t in tokens for w in t if (v := get(w))]
+        if not found:
+            return ""
+        sums = [sum(x) for x in zip(*found, strict=True)]
+        return self.languages.order[max(range(len(sums)), key=sums.__getitem__)]
+
     def level(self, score: np.ndarray) -> np.ndarray:
         return 1 + np.searchsorted(self.cuts, score)
 
