@@ -328,22 +328,27 @@ class Reader:
         return 1 + np.searchsorted(self.cuts, score)
 
 
-def train(anchors: DataFrame) -> Reader:
-    """Trains on at most MAX_ANCHORS rows of ``anchors`` (anchor_id, lang, level, text), those of the lowest ids."""
+def train(anchors: DataFrame) -> Reader | None:
+    """Trains on at most MAX_ANCHORS rows of ``anchors`` (anchor_id, lang, level, text), those of the lowest ids; None without any."""
     rows = anchors.filter("text IS NOT NULL AND lang IS NOT NULL AND level BETWEEN 1 AND 5").orderBy("anchor_id").limit(MAX_ANCHORS).collect()
-    return Reader([(r["anchor_id"], r["lang"], r["level"], r["text"]) for r in rows])
+    rows = [(r["anchor_id"], r["lang"], r["level"], r["text"]) for r in rows if sentences(r["text"])[0]]
+    return Reader(rows) if rows else None
 
 
 def is_prose(share: float, said: list[str]) -> bool:
     return share >= 0.6 and bool(said)
 
 
-def levels(documents: DataFrame, reader: Reader, *keep: str) -> DataFrame:
+def levels(documents: DataFrame, reader: Reader | None, *keep: str) -> DataFrame:
     """doc_id, level and score of every document of ``documents`` (doc_id, text) that is prose and has at least 60 words.
 
     Words count between blanks, over the whole text; null, empty, short and other texts (logs, tables,
-    settings, code, JSON lines) are absent. Columns in ``keep`` are passed on. Texts stay where they are.
+    settings, code, JSON lines) are absent; without a reader all are. Columns in ``keep`` are passed on. Texts stay
+    where they are.
     """
+    schema = "doc_id long, level int, score double" + "".join(f", `{k}` string" for k in keep)
+    if reader is None:
+        return documents.sparkSession.createDataFrame([], schema)
     src = documents.select("doc_id", "text", *(F.col(k).cast("string").alias(k) for k in keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,4 +365,4 @@ def levels(documents: DataFrame, reader: Reader, *keep: str) -> DataFrame:
                 part = b.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(reader.level(s).astype(np.int32)), pa.array(s), *part.columns[2:]], names=["doc_id", "level", "score", *keep])
 
-    return src.mapInArrow(run, "doc_id long, level int, score double" + "".join(f", `{k}` string" for k in keep))
+    return src.mapInArrow(run, schema)
