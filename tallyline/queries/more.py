@@ -380,6 +380,96 @@ def judging(spark, d):
     return _votes(spark, d).groupBy("set_id").agg(F.count("*").alias("n"), F.countDistinct("judge").alias("judges"), F.countDistinct("item_id").alias("items"), F.round(F.avg((F.col("vote") == "tie").cast("double")), 9).alias("ties"))
 
 
+_AXES = "ax AS (SELECT config_id, metric, count(*) AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM long WHERE metric IN ('overlap_f1', 'cost_usd', 'latency_ms') GROUP BY 1, 2)"
+
+
+def _axes(spark, d):
+    from ..operators.aggregates import exact_percentiles
+
+    long = long_scores(facts(spark, d, "overlap_f1", "cost_usd", "latency_ms"), ["overlap_f1", "cost_usd", "latency_ms"])
+    return exact_percentiles(long, ["config_id", "metric"], "value", {"p50": 0.5, "p95": 0.95})
+
+
+@query("st_39_axes", q("SELECT config_id, metric, n, round(mean, 9) AS mean, round(p50, 6) AS p50, round(p95, 6) AS p95, CASE metric WHEN 'overlap_f1' THEN mean >= 0.6 WHEN 'latency_ms' THEN p95 <= 4000 END AS within FROM ax", _AXES))
+def axes(spark, d):
+    """Quality, cost and speed of every arm: mean, median, 95th percentile, and whether the axis is within its limit (none for cost)."""
+    m = F.col("metric")
+    within = F.when(m == "overlap_f1", F.col("mean") >= 0.6).when(m == "latency_ms", F.col("p95") <= 4000)
+    return _axes(spark, d).select("config_id", "metric", "n", F.round("mean", 9).alias("mean"), F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), within.alias("within"))
+
+
+@query("st_43_ratios", q("SELECT a.config_id, a.metric, round(a.mean / nullif(b.mean, 0), 6) AS ratio FROM ax a JOIN ax b USING (metric) WHERE b.config_id = 'arm_base'", _AXES))
+def ratios(spark, d):
+    """Every axis of every arm as a multiple of the baseline's."""
+    x = _axes(spark, d)
+    b = x.filter(F.col("config_id") == BASE).select("metric", F.col("mean").alias("base"))
+    return x.join(b, "metric").select("config_id", "metric", F.round(F.try_divide("mean", F.when(F.col("base") != 0, F.col("base"))), 6).alias("ratio"))
+
+
+@query("st_36_items")
+def items_test(spark, d):
+    """Two judges' mean grades tested over the runs that both graded."""
+    g = grades(spark, d).filter(F.col("grade").between(1, 5) & F.col("judge").isin("rater_03", "rater_01"))
+    s = g.groupBy(F.lit("grades").alias("dataset_id"), F.col("judge").alias("config_id"), F.concat_ws("|", "run_id", "item_id").alias("item_id")).agg(F.round(F.avg("grade"), 9).alias("value"))
+    return pr.compare(s, "rater_01")
+
+
+@query("ds_20_latest_scoring", "SELECT run_id, stratum, count(*) AS n_filings, arg_max(primary_score, (filed_at, primary_score)) AS current, count(DISTINCT primary_score) > 1 AS rescored FROM run_candidates WHERE stratum IS NOT NULL AND filed_at IS NOT NULL AND primary_score IS NOT NULL AND NOT isnan(primary_score) GROUP BY 1, 2")
+def latest_scoring(spark, d):
+    r = table(spark, d, "run_candidates").filter("stratum IS NOT NULL AND filed_at IS NOT NULL AND primary_score IS NOT NULL AND NOT isnan(primary_score)")
+    return r.groupBy("run_id", "stratum").agg(F.count("*").alias("n_filings"), F.max(F.struct("filed_at", "primary_score")).getField("primary_score").alias("current"), (F.min("primary_score") != F.max("primary_score")).alias("rescored"))
+
+
+@query("cv_10c_references", q("SELECT dataset_id, reference, count(*) AS n_arms FROM ref GROUP BY 1, 2", _REF))
+def reference_view(spark, d):
+    a = table(spark, d, "predictions").groupBy("dataset_id", "config_id").agg(F.when(F.max(_repeat()) % 2 == 0, "silver").otherwise("gold").alias("reference"))
+    return a.groupBy("dataset_id", "reference").agg(F.count("*").alias("n_arms"))
+
+
+@query("cv_10d_metric", q("SELECT dataset_id, count(*) AS n_arms, arg_min(config_id, (-mu, config_id)) AS best FROM (SELECT dataset_id, config_id, round(avg(value), 9) AS mu FROM series GROUP BY 1, 2) GROUP BY 1"))
+def metric_view(spark, d):
+    m = _series(spark, d).groupBy("dataset_id", "config_id").agg(F.round(F.avg("value"), 9).alias("mu"))
+    return m.groupBy("dataset_id").agg(F.count("*").alias("n_arms"), F.min(F.struct((-F.col("mu")).alias("k"), "config_id")).getField("config_id").alias("best"))
+
+
+@query("cv_10e_arm", q("SELECT dataset_id, metric, count(DISTINCT run_id) AS n_runs, round(avg(value), 9) AS mean FROM long WHERE config_id = 'opal_m' GROUP BY 1, 2"))
+def arm_view(spark, d):
+    x = long_scores(facts(spark, d, *MEASURES)).filter("config_id = 'opal_m'")
+    return x.groupBy("dataset_id", "metric").agg(F.countDistinct("run_id").alias("n_runs"), F.round(F.avg("value"), 9).alias("mean"))
+
+
+@query("cv_10h_item", q("SELECT s.config_id, s.value, round(s.value - b.value, 9) AS delta FROM series s LEFT JOIN (SELECT item_id, value FROM series WHERE config_id = 'arm_base') b USING (item_id) WHERE s.item_id = 'elver_qa_0007'"))
+def item_view(spark, d):
+    """One item as every arm has it, against the baseline."""
+    s = series(facts(spark, d, "overlap_f1").filter("item_id = 'elver_qa_0007'"), "overlap_f1")
+    b = s.filter(F.col("config_id") == BASE).select("item_id", F.col("value").alias("b"))
+    return s.join(b, "item_id", "left").select("config_id", "value", F.round(F.col("value") - F.col("b"), 9).alias("delta"))
+
+
+@query("cv_10l_labels", f"WITH {_LAB} SELECT judge, dim, count(*) AS n, count(DISTINCT item_id) AS items, round(avg(grade), 9) AS mean FROM g WHERE grade BETWEEN 1 AND 5 GROUP BY 1, 2")
+def labels_view(spark, d):
+    return grades(spark, d).filter(F.col("grade").between(1, 5)).groupBy("judge", "dim").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("items"), F.round(F.avg("grade"), 9).alias("mean"))
+
+
+@query("cv_10n_months", q("SELECT dataset_id, date_trunc('month', created_at)::DATE::VARCHAR AS month, count(DISTINCT run_id) AS runs, round(sum(cost_usd), 8) AS usd FROM f GROUP BY 1, 2"))
+def months(spark, d):
+    f = facts(spark, d, "cost_usd")
+    return f.groupBy("dataset_id", F.trunc("created_at", "month").cast("string").alias("month")).agg(F.countDistinct("run_id").alias("runs"), F.round(F.sum("cost_usd"), 8).alias("usd"))
+
+
+@query("ud_8_corpus_metrics", f"WITH p AS (SELECT split_part(source, '/', 1) AS grp, lower(lang) AS gold, CASE WHEN regexp_matches(lower(text), ' (der|die|das|und|den) ') THEN 'de' WHEN regexp_matches(lower(text), ' (le|les|des|une|dans) ') THEN 'fr' WHEN regexp_matches(lower(text), ' (el|los|una|por|del) ') THEN 'es' WHEN regexp_matches(lower(text), ' (the|and|of|for) ') THEN 'en' END AS pred FROM documents WHERE lang IS NOT NULL) SELECT grp, round(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0 END), 9) AS accuracy FROM p GROUP BY 1")
+def corpus_metrics(spark, d):
+    from ..sources.plugins import corpus_metrics as of
+    from .rollups import RULES
+
+    x = F.lower("text")
+    c = None
+    for k, v in RULES.items():
+        c = F.when(x.rlike(v), k) if c is None else c.when(x.rlike(v), k)
+    t = table(spark, d, "documents").filter("lang IS NOT NULL").select(F.element_at(F.split("source", "/"), 1).alias("kind"), F.lower("lang").alias("gold"), c.alias("pred"))
+    return of(t, "kind", "gold", "pred", ["accuracy"]).withColumn("accuracy", F.round("accuracy", 9))
+
+
 # --- checks
 
 

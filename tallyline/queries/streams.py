@@ -62,3 +62,8 @@ def sessions(spark, d):
     """Sessions of users, closed by four hours of silence: how many of each length."""
     x = cap.sessions(_events(spark, d), ["user_id"], "4 hours")
     return cap.run_once(x, _folder(spark), "complete").groupBy("user_id", "n").agg(F.count("*").alias("n_sessions"))
+
+
+@query("ss_4_log", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def log(spark, d):
+    return cap.append_log(_events(spark, d), _folder(spark), ["user_id"], "at", ["event_id", "event_type"])

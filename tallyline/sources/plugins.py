@@ -1,4 +1,4 @@
-"""Plug-ins: a JSON-lines data source for Spark, scorers by name, systems and judges as functions (UD-1 to UD-9)."""
+"""Plug-ins: a JSON-lines data source for Spark, scorers, corpus metrics, systems and judges as functions (UD-1, UD-2, UD-3, UD-6, UD-8, UD-9)."""
 
 from __future__ import annotations
 
@@ -103,3 +103,32 @@ def _default(output: Column, reference: Column) -> dict[str, Column]:
 
 
 register(Scorer("overlap", _default, "overlap_f1", {"output_words": "descriptive"}, {"overlap_f1": "higher"}))
+
+
+def accuracy(cells: dict[tuple[str, str | None], int]) -> float:
+    return sum(n for (g, p), n in cells.items() if g == p) / sum(cells.values())
+
+
+def macro_f1(cells: dict[tuple[str, str | None], int]) -> float:
+    """Over the gold labels; a null prediction is none."""
+    labels = {g for g, _ in cells}
+    total = 0.0
+    for x in labels:
+        tp = cells.get((x, x), 0)
+        both = sum(n for (g, _), n in cells.items() if g == x) + sum(n for (_, p), n in cells.items() if p == x)
+        total += 2 * tp / both
+    return total / len(labels)
+
+
+CORPUS: dict[str, Callable[[dict], float]] = {"accuracy": accuracy, "macro_f1": macro_f1}
+
+
+def corpus_metrics(df: DataFrame, by: str, gold: str, pred: str, names: list[str]) -> DataFrame:
+    """Metrics of whole corpora by group (UD-8): functions of the counts of (gold, predicted), so that a group's rows are folded before any function sees them."""
+    cells = df.filter(F.col(gold).isNotNull()).groupBy(F.col(by).cast("string").alias("grp"), F.col(gold).alias("g"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = {(g, p if isinstance(p, str) else None): int(n) for g, p, n in zip(pdf["g"], pdf["p"], pdf["n"], strict=True)}
+        return pd.DataFrame([[pdf["grp"].iloc[0], *(float(CORPUS[m](c)) for m in names)]], columns=["grp", *names])
+
+    return cells.groupBy("grp").applyInPandas(one, "grp string, " + ", ".join(f"{m} double" for m in names))

@@ -21,3 +21,9 @@ def answer(df: DataFrame) -> DataFrame:
 def write_sheet(df: DataFrame, path: str, fill: tuple[str, ...] = ()) -> None:
     """A CSV sheet with empty columns to fill in (SK-3)."""
     df.select("*", *(F.lit("").alias(c) for c in fill)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_report(finalists: DataFrame, promoted: DataFrame, path: str) -> None:
+    """Finalists and the promotion summary as JSON lines beside each other (SK-4)."""
+    finalists.write.mode("overwrite").json(f"{path}/finalists")
+    promoted.write.mode("overwrite").json(f"{path}/promotions")

@@ -60,3 +60,9 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
         w = stream.writeStream.foreachBatch(replace).outputMode(mode)
     w.option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def append_log(stream: DataFrame, folder: str, keys: list[str], order: str, keep: list[str]) -> DataFrame:
+    """A log that only grows, read as the last state of each key (SS-4)."""
+    log = run_once(stream.select(*keys, order, *keep), folder)
+    return log.groupBy(*keys).agg(F.max(F.struct(order, *keep)).alias("m")).select(*keys, *(f"m.{k}" for k in keep))

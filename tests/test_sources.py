@@ -73,3 +73,11 @@ def test_a_second_run_of_a_stream_adds_nothing(spark, tmp_path):
     assert run() == 1 and run() == 1
     spark.sql("SELECT 2L AS event_id, timestamp_ntz'2026-01-01 11:00:00' AS ts, 2.0D AS value").write.mode("append").parquet(str(src))
     assert run() == 2
+
+
+def test_corpus_metrics_and_report(spark, tmp_path):
+    df = spark.createDataFrame([("x", "A", "A"), ("x", "A", "B"), ("x", "B", "B"), ("x", "B", "B"), ("y", "A", None), ("y", None, "A")], "k string, gold string, pred string")
+    got = {r["grp"]: (r["accuracy"], r["macro_f1"]) for r in plugins.corpus_metrics(df, "k", "gold", "pred", ["accuracy", "macro_f1"]).collect()}
+    assert got["x"] == (0.75, pytest.approx((2 / 3 + 0.8) / 2)) and got["y"] == (0.0, 0.0)
+    sinks.write_report(df, df.limit(1), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r/finalists")).count() == 6
