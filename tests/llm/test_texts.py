@@ -202,7 +202,7 @@ def test_held_out_anchors(reader):
 @pytest.mark.parametrize(("text", "prose"), [
     ("# Head\n\nThe list reads the key.\nIt is short. " * 9, True), ("- The list reads the key now\n" * 9, True), ("2026-01-01 10:00:00 INFO eval.run n=4\n" * 9, False), ("| a | b |\n|---|---|\n" + "| x | 1 |\n" * 9, False),
     ('{"id": 1, "input": "The list reads the key."}\n' * 9, False), ("model_0: moss_l\n  def f(x): return x[1] + 2\n" * 9, False), ("", False), (None, False),
-    ("The list reads the key. It is short.\n" * 9 + "\n```\nevh run --x\n```\n", True),
+    ("The list reads the key. It is short.\n" * 9 + "\n```\ntool run --x\n```\n", True),
 ])
 def test_prose(text, prose):
     said, share = rd.sentences(text)
