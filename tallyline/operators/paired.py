@@ -50,8 +50,6 @@ def tests(pairs: DataFrame, keys: list[str], table: DataFrame, intervals: bool =
 
     Only pairs of at most DRAWN items are gathered, one test a group; for longer ones the limit comes from the sums.
     """
-    by = pairs.sparkSession
-    del by
     types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", p double, low double, high double"
 
