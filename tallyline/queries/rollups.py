@@ -37,10 +37,10 @@ def repeats(spark, d):
     return m.join(k, "config_id").filter("n_runs = k").drop("k")
 
 
-@query("ag_4_summary", q("SELECT config_id, count(*) AS n, round(avg(latency_ms), 6) AS mean, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95 FROM f WHERE latency_ms IS NOT NULL GROUP BY 1"))
+@query("ag_4_summary", q("SELECT config_id, count(*) AS n, round(avg(latency_ms), 9) AS mean, round(quantile_cont(latency_ms, 0.5), 9) AS p50, round(quantile_cont(latency_ms, 0.95), 9) AS p95 FROM f WHERE latency_ms IS NOT NULL GROUP BY 1"))
 def summary(spark, d):
     x = ag.exact_percentiles(facts(spark, d, "latency_ms"), ["config_id"], "latency_ms", {"p50": 0.5, "p95": 0.95})
-    return x.select("config_id", "n", *(F.round(c, 6).alias(c) for c in ("mean", "p50", "p95")))
+    return x.select("config_id", "n", *(F.round(c, 9).alias(c) for c in ("mean", "p50", "p95")))
 
 
 @query("ag_5_quartiles", """WITH s AS (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE n_chars IS NOT NULL)
