@@ -61,34 +61,68 @@ def _few(spark, d):
     return p.withColumn("i", F.row_number().over(Window.partitionBy("dataset_id", "config_id").orderBy("item_id"))).filter("i <= 12")
 
 
-def _few_p(spark, d):
-    p = _few(spark, d)
+def _tested(p):
     t = pr.delta_table(p, ["dataset_id", "config_id"])
     return t.join(pr.tests(p, ["dataset_id", "config_id"], t, intervals=False), ["dataset_id", "config_id"]).select("dataset_id", "config_id", "n", F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
+def _few_p(spark, d):
+    return _tested(_few(spark, d))
+
+
+def _all_p(spark, d):
+    """Every pair of every dataset and arm: beyond what SQL can enumerate."""
+    return _tested(paired(_series(spark, d), BASE))
+
+
 @query("st_1_exact", q("SELECT dataset_id, config_id, n, round(p, 9) AS p FROM p", _TWELVE))
 def exact(spark, d):
+    """Of the first twelve items alone, as its SQL says; st_1_exact_all takes every item."""
     return _few_p(spark, d).withColumn("p", F.round("p", 9))
 
 
+@query("st_1_exact_all")
+def exact_all(spark, d):
+    return _all_p(spark, d).withColumn("p", F.round("p", 9))
+
+
 _HOLM = _TWELVE + """, h AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY dataset_id) AS m FROM p WINDOW w AS (PARTITION BY dataset_id ORDER BY p, config_id))"""
 
 
 @query("st_3_holm", q("""SELECT dataset_id, config_id, round(0.05 / (m - i), 9) AS threshold, bool_and(p <= 0.05::DOUBLE / (m - i)) OVER (PARTITION BY dataset_id ORDER BY p, config_id ROWS UNBOUNDED PRECEDING) AS significant,
 round(max(least(1.0, p * (m - i))) OVER (PARTITION BY dataset_id ORDER BY p, config_id ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM h""", _HOLM))
 def holm(spark, d):
-    x = pr.holm(_few_p(spark, d), "p", ["dataset_id"], ["config_id"])
+    """Of the first twelve items alone, as its SQL says; st_3_holm_all takes every item."""
+    return _stepped(_few_p(spark, d))
+
+
+@query("st_3_holm_all")
+def holm_all(spark, d):
+    return _stepped(_all_p(spark, d))
+
+
+def _stepped(p):
+    x = pr.holm(p, "p", ["dataset_id"], ["config_id"])
     return x.select("dataset_id", "config_id", F.round("threshold", 9).alias("threshold"), "significant", F.round("p_holm", 9).alias("p_holm"))
 
 
 @query("st_5_bonferroni", q("SELECT dataset_id, config_id, round(least(1.0, p * m), 9) AS p_corrected, p <= 0.05::DOUBLE / m AS significant FROM h", _HOLM))
 def bonferroni(spark, d):
+    """Of the first twelve items alone, as its SQL says; st_5_bonferroni_all takes every item."""
+    return _by_count(_few_p(spark, d))
+
+
+@query("st_5_bonferroni_all")
+def bonferroni_all(spark, d):
+    return _by_count(_all_p(spark, d))
+
+
+def _by_count(p):
     from pyspark.sql.window import Window
 
-    x = _few_p(spark, d).withColumn("m", F.count("*").over(Window.partitionBy("dataset_id")))
-    p, s = pr.bonferroni(F.col("p"), F.col("m"))
-    return x.select("dataset_id", "config_id", F.round(p, 9).alias("p_corrected"), s.alias("significant"))
+    x = p.withColumn("m", F.count("*").over(Window.partitionBy("dataset_id")))
+    corrected, s = pr.bonferroni(F.col("p"), F.col("m"))
+    return x.select("dataset_id", "config_id", F.round(corrected, 9).alias("p_corrected"), s.alias("significant"))
 
 
 @query("st_7_interval", q("""SELECT dataset_id, config_id, round(avg(delta) - (1.959964 + (pow(1.959964, 3) + 1.959964) / (4 * (count(*) - 1))) * stddev_samp(delta) / sqrt(count(*)), 6) AS low,

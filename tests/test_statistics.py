@@ -156,3 +156,32 @@ def test_wilson_and_kendall(spark):
     r = spark.range(1).select(low.alias("l"), high.alias("h"), kendall_tau_b(F.array(*map(F.lit, (1, 2, 3))), F.array(*map(F.lit, (1, 3, 2)))).alias("t"),
                               kendall_tau_b(F.array(*map(F.lit, (1, 1))), F.array(*map(F.lit, (1, 3)))).alias("z")).first()
     assert (r["l"], r["h"]) == (0.4902, 0.9433) and r["t"] == pytest.approx(1 / 3) and r["z"] == 0.0
+
+
+def predictions(spark, folder, rows):
+    """A folder with a predictions table of (config_id, item_id, overlap_f1), all of dataset d."""
+    at = F.lit("2026-01-01").cast("timestamp")
+    df = spark.createDataFrame([(i, f"{c}_r1", c, "d", item, v) for i, (c, item, v) in enumerate(rows)], "pred_id long, run_id string, config_id string, dataset_id string, item_id string, overlap_f1 double")
+    df.withColumn("created_at", at).withColumn("logged_at", at).write.parquet(f"{folder}/predictions.parquet")
+    return str(folder)
+
+
+def test_exact_holm_and_bonferroni_take_every_item(spark, tmp_path):
+    from tallyline.queries import QUERIES
+
+    ids = [f"i{i:02}" for i in range(15)]
+    # Arms that equal the baseline on the first twelve items and differ on the last three, or the other way about.
+    deltas = {"late": [0.0] * 12 + [0.1, 0.2, 0.3], "turns": [0.1] * 10 + [-0.1] * 5, "wins": [round(0.01 * (i + 1), 9) for i in range(15)]}
+    d = predictions(spark, tmp_path, [("arm_base", i, 0.5) for i in ids] + [(a, i, round(0.5 + x, 9)) for a, xs in deltas.items() for i, x in zip(ids, xs)])
+    want = {a: brute(xs) for a, xs in deltas.items()}
+    got = {r["config_id"]: r for r in QUERIES["st_1_exact_all"](spark, d).collect()}
+    assert {a: r["n"] for a, r in got.items()} == dict.fromkeys(deltas, 15)
+    assert {a: r["p"] for a, r in got.items()} == pytest.approx(want, abs=1e-9)
+    places, run, ok = sorted(want, key=lambda a: (want[a], a)), 0.0, True
+    holm = {r["config_id"]: r for r in QUERIES["st_3_holm_all"](spark, d).collect()}
+    for i, a in enumerate(places):
+        run, ok = max(run, min(1.0, want[a] * (3 - i))), ok and want[a] <= 0.05 / (3 - i)
+        assert holm[a]["p_holm"] == pytest.approx(run, abs=1e-9) and holm[a]["significant"] == ok
+    bonferroni = {r["config_id"]: (r["p_corrected"], r["significant"]) for r in QUERIES["st_5_bonferroni_all"](spark, d).collect()}
+    for a, p in want.items():
+        assert bonferroni[a][0] == pytest.approx(min(1.0, 3 * p), abs=1e-9) and bonferroni[a][1] == (p <= 0.05 / 3)
