@@ -120,44 +120,86 @@ def family_test(series: DataFrame, arm: str, permutations: int = sf.PERMUTATIONS
     return holm(got, "p", ["dataset_id"], ["config_id"])
 
 
-def _macro_f1(gold: np.ndarray, pred: np.ndarray, k: int) -> float:
-    tp = np.bincount(gold[gold == pred], minlength=k).astype(float)
-    den = np.bincount(gold, minlength=k) + np.bincount(pred[pred < k], minlength=k)
-    return float(np.where(den > 0, 2 * tp / np.maximum(den, 1), 0.0).mean())
+class _Cells:
+    """Counts of items by cell of labels (gold, a, b), as codes: what a corpus metric of both arms needs of a sample."""
 
+    def __init__(self, gold: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, metric: str) -> None:
+        self.gold, self.arms, self.k, self.metric = gold, (a, b), k, metric
 
-def bootstrap(pairs: DataFrame, metric: str = "macro_f1", draws: int = 5000, seed: int = 7, least_items: int = 10, most_items: int = sf.DRAWN) -> DataFrame:
+    def score(self, x: np.ndarray, c: np.ndarray) -> float:
+        hit = self.gold == x
+        if self.metric != "macro_f1":
+            return float(c[hit].sum() / c.sum())
+        tp = np.bincount(self.gold[hit], c[hit], self.k)
+        den = np.bincount(self.gold, c, self.k) + np.bincount(x[x < self.k], c[x < self.k], self.k)
+        return float(np.where(den > 0, 2 * tp / np.maximum(den, 1), 0.0).mean())
+
+    def delta(self, c: np.ndarray) -> float:
+        return self.score(self.arms[0], c) - self.score(self.arms[1], c)
+
+
+def _picks(rng: random.Random, n: int, count: int) -> np.ndarray:
+    """The next ``count`` values of ``rng.randrange(n)``, n under 2^32, from words of the stream; words that it draws again are passed over."""
+    k, got, left = n.bit_length(), [], count
+    while left:
+        # Each value takes one word at least, so no more than are needed are drawn.
+        words = np.frombuffer(rng.getrandbits(32 * left).to_bytes(4 * left, "little"), dtype="<u4") >> (32 - k)
+        got.append(words[words < n])
+        left -= len(got[-1])
+    return np.concatenate(got)
+
+
+def bootstrap(pairs: DataFrame, metric: str = "macro_f1", draws: int = 5000, seed: int = 7, least_items: int = 10) -> DataFrame:
     """Paired bootstrap of a corpus metric (ST-12): ``pairs`` has opponent, item_id, gold, a and b (the two arms' labels).
 
-    One resample serves both arms. Opponents follow each other on one stream, in order of name; those with under
-    ``least_items`` are left out, and gold that reads as free text (labels for more than half the items) is refused.
-    More than ``most_items`` rows of an opponent are not gathered: they raise.
+    One resample serves both arms. Those with under ``least_items`` are left out, and gold that reads as free text
+    (labels for more than half the items) is refused. Opponents of at most DRAWN items follow each other on one
+    stream of item draws, in order of name. Longer ones are not gathered: their items are counted by cell of labels,
+    and resamples are drawn of the counts, which is the same distribution from a generator of their own.
     """
     sizes = pairs.groupBy("opponent").agg(F.count("*").alias("n"), F.countDistinct("gold").alias("labels"))
     worst = sizes.agg(F.max("n").alias("n"), F.max(F.col("labels") / F.col("n")).alias("share")).first()
-    if (worst["n"] or 0) > most_items:
-        raise ValueError("too many items for a resampled corpus metric: sample the items first")
     if (worst["n"] or 0) >= 4 and (worst["share"] or 0) > 0.5:
         raise ValueError("the gold labels read as free text")
+    names = sorted(r[0] for r in pairs.select("gold").distinct().collect())
+    code = {x: i for i, x in enumerate(names)}
+    k = len(names)
+
+    def coded(g: pd.DataFrame) -> list[np.ndarray]:
+        return [g[c].map(lambda x: code.get(x, k)).to_numpy(int) for c in ("gold", "a", "b")]
+
+    def row(name: str, n: int, cells: _Cells, whole: np.ndarray, samples) -> tuple:
+        ds = np.sort([cells.delta(c) for c in samples])
+        below = float((ds <= 0).mean())
+        return name, n, cells.delta(whole), float(ds[int(0.025 * draws)]), float(ds[min(int(0.975 * draws), draws - 1)]), max(2 * min(below, 1 - below), 1 / draws)
+
+    cols = ["opponent", "n", "delta", "low", "high", "p"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def stream(pdf: pd.DataFrame) -> pd.DataFrame:
         rng, rows = random.Random(seed), []
-        names = sorted(pdf["gold"].unique())
-        code = {x: i for i, x in enumerate(names)}
         for name, g in pdf.groupby("opponent", sort=True):
-            g = g.sort_values("item_id")
-            n = len(g)
-            if n < least_items:
-                continue
-            gold, a, b = (g[c].map(lambda x: code.get(x, len(code))).to_numpy() for c in ("gold", "a", "b"))
-            score = (lambda i, x: _macro_f1(gold[i], x[i], len(code))) if metric == "macro_f1" else (lambda i, x: float((gold[i] == x[i]).mean()))
-            every = np.arange(n)
-            ds = np.sort([score(i, a) - score(i, b) for i in (np.array([rng.randrange(n) for _ in range(n)]) for _ in range(draws))])
-            below = float((ds <= 0).mean())
-            rows.append((name, n, score(every, a) - score(every, b), float(ds[int(0.025 * draws)]), float(ds[min(int(0.975 * draws), draws - 1)]), max(2 * min(below, 1 - below), 1 / draws)))
-        return pd.DataFrame(rows, columns=["opponent", "n", "delta", "low", "high", "p"])
-
-    got = pairs.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "opponent string, n long, delta double, low double, high double, p double")
+            kinds, at = np.unique(np.stack(coded(g.sort_values("item_id"))), axis=1, return_inverse=True)
+            n, at, size = len(g), at.ravel(), kinds.shape[1]
+            samples = (np.bincount(at[_picks(rng, n, n)], minlength=size).astype(float) for _ in range(draws))
+            rows.append(row(name, n, _Cells(*kinds, k, metric), np.bincount(at, minlength=size).astype(float), samples))
+        return pd.DataFrame(rows, columns=cols)
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        kinds, at = np.unique(np.stack(coded(pdf)), axis=1, return_inverse=True)
+        c = np.bincount(at.ravel(), pdf["items"])
+        name, n = pdf["opponent"].iloc[0], int(c.sum())
+        rng = np.random.default_rng([seed, *name.encode()])
+        samples = (rng.multinomial(n, c / n).astype(float) for _ in range(draws))
+        return pd.DataFrame([row(name, n, _Cells(*kinds, k, metric), c, samples)], columns=cols)
+
+    schema = "opponent string, n long, delta double, low double, high double, p double"
+    short = sizes.filter((F.col("n") >= least_items) & (F.col("n") <= sf.DRAWN)).select("opponent")
+    long = sizes.filter((F.col("n") >= least_items) & (F.col("n") > sf.DRAWN)).select("opponent")
+    got = pairs.join(short, "opponent", "left_semi").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(stream, schema)
+    # A label that no gold has counts for none, so that free texts of an arm fall into one cell.
+    known = lambda c: F.when(F.col(c).isin(names), F.col(c)).alias(c)
+    cells = pairs.join(long, "opponent", "left_semi").groupBy("opponent", "gold", known("a"), known("b")).agg(F.count("*").alias("items"))
+    got = got.unionByName(cells.groupBy("opponent").applyInPandas(counted, schema))
     return holm(got.withColumn("one", F.lit(1)), "p", ["one"], ["opponent"]).drop("one")
 
 

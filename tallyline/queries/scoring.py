@@ -73,7 +73,7 @@ def kendall(spark, d):
 def bradley_terry(spark, d):
     v = _votes(spark, d)
     first = F.when(F.col("vote") == "1", 1.0).when(F.col("vote") == "tie", 0.5).otherwise(0.0)
-    return agr.bradley_terry(v.select("set_id", "item_id", "a", "b", first.alias("wa"), (1 - first).alias("wb")), "set_id", resamples=50)
+    return agr.bradley_terry(v.select("set_id", "item_id", "a", "b", first.alias("wa"), (1 - first).alias("wb")), "set_id")
 
 
 @query("st_31_win_matrix", f"WITH {_VOTES} SELECT set_id, arm, opponent, round(sum(w)::DOUBLE, 6) AS wins FROM (SELECT set_id, a AS arm, b AS opponent, CASE vote WHEN '1' THEN 1 WHEN 'tie' THEN 0.5 ELSE 0 END AS w FROM v UNION ALL SELECT set_id, b, a, CASE vote WHEN '2' THEN 1 WHEN 'tie' THEN 0.5 ELSE 0 END FROM v) GROUP BY 1, 2, 3")

@@ -140,12 +140,12 @@ def bootstrap(spark, d):
     from ..plans.frames import table
 
     x = F.lower("text")
-    t = table(spark, d, "documents").filter("lang IS NOT NULL AND doc_id < 400").select(F.col("doc_id").cast("string").alias("item_id"), F.lower("lang").alias("gold"), x.alias("x"))
+    t = table(spark, d, "documents").filter("lang IS NOT NULL").select(F.col("doc_id").cast("string").alias("item_id"), F.lower("lang").alias("gold"), x.alias("x"))
     by = lambda *r: F.coalesce(*(F.when(F.col("x").rlike(p), k) for k, p in r), F.lit("en"))
     a = by(("de", " (der|die|das|und) "), ("fr", " (le|les|des|une) "), ("es", " (el|los|una|por) "))
     arms = {"german": by(("de", " (der|die|das|und) ")), "none": F.lit("en"), "romance": by(("fr", " (le|les|des|une) "), ("es", " (el|los|una|por) "))}
     rows = [t.select(F.lit(k).alias("opponent"), "item_id", "gold", a.alias("a"), v.alias("b")) for k, v in arms.items()]
-    return pr.bootstrap(rows[0].unionByName(rows[1]).unionByName(rows[2]), draws=1000)
+    return pr.bootstrap(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
 
 @query("st_13_significance")
@@ -168,7 +168,7 @@ def holdout(spark, d):
 
 @query("st_21_stability")
 def stability(spark, d):
-    return lb.stability(_series(spark, d), draws=100)
+    return lb.stability(_series(spark, d))
 
 
 _PTS = "pts AS (SELECT dataset_id, config_id, round(avg(overlap_f1), 9) AS quality, round(sum(cost_usd), 9) AS cost, round(avg(latency_ms), 7) AS speed FROM f GROUP BY 1, 2)"

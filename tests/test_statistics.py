@@ -185,3 +185,65 @@ def test_exact_holm_and_bonferroni_take_every_item(spark, tmp_path):
     bonferroni = {r["config_id"]: (r["p_corrected"], r["significant"]) for r in QUERIES["st_5_bonferroni_all"](spark, d).collect()}
     for a, p in want.items():
         assert bonferroni[a][0] == pytest.approx(min(1.0, 3 * p), abs=1e-9) and bonferroni[a][1] == (p <= 0.05 / 3)
+
+
+LABELS = "opponent string, item_id string, gold string, a string, b string"
+
+
+def labelled(opponents, n):
+    rng = random.Random(9)
+    return [(o, f"i{i:03}", g, g if rng.random() < 0.8 else "x", g if rng.random() < r else rng.choice(["x", "y", "other"])) for o, r in opponents for i, g in ((i, rng.choice(["x", "y", "z"])) for i in range(n))]
+
+
+def literal_f1(pairs, labels):
+    f = []
+    for k in labels:
+        tp = sum(g == p == k for g, p in pairs)
+        den = sum(g == k for g, _ in pairs) + sum(p == k for _, p in pairs)
+        f.append(2 * tp / den if den else 0.0)
+    return sum(f) / len(f)
+
+
+def test_bootstrap_of_cells_takes_the_draws_of_the_literal_loop(spark):
+    rows = labelled([("o1", 0.6), ("o2", 0.8)], 37)
+    got = {r["opponent"]: r for r in pr.bootstrap(spark.createDataFrame(rows, LABELS), draws=200).collect()}
+    rng = random.Random(7)
+    for o in ("o1", "o2"):
+        x = sorted(r for r in rows if r[0] == o)
+        delta = lambda idx: literal_f1([(x[i][2], x[i][3]) for i in idx], "xyz") - literal_f1([(x[i][2], x[i][4]) for i in idx], "xyz")  # noqa: B023, E731
+        ds = sorted(delta([rng.randrange(37) for _ in range(37)]) for _ in range(200))
+        assert (got[o]["delta"], got[o]["low"], got[o]["high"]) == pytest.approx((delta(range(37)), ds[5], ds[195]))
+
+
+def test_bootstrap_of_many_items_is_drawn_from_counts(spark, monkeypatch):
+    df = spark.createDataFrame(labelled([("o1", 0.6), ("o2", 0.8)], 300), LABELS)
+    drawn = {r["opponent"]: r for r in pr.bootstrap(df).collect()}
+    monkeypatch.setattr(sf, "DRAWN", 100)
+    counted = {r["opponent"]: r for r in pr.bootstrap(df).collect()}
+    assert drawn.keys() == counted.keys() == {"o1", "o2"}
+    for o, r in drawn.items():
+        assert counted[o]["n"] == 300 and counted[o]["delta"] == pytest.approx(r["delta"])
+        assert (counted[o]["low"], counted[o]["high"]) == pytest.approx((r["low"], r["high"]), abs=0.01)
+        assert counted[o]["p"] == pytest.approx(r["p"], abs=4 * 2 * math.sqrt(2 * 0.25 / 5000))  # four standard errors of the two shares
+
+
+def test_corpus_bootstrap_and_resamples_are_whole(spark):
+    from conftest import DATA, plain
+    from tallyline.plans.frames import facts, series, table
+    from tallyline.queries import QUERIES
+
+    got = QUERIES["st_12_bootstrap"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["n"] for r in got} == {table(spark, "/root/testdata/sf0.01", "documents").filter("lang IS NOT NULL").count()}
+    whole = lb.stability(series(facts(spark, DATA, "overlap_f1"), "overlap_f1"), draws=400)
+    assert plain(QUERIES["st_21_stability"](spark, DATA).collect()) == plain(whole.collect())
+
+
+def test_strengths_take_the_draws_of_the_operator(spark, monkeypatch):
+    from conftest import DATA
+    from tallyline.operators import agreement as agr
+    from tallyline.queries import QUERIES
+
+    seen = []
+    real = agr.bradley_terry
+    monkeypatch.setattr(agr, "bradley_terry", lambda *a, **k: seen.append(k.get("resamples", 200)) or real(*a, **k))
+    assert QUERIES["st_31_bradley_terry"](spark, DATA).count() > 0 and seen == [200]
