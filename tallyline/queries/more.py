@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import heapq
+from hashlib import sha256
+
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -228,13 +234,42 @@ def dedupe(spark, d):
 
 @query("sf_18_random_floor", "SELECT query_id, doc_id FROM (SELECT t.item_id AS query_id, d.doc_id FROM (SELECT item_id FROM test_items WHERE dataset_id = 'brio_topics') t, (SELECT doc_id FROM documents WHERE doc_id % 25 = 0) d) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sha256('floor|' || query_id || '|' || doc_id), doc_id) <= 5")
 def random_floor(spark, d):
-    """A floor for retrieval: five documents a query in an order of hashes, over a pool of stated size. The queries, counted, go to the documents as an array."""
+    """A floor for retrieval: five documents a query in an order of hashes, over the pool that its SQL states; sf_18_random_floor_all takes every document and test item. The queries, counted, go to the documents as an array."""
     names = [r[0] for r in table(spark, d, "test_items").filter("dataset_id = 'brio_topics'").select("item_id").distinct().limit(1000).collect()]
     p = table(spark, d, "documents").filter("doc_id % 25 = 0").select("doc_id", F.explode(F.array(*map(F.lit, sorted(names)))).alias("query_id"))
     h = F.sha2(F.concat_ws("|", F.lit("floor"), "query_id", F.col("doc_id").cast("string")), 256)
     return p.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(h, "doc_id"))).filter("place <= 5").select("query_id", "doc_id")
 
 
+#: So many queries meet the documents in one scan.
+FLOOR_QUERIES = 1000
+
+
+def _first_by_hash(names: list[str], k: int = 5):
+    """Of the doc_ids that a task has, the first k of every query by hash: k rows a query are held, whatever the documents."""
+
+    def run(batches):
+        starts, best = [f"floor|{n}|".encode() for n in names], [[] for _ in names]
+        for batch in batches:
+            docs = [(str(i).encode(), i) for i in batch.column(0).to_pylist()]
+            for q, start in enumerate(starts):
+                best[q] = heapq.nsmallest(k, best[q] + [(sha256(start + t).digest(), i) for t, i in docs])
+        rows = [(n, i, h) for n, kept in zip(names, best, strict=True) for h, i in kept]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["query_id", "doc_id", "h"])
+
+    return run
+
+
+@query("sf_18_random_floor_all", "SELECT query_id, doc_id FROM (SELECT t.item_id AS query_id, d.doc_id FROM (SELECT DISTINCT item_id FROM test_items) t, documents d) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sha256('floor|' || query_id || '|' || doc_id), doc_id) <= 5")
+def random_floor_all(spark, d):
+    """The floor over all documents, for every test item. The queries go to the documents in blocks; each task keeps five a query, and a window picks among those."""
+    names = sorted(r[0] for r in table(spark, d, "test_items").select("item_id").distinct().collect())
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("doc_id"))
+    parts = [docs.mapInArrow(_first_by_hash(names[i : i + FLOOR_QUERIES]), "query_id string, doc_id long, h binary") for i in range(0, len(names), FLOOR_QUERIES)]
+    p = functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id string, doc_id long, h binary")
+    return p.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("h", "doc_id"))).filter("place <= 5").select("query_id", "doc_id")
+
+
 @query("sf_23_item_taus", f"""WITH {_LAB}, x AS (SELECT x.run_id, x.judge AS ja, x.dim, x.item_id, x.grade AS a, y.grade AS b FROM g x JOIN g y USING (run_id, item_id, dim) WHERE x.judge = 'rater_01' AND y.judge = 'rater_02'),
 p AS (SELECT l.run_id, l.dim, sum(sign(l.a - r.a) * sign(l.b - r.b)) AS c, sum(abs(sign(l.a - r.a))) AS u, sum(abs(sign(l.b - r.b))) AS w FROM x l JOIN x r ON l.run_id = r.run_id AND l.dim = r.dim AND l.item_id < r.item_id GROUP BY 1, 2)
 SELECT run_id, dim, round(CASE WHEN u = 0 OR w = 0 THEN 0 ELSE c / sqrt(u * w) END, 6) AS tau FROM p""")

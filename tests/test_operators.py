@@ -229,3 +229,16 @@ def test_answer_json(spark):
 
     df = spark.createDataFrame([(1, float("nan"), "x"), (2, 0.5, None)], "a long, b double, c string")
     assert [json.loads(r["json"]) for r in answer(df).collect()] == [{"a": 1, "b": None, "c": "x"}, {"a": 2, "b": 0.5, "c": None}]
+
+
+def test_random_floor_takes_every_document_and_test_item(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from tallyline.queries import QUERIES, more
+
+    items, docs = [("brio_topics", "b1"), ("elver_qa", "e1"), ("elver_qa", "e2")], range(1, 40)
+    spark.createDataFrame(items, "dataset_id string, item_id string").write.parquet(f"{tmp_path}/test_items.parquet")
+    spark.createDataFrame([(i,) for i in docs], "doc_id long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(more, "FLOOR_QUERIES", 2)
+    got = sorted(tuple(r) for r in QUERIES["sf_18_random_floor_all"](spark, str(tmp_path)).collect())
+    assert got == sorted((q, i) for _, q in items for i in sorted(docs, key=lambda i: hashlib.sha256(f"floor|{q}|{i}".encode()).hexdigest())[:5])  # noqa: B023
