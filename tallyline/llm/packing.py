@@ -32,9 +32,9 @@ FULL = 0.995
 ROUNDS = 4
 #: Kinds of containers that one call fills.
 KINDS = 1000
-#: Fillings tried for a container before the search goes back.
+#: Fillings tried for a container before the search goes back; containers that one search begins, besides two for each of the incumbent.
 WIDTH = 3
-NODES = 300
+NODES = 1000
 
 
 def _encoder(folder: str):
@@ -201,8 +201,8 @@ class _Search:
                 waste = self._waste
                 continue
             allowed = (incumbent - 1) * self.capacity - self.total
-            if waste > allowed or self.nodes > NODES + incumbent:
-                if self.nodes > NODES + incumbent or not self._back(stack, chosen):
+            if waste > allowed or self.nodes > NODES + 2 * incumbent:
+                if self.nodes > NODES + 2 * incumbent or not self._back(stack, chosen):
                     return best
                 waste = self._waste
                 continue

@@ -217,3 +217,11 @@ def test_levels(spark, reader):
     got = {r["doc_id"]: r["level"] for r in rd.levels(spark.createDataFrame(rows, "doc_id long, text string"), reader).collect()}
     assert set(got) == set(a["anchor_id"]) and np.mean([got[i] == lv for i, lv in zip(a["anchor_id"], a["level"], strict=True)]) > 0.95
     assert rd.levels(spark.createDataFrame([], "doc_id long, text string"), reader).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "capacity", "n", "low", "high", "want"), [(120, 200, 105, 0.1, 0.15, 13), (320, 200, 101, 0.2, 0.4, 31), (201, 200, 119, 0.15, 0.3, 28)])
+def test_search_finds_what_takes_hundreds_of_nodes(seed, capacity, n, low, high, want):
+    rng = np.random.default_rng(seed)
+    rng.choice([200, 500, 1000]), rng.integers(20, 120), rng.choice([0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5], 2, replace=False)
+    sizes = rng.integers(int(low * capacity), int(high * capacity) + 1, n)
+    assert pk.pack(sizes, capacity).max() + 1 == want
