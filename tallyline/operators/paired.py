@@ -45,6 +45,16 @@ def delta_table(pairs: DataFrame, keys: list[str], higher_is_better: bool = True
         F.sum("delta").alias("_total"), F.sum(F.col("delta") * F.col("delta")).alias("_squares"))
 
 
+def _limit(total: str, squares: str) -> Column:
+    """The limit of the sign-flip p, from a pair's sums."""
+
+    @F.pandas_udf("double")
+    def limit(t: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([sf.limit_p(x, y) for x, y in zip(t, s, strict=True)], dtype="float64")
+
+    return limit(total, squares)
+
+
 def tests(pairs: DataFrame, keys: list[str], table: DataFrame, intervals: bool = True, permutations: int = sf.PERMUTATIONS, seed: int = sf.SEED) -> DataFrame:
     """p and interval for each row of ``table`` (from delta_table).
 
@@ -62,13 +72,9 @@ def tests(pairs: DataFrame, keys: list[str], table: DataFrame, intervals: bool =
     short = table.filter(F.col("n") <= sf.DRAWN).select(*keys)
     got = pairs.join(short, keys, "left_semi").select(*keys, "item_id", "delta").groupBy(*keys).applyInPandas(one, schema)
 
-    @F.pandas_udf("double")
-    def limit(total: pd.Series, squares: pd.Series) -> pd.Series:
-        return pd.Series([sf.limit_p(t, s) for t, s in zip(total, squares, strict=True)])
-
     z = 1.959964
     half = (z + (z**3 + z) / (4 * (F.col("n") - 1))) * F.sqrt((F.col("_squares") - F.col("_total") * F.col("mean_delta")) / (F.col("n") - 1)) / F.sqrt("n")
-    long = table.filter(F.col("n") > sf.DRAWN).select(*keys, F.when(F.col("_squares") > 0, limit("_total", "_squares")).alias("p"), (F.col("mean_delta") - half).alias("low"), (F.col("mean_delta") + half).alias("high"))
+    long = table.filter(F.col("n") > sf.DRAWN).select(*keys, F.when(F.col("_squares") > 0, _limit("_total", "_squares")).alias("p"), (F.col("mean_delta") - half).alias("low"), (F.col("mean_delta") + half).alias("high"))
     return got.unionByName(long)
 
 
@@ -103,11 +109,11 @@ def family_test(series: DataFrame, arm: str, permutations: int = sf.PERMUTATIONS
     """One arm against a family of opponents whose draws come from one stream, in the opponents' order (ST-11).
 
     The stream ties a dataset's tests together, so they run in one task; it holds the deltas of at most DRAWN
-    items an opponent, and longer pairs take the limit.
+    items an opponent, and longer pairs take the limit from their sums. Holm's family has both.
     """
     pairs = paired(series, arm)
-    n = delta_table(pairs, ["dataset_id", "config_id"])
-    keep = n.filter((F.col("n") >= least_items) & (F.col("n") <= sf.DRAWN)).select("dataset_id", "config_id")
+    n = delta_table(pairs, ["dataset_id", "config_id"]).filter(F.col("n") >= least_items)
+    keep = n.filter(F.col("n") <= sf.DRAWN).select("dataset_id", "config_id")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         stream, rows = sf.Signs(seed), []
@@ -117,7 +123,8 @@ def family_test(series: DataFrame, arm: str, permutations: int = sf.PERMUTATIONS
         return pd.DataFrame(rows, columns=["dataset_id", "config_id", "n", "delta", "p"])
 
     got = pairs.join(keep, ["dataset_id", "config_id"], "left_semi").select("dataset_id", "config_id", "item_id", "delta").groupBy("dataset_id").applyInPandas(one, "dataset_id string, config_id string, n long, delta double, p double")
-    return holm(got, "p", ["dataset_id"], ["config_id"])
+    long = n.filter(F.col("n") > sf.DRAWN).select("dataset_id", "config_id", "n", (-F.col("mean_delta")).alias("delta"), _limit("_total", "_squares").alias("p"))
+    return holm(got.unionByName(long), "p", ["dataset_id"], ["config_id"])
 
 
 class _Cells:

@@ -44,7 +44,7 @@ def compare_by(spark, d):
 
 @query("st_11_family")
 def family(spark, d):
-    return pr.family_test(_series(spark, d).filter("dataset_id = 'brio_topics'"), "opal_l")
+    return pr.family_test(_series(spark, d), "opal_l")
 
 
 # Twelve items, whose 4,096 sign patterns SQL enumerates (ST-1).

@@ -247,3 +247,22 @@ def test_strengths_take_the_draws_of_the_operator(spark, monkeypatch):
     real = agr.bradley_terry
     monkeypatch.setattr(agr, "bradley_terry", lambda *a, **k: seen.append(k.get("resamples", 200)) or real(*a, **k))
     assert QUERIES["st_31_bradley_terry"](spark, DATA).count() > 0 and seen == [200]
+
+
+def test_long_opponents_stay_in_the_family(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [("d", a, f"i{i:02}", round(rng.random(), 4)) for a, n in (("mine", 40), ("long", 40), ("short", 10), ("two", 2)) for i in range(n)]
+    by = {a: {i: v for _, b, i, v in rows if b == a} for a in ("mine", "long")}
+    monkeypatch.setattr(sf, "DRAWN", 20)
+    got = {r["config_id"]: r for r in pr.family_test(spark.createDataFrame(rows, SERIES), "mine").collect()}
+    d = np.array([round(by["mine"][i] - by["long"][i], 9) for i in sorted(by["mine"])])
+    assert got.keys() == {"long", "short"}
+    assert got["long"]["p"] == pytest.approx(sf.limit_p(d.sum(), float(d @ d))) and got["long"]["delta"] == pytest.approx(d.mean()) and got["long"]["n"] == 40
+    assert min(r["threshold"] for r in got.values()) == pytest.approx(0.05 / 2)
+
+
+def test_family_of_every_dataset(spark, tmp_path):
+    from tallyline.queries import QUERIES
+
+    d = predictions(spark, tmp_path, [(a, f"i{i}", x * i) for a, x in (("opal_l", 0.1), ("other", 0.05)) for i in range(5)])
+    assert [(r["dataset_id"], r["config_id"], r["n"]) for r in QUERIES["st_11_family"](spark, d).collect()] == [("d", "other", 5)]
