@@ -126,6 +126,13 @@ def missing_last(spark, d):
     return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("primary_score"), "run_id")))  # over the 200 rows alone
 
 
+@query("rk_6_missing_last_all", "SELECT stratum, run_id, primary_score, row_number() OVER (PARTITION BY stratum ORDER BY primary_score DESC NULLS LAST, run_id) AS position FROM (SELECT stratum, run_id, max(CASE WHEN isnan(primary_score) THEN NULL ELSE primary_score END) AS primary_score FROM run_candidates GROUP BY 1, 2)")
+def missing_last_all(spark, d):
+    """Every run of every stratum in its place, those without a score last; rk_6_missing_last gives the first 200 of arm_base, as its SQL does. The window spills."""
+    r = table(spark, d, "run_candidates").groupBy("stratum", "run_id").agg(F.max(F.when(~F.isnan("primary_score"), F.col("primary_score"))).alias("primary_score"))
+    return r.withColumn("position", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc_nulls_last("primary_score"), "run_id")))
+
+
 @query("rk_11_latest_rescore", "SELECT stratum, run_id, arg_max(primary_score, (filed_at, primary_score)) AS primary_score FROM run_candidates WHERE stratum IS NOT NULL AND primary_score IS NOT NULL AND NOT isnan(primary_score) AND filed_at IS NOT NULL GROUP BY 1, 2")
 def latest_rescore(spark, d):
     r = table(spark, d, "run_candidates").filter("stratum IS NOT NULL AND primary_score IS NOT NULL AND NOT isnan(primary_score) AND filed_at IS NOT NULL")

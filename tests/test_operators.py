@@ -242,3 +242,12 @@ def test_random_floor_takes_every_document_and_test_item(spark, tmp_path, monkey
     monkeypatch.setattr(more, "FLOOR_QUERIES", 2)
     got = sorted(tuple(r) for r in QUERIES["sf_18_random_floor_all"](spark, str(tmp_path)).collect())
     assert got == sorted((q, i) for _, q in items for i in sorted(docs, key=lambda i: hashlib.sha256(f"floor|{q}|{i}".encode()).hexdigest())[:5])  # noqa: B023
+
+
+def test_runs_without_a_score_come_last_in_every_stratum(spark, tmp_path):
+    from tallyline.queries import QUERIES
+
+    rows = [("arm_base", f"r{i:03}", i / 300) for i in range(250)] + [("arm_base", "none", None), ("arm_base", "nan", float("nan")), ("other", "x", None), ("other", "y", 0.5)]
+    spark.createDataFrame(rows, "stratum string, run_id string, primary_score double").write.parquet(f"{tmp_path}/run_candidates.parquet")
+    got = {(r["stratum"], r["run_id"]): r["position"] for r in QUERIES["rk_6_missing_last_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 254 and (got["arm_base", "r249"], got["arm_base", "nan"], got["arm_base", "none"]) == (1, 251, 252) and (got["other", "y"], got["other", "x"]) == (1, 2)
