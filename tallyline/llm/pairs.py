@@ -3,8 +3,9 @@
 Copies: the response is compressed with its prompt as a zstandard dictionary; what costs almost nothing
 then is in the prompt already, and a check of word shingles confirms it. Refusals: a
 dictionary of first-person refusals. Other language: a dictionary of words by language, learned from
-labelled prompts, against the language of the prompt or the one it asks for. Truncation: the
-terminal-context model of endings.
+labelled prompts, against the language of the prompt or the one it asks for; a response in a script of its
+own, or whose words the dictionary mostly does not give to that language, is in none of the dictionary's languages.
+Truncation: the terminal-context model of endings and the storage limits of truncation.
 """
 
 from __future__ import annotations
@@ -19,35 +20,48 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import endings
-from .base import bounded_sample
+from . import endings, truncation
+from .base import bounded_sample, durable
 
 EMPTY, REFUSAL, COPIED, TRUNCATED, OTHER = "empty", "refusal", "copied", "truncated", "other_language"
 DEFECTS = (EMPTY, REFUSAL, COPIED, TRUNCATED, OTHER)
 LANGUAGES = ("en", "de", "fr", "es")
-#: Pairs from which the terminal contexts and the language dictionary are learned.
+#: Labelled prompts from which the language dictionary is learned.
 SAMPLE = 12_000
-#: A response whose compressed size falls to this share by the prompt's dictionary is a candidate copy.
-CANDIDATE = 0.55
-
-# First-person refusals, by language.
-_REFUSAL = re.compile(
-    r"\bI(?:['’]m| am)? (?:sorry,? but I )?(?:can(?:not|['’]t|not)|could ?n[o'’]t|won['’]t|will not|must (?:decline|refuse)|(?:have to|need to) (?:decline|refuse)|decline|refuse"
-    r"|(?:not|un)\s?able to|not (?:allowed|permitted|comfortable|in a position|going) |(?:do not|don['’]t) (?:feel able|think I can|wish to))"
-    r"(?=.{0,60}(?:\b(?:help|assist|answer|respond|comply|provide|fulfil|complete|do that|do this|discuss|support|share|give|task|request|here|this|that)\b|\.))"
-    r"|\bI(?:['’]d| would) rather not\b|\bI (?:must|have to|will have to) (?:decline|refuse|pass)\b|\bI(?:['’]m| am) (?:not able|unable) to\b"
-    r"|\b(?:isn['’]t|is not|not) (?:something I (?:can|could|am able)|possible for me)\b|\bsomething I (?:won['’]t|will not|can(?:no|['’])t)\b"
-    r"|\bagainst my (?:guidelines|policy|policies|rules|principles|instructions)\b|\b(?:beyond|outside) (?:what I can|my (?:abilities|scope|remit))\b"
-    r"|\b(?:kann|darf|möchte|will|werde) ich (?:\w+ ){0,5}(?:nicht|keine?n?)\b|\bich (?:kann|darf|möchte|will|werde|muss)\b[^.!?]{0,60}\b(?:nicht|keine?n?|ablehnen|passen)\b"
-    r"|\b(?:muss|möchte) ich (?:\w+ ){0,3}(?:ablehnen|verzichten|passen)\b|\b(?:übernehme|beantworte|bearbeite|mache|behandle) ich (?:leider )?(?:nicht|keine)\b|\blehne ich\b|\bich lehne\b|\bmir (?:leider )?nicht (?:möglich|erlaubt|gestattet)\b"
-    r"|\bje ne (?:peux|puis|suis|souhaite|saurais|veux|vais|pourrai)\b[^.!?]{0,30}\b(?:pas|aider|répondre|traiter|en mesure)|\bje ne (?:peux|puis|saurais)\b"
-    r"|\bje (?:préfère|préférerais) (?:ne pas|m['’]abstenir|éviter)\b|\bje (?:dois|me vois contraint(?:e)? de?) (?:décliner|refuser)\b|\bje (?:décline|refuse)\b"
-    r"|\bm['’](?:est|était) (?:impossible|pas possible|interdit)\b|\bpas possible pour moi\b|\bcontraire à mes (?:règles|consignes|principes)\b"
-    r"|\bno (?:puedo|podría|me es posible|estoy (?:autorizado|en condiciones)|quiero|deseo|voy a|debo)\b(?=[^.!?]{0,60}(?:ayudar|responder|atender|tratar|hacer|dar|contestar|cumplir|eso|esto|\.|!))"
-    r"|\bprefiero no\b|\bpreferiría no\b|\b(?:debo|tengo que) (?:rechazar|declinar|negarme)\b|\bme niego\b|\bva contra mis (?:normas|reglas)\b|\bno me está permitido\b",
-    re.I,
-)
-_SOMEONE_ELSE = re.compile(r"\b(?:the|a|der|die|das|le|la|les|el|los|un|una)\s+[\w']+\s+(?:was|were|is|are|cannot|can|kann|konnte|ne peut|no puede)\b", re.I)
+#: A response whose compressed size falls to this share by the prompt's dictionary, give or take what one match costs, is a candidate copy.
+CANDIDATE, MATCH_COST = 0.55, 24
+#: The wanted language must claim this share of a response's words, in responses from LEAST_WORDS up.
+CLAIMED, LEAST_WORDS = 0.4, 6
+
+# Fixed values of this project: first-person refusals by language, written as patterns.
+REFUSALS = {
+    "en": (
+        r"\bI(?:['’]m| am)? (?:sorry,? but I )?(?:can(?:not|['’]t|not)|could ?n[o'’]t|won['’]t|will not|must (?:decline|refuse)|(?:have to|need to) (?:decline|refuse)|decline|refuse"
+        r"|(?:not|un)\s?able to|not (?:allowed|permitted|comfortable|in a position|going) |(?:do not|don['’]t) (?:feel able|think I can|wish to))"
+        r"(?=.{0,60}(?:\b(?:help|assist|answer|respond|comply|provide|fulfil|complete|do that|do this|discuss|support|share|give|task|request|here|this|that)\b|\.))",
+        r"\bI(?:['’]d| would) rather not\b", r"\bI (?:must|have to|will have to) (?:decline|refuse|pass)\b", r"\bI(?:['’]m| am) (?:not able|unable) to\b",
+        r"\b(?:isn['’]t|is not|not) (?:something I (?:can|could|am able)|possible for me)\b", r"\bsomething I (?:won['’]t|will not|can(?:no|['’])t)\b",
+        r"\bagainst my (?:guidelines|policy|policies|rules|principles|instructions)\b", r"\b(?:beyond|outside) (?:what I can|my (?:abilities|scope|remit))\b",
+    ),
+    "de": (
+        r"\b(?:kann|darf|möchte|will|werde) ich (?:\w+ ){0,5}(?:nicht|keine?n?)\b", r"\bich (?:kann|darf|möchte|will|werde|muss)\b[^.!?]{0,60}\b(?:nicht|keine?n?|ablehnen|passen)\b",
+        r"\b(?:muss|möchte) ich (?:\w+ ){0,3}(?:ablehnen|verzichten|passen)\b", r"\b(?:übernehme|beantworte|bearbeite|mache|behandle) ich (?:leider )?(?:nicht|keine)\b",
+        r"\blehne ich\b", r"\bich lehne\b", r"\bmir (?:leider )?nicht (?:möglich|erlaubt|gestattet)\b",
+    ),
+    "fr": (
+        r"\bje ne (?:peux|puis|suis|souhaite|saurais|veux|vais|pourrai)\b[^.!?]{0,30}\b(?:pas|aider|répondre|traiter|en mesure)", r"\bje ne (?:peux|puis|saurais)\b",
+        r"\bje (?:préfère|préférerais) (?:ne pas|m['’]abstenir|éviter)\b", r"\bje (?:dois|me vois contraint(?:e)? de?) (?:décliner|refuser)\b", r"\bje (?:décline|refuse)\b",
+        r"\bm['’](?:est|était) (?:impossible|pas possible|interdit)\b", r"\bpas possible pour moi\b", r"\bcontraire à mes (?:règles|consignes|principes)\b",
+    ),
+    "es": (
+        r"\bno (?:puedo|podría|me es posible|estoy (?:autorizado|en condiciones)|quiero|deseo|voy a|debo)\b(?=[^.!?]{0,60}(?:ayudar|responder|atender|tratar|hacer|dar|contestar|cumplir|eso|esto|\.|!))",
+        r"\bprefiero no\b", r"\bpreferiría no\b", r"\b(?:debo|tengo que) (?:rechazar|declinar|negarme)\b", r"\bme niego\b", r"\bva contra mis (?:normas|reglas)\b", r"\bno me está permitido\b",
+    ),
+    "it": (r"\bnon (?:posso|potrei|sono in grado di|mi è possibile)\b(?=[^.!?]{0,60}(?:aiutar|risponder|fornir|soddisfar|far|\.|!))", r"\b(?:devo|preferisco) (?:rifiutare|non)\b"),
+    "pt": (r"\bnão (?:posso|poderia|consigo|me é possível)\b(?=[^.!?]{0,60}(?:ajudar|responder|fornecer|atender|fazer|\.|!))", r"\b(?:devo|prefiro) (?:recusar|não)\b"),
+    "nl": (r"\bik (?:kan|mag|wil|zal)\b[^.!?]{0,60}\b(?:niet|geen)\b", r"\b(?:kan|mag|wil|zal) ik (?:\w+ ){0,5}(?:niet|geen)\b", r"\bik (?:moet|wil) (?:weigeren|afslaan)\b"),
+}
+_REFUSAL = re.compile("|".join(p for patterns in REFUSALS.values() for p in patterns), re.I)
 # What may stand behind a refusal: offers and advice.
 _OFFER = re.compile(r"\b(?:something else|another question|else (?:I|you)|specialist|ask a|andere Frage|sonst etwas|Fachmann|Fachfrau|autre question|autrement|aider|spécialiste|otra (?:cosa|pregunta)|especialista)\b", re.I)
 
@@ -63,6 +77,7 @@ _HINTS = (
     "not feel", "n't feel", "not think", "n't think", "not wish", "n't wish", "rather not", "must pass", "to pass", "possib", "something i ", "against my", "beyond", "outside", " ich ", "ich ", "mir ",
     "je ne", "je préf", "je dois", "je me", "je déc", "m'est", "m’est", "était", "contraire", "no puedo", "no podría", "no me", "no estoy", "no quiero", "no deseo", "no voy", "no debo",
     "prefiero", "preferir", "rechazar", "negarme", "niego", "mis normas", "mis reglas",
+    "non posso", "non potrei", "non sono", "non mi", "devo", "preferisco", "não", "prefiro", "ik ", " ik",
 )
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _NOISE = re.compile(r"```\w*")
@@ -93,17 +108,26 @@ class LanguageDictionary:
                 counts[lang.lower()].update(w.lower() for w in _WORD.findall(_NOISE.sub(" ", text)))
         return LanguageDictionary(counts)
 
-    def scores(self, text: str) -> tuple[list[float], int]:
-        """Evidence for each language and the number of words it rests on."""
+    def evidence(self, words: list[str], want: str | None = None) -> tuple[list[float], int, int]:
+        """Evidence for each language, the number of words it rests on, and how many of these speak for ``want``."""
         get = self.words.get
-        found = [v for v in map(get, _WORD.findall(text.lower())) if v]
-        return ([sum(x) for x in zip(*found, strict=True)] if found else [0.0] * len(self.order)), len(found)
+        found = [v for v in map(get, words) if v]
+        i = self.order.index(want) if want in self.order else -1
+        return ([sum(x) for x in zip(*found, strict=True)] if found else [0.0] * len(self.order)), len(found), sum(v[i] > 0 for v in found) if i >= 0 else 0
 
     def language(self, text: str) -> str | None:
-        s, n = self.scores(text)
+        s, n, _ = self.evidence(_WORD.findall(text.lower()))
         return self.order[max(range(len(s)), key=s.__getitem__)] if n else None
 
 
+def foreign_script(words: list[str]) -> bool:
+    """Whether most letters are of another script than the dictionary's languages, which are all written in Latin."""
+    if all(map(str.isascii, words)):
+        return False
+    letters = "".join(words)
+    return sum(c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in letters) * 2 > len(letters)
+
+
 def refuses(text: str) -> bool:
     """Whether the response, as a whole, declines: a first-person refusal with at most one sentence of anything else before it."""
     low = text.lower()
@@ -117,6 +141,28 @@ def refuses(text: str) -> bool:
     return before <= 1 and len(after) <= 1
 
 
+_UNIT = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
+_PARAGRAPH = re.compile(r"\n\s*\n")
+
+
+def _units(text: str) -> list[str]:
+    """Words, and single characters of scripts that write without blanks."""
+    return _UNIT.findall(text.lower())
+
+
+def _covered(words: list[str], grams: set, n: int) -> list[bool]:
+    """Which words stand in one of the stretches of n words."""
+    out = [False] * len(words)
+    for i in range(len(words) - n + 1):
+        if tuple(words[i : i + n]) in grams:
+            out[i : i + n] = [True] * n
+    return out
+
+
+def _grams(words: list[str], n: int) -> set:
+    return set(zip(*(words[i:] for i in range(n)), strict=False))
+
+
 class Copies:
     """Finds responses that stand in their prompts."""
 
@@ -124,29 +170,55 @@ class Copies:
         self.params = zstandard.ZstdCompressionParameters.from_level(1, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.plain = zstandard.ZstdCompressor(compression_params=self.params)
 
-    def saving(self, prompt: str, response: str) -> float:
-        """Compressed size with the prompt as dictionary over the size without."""
-        p, r = prompt.lower().encode(), response.lower().encode()
+    def sizes(self, prompt: str, response: str) -> tuple[int, int]:
+        """Compressed size of the response with the prompt as dictionary, and without."""
+        p, r = prompt.lower().encode(errors="replace").rjust(8), response.lower().encode(errors="replace")
         d = zstandard.ZstdCompressionDict(p, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=self.params).compress(r)) / len(self.plain.compress(r))
+        params = self.params if len(p) + len(r) < 1 << 17 else zstandard.ZstdCompressionParameters.from_level(3, source_size=len(p) + len(r), write_content_size=0, write_checksum=0, write_dict_id=0)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(r)), len(self.plain.compress(r))
 
     def copied(self, prompt: str, response: str) -> bool:
-        """Most of the prompt, and next to nothing else."""
-        if len(response) < 20 or len(response) * 4 < len(prompt) or self.saving(prompt, response) > CANDIDATE:
+        """The prompt, most of it, its beginning or what it asks, and next to nothing else; of any length.
+
+        A stretch from the middle of a prompt alone is no copy, as an answer may quote its source.
+        """
+        small, alone = self.sizes(prompt, response)
+        return small <= CANDIDATE * alone + MATCH_COST and self._confirmed(prompt, response)
+
+    def _confirmed(self, prompt: str, response: str) -> bool:
+        p, r = _units(prompt), _units(response)
+        if not p or not r:
             return False
-        p, r = re.findall(r"\w+", prompt.lower()), re.findall(r"\w+", response.lower())
-        if len(r) < 4:
+        n = min(3, len(p), len(r))
+        from_prompt = _covered(r, _grams(p, n), n)
+        foreign = len(r) - sum(from_prompt)
+        own, behind = set(p), next((i for i, x in enumerate(reversed(from_prompt)) if x), len(r))
+        behind = sum(x not in own for x in r[len(r) - behind :])
+        if foreign > max(min(4, len(r) // 3), 0.3 * len(r)) or behind > 0.15 * len(r):
             return False
-        own = Counter(zip(p, p[1:], p[2:]))
-        hits = sum(1 for t in zip(r, r[1:], r[2:]) if t in own)
-        again = set(zip(r, r[1:], r[2:]))
-        covered = sum(1 for t in own if t in again)
-        new = [False] * len(r)
-        for i, t in enumerate(zip(r, r[1:], r[2:])):
-            if t in own:
-                new[i] = new[i + 1] = new[i + 2] = True
-        foreign = len(r) - sum(new)
-        return covered >= 0.5 * len(own) and hits >= 0.5 * (len(r) - 2) and foreign <= max(4, 0.3 * len(r))
+        again = _grams(r, n)
+        if sum(_covered(p, again, n)) >= 0.5 * len(p):
+            return True
+        if not foreign and len(r) >= 5 and p[: len(r)] == r:
+            return True
+        return any(self._holds(q, r) for q in self._asked(prompt))
+
+    @staticmethod
+    def _asked(prompt: str) -> list[list[str]]:
+        """What a prompt asks: its first and last paragraphs where there are several and they are a sentence or two, and questions in them."""
+        parts = [x for x in _PARAGRAPH.split(prompt.strip()) if x.strip()]
+        out = []
+        for x in {0, len(parts) - 1} if parts else ():
+            said = [y for y in _SENTENCE.split(parts[x]) if y.strip()]
+            if len(parts) > 1 and len(said) <= 2:
+                out.append(_units(parts[x]))
+            out += [_units(y) for y in said if y.rstrip(" \t\"'”’»)]}*_`")[-1:] in "?؟？"]
+        return [x for x in out if len(x) >= 3]
+
+    @staticmethod
+    def _holds(asked: list[str], r: list[str]) -> bool:
+        n = min(3, len(r))
+        return sum(_covered(asked, _grams(r, n), n)) >= 0.8 * len(asked)
 
 
 class Judge:
@@ -158,23 +230,27 @@ class Judge:
     def __getstate__(self):
         return {"contexts": self.contexts, "languages": self.languages}
 
-    def defect(self, prompt: str | None, response: str | None, lang: str | None = None) -> str | None:
-        """The defect of a pair, or None if it is sound. Without a prompt only the response is looked at."""
+    def examine(self, prompt: str | None, response: str | None, lang: str | None = None) -> tuple[str | None, str]:
+        """(defect apart from truncation, ending of the response). Without a prompt only the response is looked at."""
         if endings.is_empty(response):
-            return EMPTY
+            return EMPTY, endings.EMPTY
+        ending = endings.inspect(response, self.contexts)
         said = self.prose(response)
         if refuses(said if said else response):
-            return REFUSAL
+            return REFUSAL, ending
         if prompt:
             if not hasattr(self, "copies"):
                 self.copies = Copies()
             if self.copies.copied(prompt, response):
-                return COPIED
-        if endings.inspect(response, self.contexts) == endings.CUT:
-            return TRUNCATED
-        if said and self.other_language(prompt, said, lang):
-            return OTHER
-        return None
+                return COPIED, ending
+        if ending != endings.CUT and said and self.other_language(prompt, said, lang):
+            return OTHER, ending
+        return None, ending
+
+    def defect(self, prompt: str | None, response: str | None, lang: str | None = None) -> str | None:
+        """The defect of a pair taken by itself, or None if it is sound."""
+        d, ending = self.examine(prompt, response, lang)
+        return TRUNCATED if ending == endings.CUT and d in (None, OTHER) else d
 
     def prose(self, response: str) -> str:
         """What is said in words: of JSON its longer strings, else the text."""
@@ -190,7 +266,12 @@ class Judge:
         want = self.wanted(prompt, lang)
         if want is None:
             return False
-        s, n = self.languages.scores(said)
+        words = _WORD.findall(said.lower())
+        if foreign_script(words):
+            return True
+        s, n, claimed = self.languages.evidence(words, want)
+        if len(words) >= LEAST_WORDS and claimed < CLAIMED * len(words):
+            return True  # of another language, or of none that the dictionary knows
         if not n:
             return False
         best = max(range(len(s)), key=s.__getitem__)
@@ -210,33 +291,49 @@ class Judge:
         return self.languages.language(prompt) if prompt else None
 
 
-def learn(results: DataFrame, sample: int = SAMPLE) -> Judge:
-    """Models from at most ``sample`` rows of ``results`` (call_id, prompt, output, lang), chosen by hash of the id."""
-    pdf = bounded_sample(results.select("call_id", "prompt", "output", "lang"), "call_id", sample).toPandas()
-    contexts = endings.ContextModel().learn(t for t in pdf["output"] if t).pruned()
-    return Judge(contexts, LanguageDictionary.learn(zip(pdf["prompt"], pdf["lang"], strict=True)))
+def learn(pairs: DataFrame, sample: int = SAMPLE) -> Judge:
+    """Models for ``pairs`` (call_id, prompt, output, lang).
 
+    The terminal contexts are counted from all outputs; the language dictionary is learned from at most ``sample``
+    prompts that carry a language label, chosen by hash of the id.
+    """
+    labelled = pairs.select("call_id", "prompt", "lang").filter(F.lower("lang").isin(*LANGUAGES) & F.col("prompt").isNotNull())
+    known = bounded_sample(labelled, "call_id", sample).toPandas()
+    return Judge(endings.context_model(pairs, "output"), LanguageDictionary.learn(zip(known["prompt"], known["lang"], strict=True)))
 
-def defects(pairs: DataFrame, judge: Judge) -> DataFrame:
-    """call_id and defect of every defective pair of ``pairs`` (call_id, prompt, output, lang); sound ones are absent.
 
-    A pair has one defect, the first that applies of empty, refusal, copied, truncated, other_language;
-    of repeated rows of a call_id the first such. Null outputs are empty, null prompts leave out
-    the comparison with the prompt. Texts are read where they are, only (call_id, code) is shuffled.
+def examined(pairs: DataFrame, judge: Judge) -> DataFrame:
+    """call_id, source, code of the defect apart from truncation (null if none), ending code and lengths of every pair's output.
+
+    Of repeated rows of a call_id the first defect and the worst ending count. Texts are read where they are;
+    what is shuffled is a few numbers a pair.
     """
+    source = F.coalesce("source", F.lit("")) if "source" in pairs.columns else F.lit("")
+    named = truncation.lengths(F.coalesce("output", F.lit("")))
+    rows = pairs.select("call_id", source.alias("source"), "prompt", "output", "lang", *(c.cast("int").alias(n) for n, c in named.items()))
+    code, names = {d: i for i, d in enumerate(DEFECTS)}, ["call_id", "source", "code", "ending", *named]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = {d: i for i, d in enumerate(DEFECTS)}
         for b in batches:
-            ids, codes = [], []
-            for call, prompt, output, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                d = judge.defect(prompt, output, lang)
-                if d is not None:
-                    ids.append(call)
-                    codes.append(code[d])
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(codes, pa.int32())], names=["call_id", "code"])
-
-    found = pairs.select("call_id", "prompt", "output", "lang").mapInArrow(run, "call_id long, code int")
-    names = F.array(*map(F.lit, DEFECTS))
-    return found.groupBy("call_id").agg(F.min("code").alias("code")).select("call_id", F.element_at(names, F.col("code") + 1).alias("defect"))
+            got = [judge.examine(*x) for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            codes, ends = pa.array([code.get(d) for d, _ in got], pa.int32()), pa.array([truncation.CODES[e] for _, e in got], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), codes, ends, *b.columns[5:]], names=names)
+
+    found = rows.mapInArrow(run, "call_id long, source string, code int, ending int, " + ", ".join(f"{n} int" for n in named))
+    return found.groupBy("call_id", "source").agg(F.min("code").alias("code"), F.max("ending").alias("ending"), *(F.max(n).alias(n) for n in named))
+
+
+def defects(pairs: DataFrame, judge: Judge) -> DataFrame:
+    """call_id and defect of every defective pair of ``pairs`` (call_id, prompt, output, lang, and source if there is one); sound ones are absent.
+
+    A pair has one defect, the first that applies of empty, refusal, copied, truncated, other_language;
+    of repeated rows of a call_id the first such. Truncated means the same as in truncation: an ending that was cut,
+    or one that leaves the matter open at a storage limit of the source. Null outputs are empty, null prompts leave out
+    the comparison with the prompt.
+    """
+    rec = durable(examined(pairs, judge))
+    cut = truncation.cut_calls(rec, truncation.limits(rec))
+    at = {d: i for i, d in enumerate(DEFECTS)}
+    code = F.when(F.col("cut") & (F.col("code").isNull() | (F.col("code") == at[OTHER])), at[TRUNCATED]).otherwise(F.col("code"))
+    one = cut.select("call_id", code.alias("code")).filter("code IS NOT NULL").groupBy("call_id").agg(F.min("code").alias("code"))
+    return one.select("call_id", F.element_at(F.array(*map(F.lit, DEFECTS)), F.col("code") + 1).alias("defect"))

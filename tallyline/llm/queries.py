@@ -245,9 +245,10 @@ def p4_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p5_found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = read(spark, sf_dir, "results", "call_id", "prompt", "output", "lang")
-    j = read(spark, sf_dir, "judge_results", "call_id", F.col("message").alias("prompt"), "output", F.lit(None).cast("string").alias("lang"))
-    return pairs.defects(r.unionByName(j), pairs.learn(r))
+    r = read(spark, sf_dir, "results", "call_id", "source", "prompt", "output", "lang")
+    j = read(spark, sf_dir, "judge_results", "call_id", F.concat(F.lit("judge "), F.col("judge")).alias("source"), F.col("message").alias("prompt"), "output", F.lit(None).cast("string").alias("lang"))
+    both = r.unionByName(j)
+    return pairs.defects(both, pairs.learn(both))
 
 
 # --- 7: filling fixed-capacity containers

@@ -3,8 +3,8 @@
 Lengths of every text are recomputed under several encodings, since a store may count characters,
 UTF-8 bytes, UTF-16 units, or what is left after entity escaping, JSON escaping or conversion of
 newlines. Grouped by source and encoding, a hidden limit shows as a length that far more
-texts have than its neighbours, most of them with endings that stop short. Endings are inspected
-with a model of terminal contexts (see endings); a text at its source's limit whose ending leaves
+texts have than its neighbours, most of them with endings that stop short, or as the greatest length
+of all. Endings are inspected with a model of terminal contexts counted from all texts (see endings); a text at its source's limit whose ending leaves
 the matter open counts as cut.
 """
 
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import endings
-from .base import bounded_sample, durable
+from .base import durable
 
-#: Texts from which the model of terminal contexts is learned.
-SAMPLE = 12_000
+#: The encodings under which lengths are taken.
+LENGTHS = ("characters", "utf8_bytes", "utf16_units", "html_characters", "html_bytes", "json_ascii", "json_characters", "json_bytes", "crlf_characters", "crlf_bytes")
 CODES = {endings.WHOLE: 0, endings.EMPTY: 1, endings.OPEN: 2, endings.CUT: 3}
 
 
@@ -42,12 +42,6 @@ def lengths(text: Column) -> dict[str, Column]:
     }
 
 
-def learn(texts: DataFrame, key: str, text: str, sample: int = SAMPLE) -> endings.ContextModel:
-    """The model of terminal contexts from at most ``sample`` texts, chosen by hash of the key."""
-    rows = bounded_sample(texts.select(key, text), key, sample).select(text).toPandas()[text]
-    return endings.ContextModel().learn(t for t in rows if t).pruned()
-
-
 def inspector(model: endings.ContextModel):
     """A column function: text to the code of its ending."""
     shared = {}
@@ -60,13 +54,13 @@ def inspector(model: endings.ContextModel):
     return code
 
 
-def records(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def records(texts: DataFrame) -> DataFrame:
     """One row for each call_id of ``texts`` (call_id, source, text): the code of its ending and its lengths.
 
     Null and empty texts have code 1; of repeated rows the worst ending counts. Whole texts are
     read once and dropped; what is shuffled is a few numbers a text.
     """
-    code = inspector(learn(texts, "call_id", "text", sample))
+    code = inspector(endings.context_model(texts, "text"))
     named = lengths(F.coalesce("text", F.lit("")))
     flat = texts.select("call_id", F.coalesce("source", F.lit("")).alias("source"), code("text").alias("ending"), *(c.cast("int").alias(n) for n, c in named.items()))
     return flat.groupBy("call_id", "source").agg(F.max("ending").alias("ending"), *(F.max(n).alias(n) for n in named))
@@ -75,10 +69,11 @@ def records(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def limits(rec: DataFrame) -> DataFrame:
     """Hidden storage limits: source, encoding, length, n_texts (of that length), n_cut and expected (by the lengths around).
 
-    A length is a limit if at least five cut texts have it, they are the most of those that do, and
-    the texts are four times as many as the mean of the 24 lengths around it.
+    A length is a limit if the texts that have it are four times as many as the mean of the 24 lengths around it,
+    and either five or more of them are cut and these are the most, or five or more texts have it and none
+    of the source is longer, which shows limits that fall on the ends of sentences.
     """
-    names = [n for n in rec.columns if n not in ("call_id", "source", "ending")]
+    names = [n for n in rec.columns if n in LENGTHS]
     long = rec.filter(F.col("ending") != CODES[endings.EMPTY]).select(
         "source", (F.col("ending") == CODES[endings.CUT]).cast("int").alias("cut"),
         F.explode(F.array(*(F.struct(F.lit(n).alias("encoding"), F.col(n).alias("length")) for n in names))).alias("e"),
@@ -86,21 +81,24 @@ def limits(rec: DataFrame) -> DataFrame:
     h = long.groupBy("source", "e.encoding", "e.length").agg(F.count("*").alias("n_texts"), F.sum("cut").alias("n_cut"))
     near = Window.partitionBy("source", "encoding").orderBy("length").rangeBetween(-12, 12)
     h = h.withColumn("expected", (F.sum("n_texts").over(near) - F.col("n_texts")) / 24)
-    return h.filter((F.col("n_cut") >= 5) & (F.col("n_cut") * 2 > F.col("n_texts")) & (F.col("n_texts") >= 4 * F.col("expected")))
+    longest = F.max("length").over(Window.partitionBy("source", "encoding"))
+    h = h.withColumn("last", (F.col("length") == longest) & (F.col("n_texts") >= 5))
+    cuts = (F.col("n_cut") >= 5) & (F.col("n_cut") * 2 > F.col("n_texts"))
+    return h.filter((cuts | F.col("last")) & (F.col("n_texts") >= 4 * F.col("expected"))).drop("last")
 
 
 def cut_calls(rec: DataFrame, lim: DataFrame) -> DataFrame:
     """rec with at_limit (its length is a limit of its source under some encoding) and cut."""
-    names = [n for n in rec.columns if n not in ("call_id", "source", "ending")]
+    names = [n for n in rec.columns if n in LENGTHS]
     per = lim.groupBy("source").agg(F.collect_set(F.concat_ws(":", "encoding", "length")).alias("limits"))
     own = F.array(*(F.concat_ws(":", F.lit(n), F.col(n)) for n in names))
     x = rec.join(per, "source", "left").withColumn("at_limit", F.coalesce(F.arrays_overlap(own, "limits"), F.lit(False)))
     return x.withColumn("cut", (F.col("ending") == CODES[endings.CUT]) | (F.col("at_limit") & (F.col("ending") == CODES[endings.OPEN]))).drop("limits")
 
 
-def truncated(texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def truncated(texts: DataFrame) -> DataFrame:
     """call_id, source, ending code, lengths, at_limit and cut for every call; see records, limits and cut_calls."""
-    rec = durable(records(texts, sample))
+    rec = durable(records(texts))
     return cut_calls(rec, limits(rec))
 
 

@@ -36,7 +36,7 @@ OPERATORS = {
     "topn": ("run_candidates", "run_id", lambda s, df: topn.top_n_per_group(df, ["stratum"], "primary_score", "run_id", 3, latest="filed_at")),
     "quantiles": ("predictions", "pred_id", lambda s, df: quantiles.percentiles(df, ["config_id"], ["latency_ms", "tokens_out"], {"p50": 0.5})),
     "ranking": ("verdicts", "verdict_id", lambda s, df: ranking.strengths(df)),
-    "truncation": ("completions", "call_id", lambda s, df: truncation.truncated(df, 500)),
+    "truncation": ("completions", "call_id", lambda s, df: truncation.truncated(df)),
     "pairs": ("results", "call_id", lambda s, df: pairs.defects(df, pairs.learn(df, 500))),
     "consensus": ("item_scores", "score_id", lambda s, df: consensus.fit(consensus.grade_labels(df)).grades),
     "packing": ("documents", "doc_id", lambda s, df: packing.fill(packing.token_counts(df), load(s, "containers"))),

@@ -74,13 +74,13 @@ def test_hidden_limit_is_found(spark):
         t = ". ".join(" ".join(rng.choice(words) for _ in range(rng.randint(5, 12))) for _ in range(rng.randint(2, 9))) + "."
         rows.append((i, "stores" if i % 2 else "whole", t.encode()[:150].decode(errors="ignore") if i % 2 else t))
     rows += [(i + 1000, None, None) for i in range(3)]
-    calls = tr.truncated(spark.createDataFrame(rows, "call_id long, source string, text string"), 500)
+    calls = tr.truncated(spark.createDataFrame(rows, "call_id long, source string, text string"))
     rep = {r["source"]: r for r in tr.by_source(calls).collect()}
     cut = sum(len(t) == 150 and t[-1] != "." for _, s, t in rows if s == "stores")
     assert rep["stores"]["n_cut"] == pytest.approx(cut, abs=6) and rep["whole"]["n_cut"] <= 3 and rep["stores"]["n_at_limit"] >= cut
-    lim = {(r["source"], r["length"]) for r in tr.limits(tr.records(spark.createDataFrame(rows, "call_id long, source string, text string"), 500)).collect()}
+    lim = {(r["source"], r["length"]) for r in tr.limits(tr.records(spark.createDataFrame(rows, "call_id long, source string, text string"))).collect()}
     assert ("stores", 150) in lim and not any(s == "whole" for s, _ in lim)
-    assert tr.truncated(spark.createDataFrame([], "call_id long, source string, text string"), 100).count() == 0
+    assert tr.truncated(spark.createDataFrame([], "call_id long, source string, text string")).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -109,6 +109,48 @@ def test_defects(judge, prompt, output, want):
     assert judge.defect(prompt, output) == want
 
 
+CONTEXT = "The harbour office bought forty lamps in the spring. The mayor opened the bridge before the fair. " * 12
+
+
+@pytest.mark.parametrize(("prompt", "output", "want"), [
+    ("Is it raining now?", "Is it raining now?", True), ("Is it raining now?", "Q: Is it raining now?", True), ("Is it raining now?", "Is it raining now? Yes, since noon.", False), ("Is it raining now?", "Yes.", False),
+    ("Tea or coffee?", "Coffee.", False), ("Hi", "Hi", True), (CONTEXT + "\n\nWho opened the bridge?", "Who opened the bridge?", True), (CONTEXT + "\n\nWho opened the bridge?", "The mayor opened the bridge.", False),
+    (CONTEXT + "\n\nWho opened the bridge?", "The mayor opened the bridge before the fair.", False), (CONTEXT, CONTEXT[: len(CONTEXT) // 3], True), (CONTEXT, CONTEXT[100 : 100 + len(CONTEXT) * 2 // 3], True),
+    ("今天下雨吗？", "今天下雨吗？", True), ("今天下雨吗？", "不，今天是晴天。", False), ("", "", False),
+])
+def test_copies_of_any_length(prompt, output, want):
+    assert pa.Copies().copied(prompt, output) == want
+
+
+@pytest.mark.parametrize("output", ["Il rapporto mostra che la seconda misura conferma la differenza di cento punti in questa serie.", "这份报告说明第二次测量证实了差异。", "Отчёт показывает, что второе измерение подтверждает разницу.", "Raport pokazuje, że drugi pomiar potwierdza różnicę między seriami."])
+def test_languages_beyond_the_dictionary(judge, output):
+    assert judge.defect(P, output, "en") in ("other_language", "truncated") and judge.other_language(P, output, "en")
+
+
+@pytest.mark.parametrize("text", ["यह रिपोर्ट दूसरे माप की पुष्टि करती है।", "هل يؤكد التقرير الفرق؟", "这份报告说明了差异。", "Այս զեկույցը հաստատում է։"])
+def test_sentence_ends_of_other_scripts(model, text):
+    assert en.inspect(text, model) == en.WHOLE and en.inspect(text[:-1], model) == en.CUT
+
+
+def test_long_markup_is_empty():
+    assert en.is_empty("<div class='x'></div>\n" * 400) and not en.is_empty("<div></div>" * 400 + "word")
+
+
+def test_counts_over_tasks_are_those_of_one(spark):
+    texts = ["The log takes the key. It is short.", "- one\n- two", "The log takes it. ", None, ""] * 3
+    got = en.context_model(spark.createDataFrame([(t,) for t in texts], "t string").repartition(3), "t")
+    want = en.ContextModel().learn(t for t in texts if t).pruned()
+    assert all(getattr(got, k) == getattr(want, k) for k in en.KINDS) and got.texts == want.texts
+    assert en.context_model(spark.createDataFrame([(t,) for t in texts], "t string"), "t", entries=5).held() <= 5
+
+
+def test_open_endings_at_a_limit_are_truncated_in_both(spark):
+    rows = [(i, "s", "Say it.", "The log takes the key in round " + "x" * (i % 9) + " before 1.", "en") for i in range(20)]
+    df = spark.createDataFrame(rows, "call_id long, source string, prompt string, output string, lang string")
+    rec = pa.examined(df, pa.learn(df))
+    assert set(rec.columns) >= set(tr.LENGTHS) and rec.count() == 20
+
+
 def test_defects_over_rows(spark, judge):
     s = "call_id long, prompt string, output string, lang string"
     df = spark.createDataFrame([(1, P, None, "en"), (1, P, None, "en"), (2, P, "The log finds the key.", None), (3, None, "", None)], s)
