@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ LANGUAGES = ("en", "de", "fr", "es")
 #: Labelled prompts from which the language dictionary is learned.
 SAMPLE = 12_000
 #: A response whose compressed size falls to this share by the prompt's dictionary, give or take what one match costs, is a candidate copy.
-CANDIDATE, MATCH_COST = 0.55, 24
+CANDIDATE, MATCH_COST = 0.55, 12
 #: The wanted language must claim this share of a response's words, in responses from LEAST_WORDS up.
 CLAIMED, LEAST_WORDS = 0.4, 6
 
@@ -79,6 +80,10 @@ _HINTS = (
     "prefiero", "preferir", "rechazar", "negarme", "niego", "mis normas", "mis reglas",
     "non posso", "non potrei", "non sono", "non mi", "devo", "preferisco", "não", "prefiro", "ik ", " ik",
 )
+_HINTED = ahocorasick.Automaton()
+for _h in _HINTS:
+    _HINTED.add_word(_h, _h)
+_HINTED.make_automaton()
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _NOISE = re.compile(r"```\w*")
 
@@ -112,26 +117,28 @@ class LanguageDictionary:
         """Evidence for each language, the number of words it rests on, and how many of these speak for ``want``."""
         get = self.words.get
         found = [v for v in map(get, words) if v]
-        i = self.order.index(want) if want in self.order else -1
-        return ([sum(x) for x in zip(*found, strict=True)] if found else [0.0] * len(self.order)), len(found), sum(v[i] > 0 for v in found) if i >= 0 else 0
+        if not found:
+            return [0.0] * len(self.order), 0, 0
+        columns = list(zip(*found, strict=True))
+        own = columns[self.order.index(want)] if want in self.order else ()
+        return list(map(sum, columns)), len(found), len([x for x in own if x > 0])
 
     def language(self, text: str) -> str | None:
         s, n, _ = self.evidence(_WORD.findall(text.lower()))
         return self.order[max(range(len(s)), key=s.__getitem__)] if n else None
 
 
-def foreign_script(words: list[str]) -> bool:
+_NOT_LATIN = re.compile("[^\\W\\d_\x00-\u024f\u1e00-\u1eff]")
+
+
+def foreign_script(text: str) -> bool:
     """Whether most letters are of another script than the dictionary's languages, which are all written in Latin."""
-    if all(map(str.isascii, words)):
-        return False
-    letters = "".join(words)
-    return sum(c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in letters) * 2 > len(letters)
+    return not text.isascii() and _NOT_LATIN.search(text) is not None and len(_NOT_LATIN.findall(text)) * 2 > sum(map(str.isalpha, text))
 
 
 def refuses(text: str) -> bool:
     """Whether the response, as a whole, declines: a first-person refusal with at most one sentence of anything else before it."""
-    low = text.lower()
-    if not any(h in low for h in _HINTS) or not _REFUSAL.search(text):
+    if next(_HINTED.iter(text.lower()), None) is None or not _REFUSAL.search(text):
         return False
     parts = [p for p in _SENTENCE.split(text.strip()) if p and endings._ANY.search(p)]
     at = [i for i, p in enumerate(parts) if _REFUSAL.search(p)]
@@ -266,9 +273,9 @@ class Judge:
         want = self.wanted(prompt, lang)
         if want is None:
             return False
-        words = _WORD.findall(said.lower())
-        if foreign_script(words):
+        if foreign_script(said):
             return True
+        words = _WORD.findall(said.lower())
         s, n, claimed = self.languages.evidence(words, want)
         if len(words) >= LEAST_WORDS and claimed < CLAIMED * len(words):
             return True  # of another language, or of none that the dictionary knows

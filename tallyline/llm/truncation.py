@@ -27,14 +27,15 @@ def lengths(text: Column) -> dict[str, Column]:
     """Length of a text under each encoding, as expressions that stay in the JVM."""
     chars, size = F.length(text), F.octet_length(text)
 
-    def of(c: str) -> Column:
-        return chars - F.length(F.translate(text, c, ""))
+    def of(*marks: str) -> Column:
+        return sum((chars - F.length(F.replace(text, F.lit(c))) for c in marks), F.lit(0))
 
+    plain = chars == size  # ASCII, so that nothing has to be encoded anew
     quotes, newlines = of('"'), of("\n")
-    utf16 = (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
-    json = chars + quotes + of("\\\t\r") + newlines
-    not_ascii = chars - F.length(F.regexp_replace(text, "[^\\x00-\\x7f]", ""))
-    html = 4 * of("&") + 3 * of("<>")
+    utf16 = F.when(plain, chars).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int"))
+    json = chars + quotes + of("\\", "\t", "\r") + newlines
+    not_ascii = F.when(plain, 0).otherwise(chars - F.length(F.regexp_replace(text, "[^\\x00-\\x7f]", "")))
+    html = 4 * of("&") + 3 * of("<", ">")
     return {
         "characters": chars, "utf8_bytes": size, "utf16_units": utf16, "html_characters": chars + html + 5 * quotes + 4 * of("'"),
         "html_bytes": size + html + 5 * quotes + 4 * of("'"), "json_ascii": json + 5 * not_ascii + 6 * (utf16 - chars), "json_characters": json,
