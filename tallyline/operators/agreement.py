@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import random
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,51 +69,84 @@ def are_categories(labels: DataFrame, label: str, most: int = 50, chars: int = 4
     return x.agg(F.count("*").alias("n_labels"), F.coalesce((F.count("*") <= most) & ok, F.lit(True)).alias("categories"))
 
 
-def bt_strengths(w: np.ndarray, prior: float = 0.5, start: np.ndarray | None = None, tolerance: float = 1e-9, rounds: int = 5000) -> np.ndarray:
-    """Bradley-Terry strengths by minorisation (Hunter 2004) with a virtual draw of weight ``prior`` in every pair; geometric mean 1 (ST-31)."""
-    n = len(w)
-    games = w + w.T + prior
-    np.fill_diagonal(games, 0)
-    won = w.sum(1) + (n - 1) * prior / 2
-    p = np.ones(n) if start is None else start
+#: Weights (resamples x pairs of arms) that one task works on at a time.
+RESAMPLED_CELLS = 4_000_000
+
+
+def bt_strengths(i: np.ndarray, j: np.ndarray, wins: np.ndarray, losses: np.ndarray, n: int, prior: float = 0.5, start: np.ndarray | None = None, tolerance: float = 1e-9, rounds: int = 5000) -> np.ndarray:
+    """Bradley-Terry strengths by minorisation (Hunter 2004), with a virtual draw of weight ``prior`` in every pair; geometric mean 1 (ST-31).
+
+    Pairs are arms i and j of 0..n-1; ``wins`` of i over j and ``losses`` may hold one row for each of many samples, which are
+    fitted together. The virtual draws are summed over all arms by columns, so memory grows with arms and pairs, not with their square.
+    """
+    wins, losses = np.atleast_2d(wins), np.atleast_2d(losses)
+    samples, met = wins.shape[0], wins + losses
+    one = np.arange(samples)[:, None] * n
+    at_i, at_j = (one + i).ravel(), (one + j).ravel()
+
+    def by_arm(for_i: np.ndarray, for_j: np.ndarray) -> np.ndarray:
+        return (np.bincount(at_i, for_i.ravel(), samples * n) + np.bincount(at_j, for_j.ravel(), samples * n)).reshape(samples, n)
+
+    won = by_arm(wins, losses) + (n - 1) * prior / 2
+    p = np.ones((samples, n)) if start is None else np.broadcast_to(start, (samples, n)).copy()
+    todo = np.ones(samples, dtype=bool)
     for _ in range(rounds):
-        new = won / (games / (p[:, None] + p[None, :])).sum(1)
-        new /= math.exp(np.log(new).mean())
-        if np.abs(new / p - 1).max() < tolerance:
-            return new
-        p = new
+        shared = met / (p[:, i] + p[:, j])
+        drawn = np.stack([(prior / (p + p[:, [k]])).sum(1) for k in range(n)], 1) - prior / (2 * p)
+        new = won / (by_arm(shared, shared) + drawn)
+        new /= np.exp(np.log(new).mean(1, keepdims=True))
+        still = np.abs(new / p - 1).max(1) >= tolerance
+        p = np.where(todo[:, None], new, p)
+        todo &= still
+        if not todo.any():
+            break
     return p
 
 
-def bradley_terry(comparisons: DataFrame, by: str, resamples: int = 200, seed: str = "7", most: int = 300) -> DataFrame:
+def bradley_terry(comparisons: DataFrame, by: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
     """Strength with a 95 % interval over resampled items for each arm of a set (ST-31).
 
-    ``comparisons``: ``by``, item_id, a, b, wa, wb (a tie is half for each). They are folded by item and pair first; a set
-    of more than ``most`` arms is refused.
+    ``comparisons``: ``by``, item_id, a, b, wa, wb (a tie is half for each). They are folded by item and pair first. The
+    resamples of a set are dealt to as many tasks as their weights need; each starts from the fit to all items.
     """
     x = comparisons.groupBy(by, "item_id", "a", "b").agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb"))
-    arms = x.select(by, F.explode(F.array("a", "b")).alias("arm")).distinct().groupBy(by).agg(F.count("*").alias("n"))
-    if (arms.agg(F.max("n")).first()[0] or 0) > most:
-        raise ValueError(f"a set has more than {most} arms")
+    rows = x.groupBy(by).agg(F.count("*").alias("_rows"))
+    parts = F.least(F.lit(resamples), F.ceil(F.col("_rows") * resamples / F.lit(10 * RESAMPLED_CELLS))).cast("int")
+    dealt = x.join(rows.select(by, parts.alias("_parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part")), by)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         names, codes = np.unique(np.r_[pdf["a"].to_numpy(str), pdf["b"].to_numpy(str)], return_inverse=True)
-        i, j = codes[: len(pdf)], codes[len(pdf) :]
+        a, b = codes[: len(pdf)], codes[len(pdf) :]
+        n = len(names)
+        pair, cell = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_inverse=True)
+        i, j = pair // n, pair % n
         item = np.unique(pdf["item_id"].to_numpy(str), return_inverse=True)[1]
-        n, m = len(names), item.max() + 1
         wa, wb = pdf["wa"].to_numpy(float), pdf["wb"].to_numpy(float)
-
-        def matrix(c: np.ndarray) -> np.ndarray:
-            k = c[item]
-            return (np.bincount(i * n + j, wa * k, n * n) + np.bincount(j * n + i, wb * k, n * n)).reshape(n, n)
-
-        full = bt_strengths(matrix(np.ones(m)))
-        rng = random.Random(seed)
-        reps = np.array([bt_strengths(matrix(np.bincount([rng.randrange(m) for _ in range(m)], minlength=m).astype(float)), start=full, tolerance=1e-6) for _ in range(resamples)])
-        low, high = np.quantile(reps, [0.025, 0.975], axis=0)
-        return pd.DataFrame({by: pdf[by].iloc[0], "arm": names, "strength": full.round(6), "low": low.round(6), "high": high.round(6)})
-
-    return x.groupBy(by).applyInPandas(one, f"{by} string, arm string, strength double, low double, high double")
+        up, down = np.where(a < b, wa, wb), np.where(a < b, wb, wa)
+        full = bt_strengths(i, j, np.bincount(cell, up, len(pair)), np.bincount(cell, down, len(pair)), n)[0]
+        part, parts = int(pdf["_part"].iloc[0]), int(pdf["_parts"].iloc[0])
+        rng, items = np.random.default_rng([seed, part]), int(item.max()) + 1
+        count = resamples // parts + (part < resamples % parts)
+        step = max(1, RESAMPLED_CELLS // max(items, len(pair), n * n // 8))
+        reps = []
+        for begin in range(0, count, step):
+            size = min(step, count - begin)
+            times = rng.multinomial(items, np.full(items, 1 / items), size)
+            wins, losses = np.empty((size, len(pair))), np.empty((size, len(pair)))
+            for r in range(size):
+                t = times[r][item]
+                wins[r], losses[r] = np.bincount(cell, up * t, len(pair)), np.bincount(cell, down * t, len(pair))
+            reps.append(bt_strengths(i, j, wins, losses, n, start=full, tolerance=1e-6))
+        return pd.DataFrame({by: pdf[by].iloc[0], "arm": names, "strength": full, "reps": list(np.concatenate(reps).T)})
+
+    got = dealt.groupBy(by, "_part").applyInPandas(one, f"{by} string, arm string, strength double, reps array<double>")
+
+    @F.pandas_udf("low double, high double")
+    def ends(reps: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([np.quantile(np.concatenate(list(r)), [0.025, 0.975]) for r in reps], columns=["low", "high"])
+
+    arms = got.groupBy(by, "arm").agg(F.max("strength").alias("strength"), F.collect_list("reps").alias("reps")).withColumn("e", ends("reps"))
+    return arms.select(by, "arm", F.round("strength", 6).alias("strength"), F.round("e.low", 6).alias("low"), F.round("e.high", 6).alias("high"))
 
 
 def credit(picked: Column, reference: Column) -> Column:

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
-import random
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..storage import durable_table
 from .joins import shared_by_all
 from .ranks import TOLERANCE
 
-#: An arm x item table of at most this many cells is gathered into one task; larger ones are refused with the reason.
+#: Cells of arms and items that a task shuffles and resamples; a dataset's items are dealt to as many tasks as that takes.
+TASK_CELLS = 4_000
+#: A dataset of at most this many cells is packed into one row for split-half draws; of larger ones the drawn items are joined.
 CELLS = 5_000_000
 
 
@@ -40,67 +43,81 @@ def nemenyi_q(k: int, alpha: float = 0.05) -> float | None:
 
 
 def ranks_of(rows: np.ndarray, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Midranks along the last axis, smallest first; a value ties with its group's first within the tolerance."""
+    """Midranks along the last axis, smallest first; a value ties with its group's first within the tolerance. All rows go together, column by column."""
     order = np.argsort(rows, axis=-1, kind="stable")
-    srt = np.take_along_axis(rows, order, -1)
-    out = np.empty(rows.shape)
-    for idx in np.ndindex(rows.shape[:-1]):
-        v, i, k = srt[idx], 0, rows.shape[-1]
-        while i < k:
-            j = i
-            while j + 1 < k and v[j + 1] - v[i] <= tolerance:
-                j += 1
-            out[idx][order[idx][i : j + 1]] = (i + j) / 2 + 1
-            i = j + 1
+    v = np.take_along_axis(rows, order, -1)
+    k = v.shape[-1]
+    first, last = np.zeros(v.shape), np.zeros(v.shape)
+    for c in range(1, k):
+        head = np.take_along_axis(v, first[..., [c - 1]].astype(int), -1)[..., 0]
+        first[..., c] = np.where(v[..., c] - head > tolerance, c, first[..., c - 1])
+    last[..., k - 1] = k - 1
+    for c in range(k - 2, -1, -1):
+        last[..., c] = np.where(first[..., c + 1] == first[..., c], last[..., c + 1], c)
+    out = np.empty(v.shape)
+    np.put_along_axis(out, order, (first + last) / 2 + 1, -1)
     return out
 
 
 def _grid(series: DataFrame, by: str) -> DataFrame:
-    """The cells of the items that all arms share, if they fit one task."""
-    x = series.join(shared_by_all(series), [by, "item_id"], "left_semi")
-    most = x.groupBy(by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > CELLS:
-        raise ValueError(f"{most} cells of arms and items in one dataset; the rank tests take {CELLS}: compare pairs, or sample the items")
-    return x
+    """The cells of the items that all arms share, written once."""
+    return durable_table(series.select(by, "config_id", "item_id", "value").join(shared_by_all(series), [by, "item_id"], "left_semi"))
+
+
+def _packed(m: pd.DataFrame) -> bytes:
+    return np.ascontiguousarray(m.to_numpy(float)).tobytes()
 
 
 def significance(series: DataFrame, ascending: bool = False, seed: int = 20260925, shuffles: int = 5000, resamples: int = 2000) -> DataFrame:
     """Friedman by permutation, Nemenyi difference and rank probabilities of each dataset (ST-13 to ST-15).
 
     One row for each arm: k, n_items, p (of an arm effect), critical_difference, avg_rank, p_first (alone), p_top and
-    p_bottom over resampled items. Datasets with under two arms or three shared items are absent. Shuffles and
-    resamples use numpy's seeded generator, in blocks.
+    p_bottom over resampled items. Datasets with under two arms or three shared items are absent. Any number of items:
+    they are dealt to tasks that shuffle and resample their share and return sums by arm, which add up. Shuffles and
+    resamples use numpy's seeded generator; how often a resample takes items of a task's share is drawn alike by all tasks.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    grid = _grid(series, "dataset_id")
+    size = grid.groupBy("dataset_id").agg(F.countDistinct("config_id").alias("k"), F.countDistinct("item_id").alias("n")).filter("k >= 2 AND n >= 3")
+    size = size.select("dataset_id", "n", F.ceil(F.col("k") * F.col("n") / TASK_CELLS).cast("int").alias("parts"))
+    x = grid.join(size, "dataset_id").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int"))
+    shares = x.groupBy("dataset_id", "part").agg(F.countDistinct("item_id").alias("m")).groupBy("dataset_id").agg(F.array_sort(F.collect_list(F.struct("part", "m"))).alias("shares"))
+    x = x.join(shares, "dataset_id").select("dataset_id", "config_id", "item_id", "value", "n", "part", F.col("shares.part").alias("which"), F.col("shares.m").alias("many"))
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="item_id", columns="config_id", values="value").sort_index()
-        v = m.to_numpy() * (1 if ascending else -1)
-        n, k = v.shape
-        cols = ["dataset_id", "config_id", "k", "n_items", "p", "critical_difference", "avg_rank", "p_first", "p_top", "p_bottom"]
-        if k < 2 or n < 3:
-            return pd.DataFrame(columns=cols)
+        v = m.to_numpy(float) * (1 if ascending else -1)
         r = ranks_of(v)
-        avg = r.mean(0)
-        seen = float((avg**2).sum())
-        rng = np.random.default_rng(seed)
-        hits, block = 0, max(1, 4_000_000 // (n * k))
-        for i in range(0, shuffles, block):
-            b = min(block, shuffles - i)
-            keys = rng.random((b, n, k)).argsort(-1)
-            means = np.take_along_axis(np.broadcast_to(r, (b, n, k)), keys, -1).mean(1)
-            hits += int(((means**2).sum(1) >= seen - 1e-12).sum())
+        part, (here, k) = int(pdf["part"].iloc[0]), v.shape
+        rng = np.random.default_rng([seed, part])
+        step, shuffled = max(1, 2_000_000 // v.size), []
+        for i in range(0, shuffles, step):
+            shuffled.append(rng.permuted(np.broadcast_to(r, (min(step, shuffles - i), here, k)), axis=-1).sum(1))
+        n, which, many = int(pdf["n"].iloc[0]), list(pdf["which"].iloc[0]), np.asarray(pdf["many"].iloc[0], dtype=float)
+        taken = np.random.default_rng(seed).multinomial(n, many / n, resamples)[:, which.index(part)]
+        means = rng.multinomial(taken, np.full(here, 1 / here)) @ v / n
+        return pd.DataFrame([[pdf["dataset_id"].iloc[0], part, n, list(m.columns), _packed(pd.DataFrame(np.vstack([r.sum(0)[None, :], *shuffled, means])))]], columns=["dataset_id", "part", "n", "arms", "sums"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(b) for b in pdf["sums"])
+        return pd.DataFrame([[*pdf.iloc[0][["dataset_id", "part", "n", "arms"]], total.tobytes()]], columns=["dataset_id", "part", "n", "arms", "sums"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        arms, n = list(pdf["arms"].iloc[0]), int(pdf["n"].iloc[0])
+        k = len(arms)
+        sums = sum(np.frombuffer(b) for b in pdf["sums"]).reshape(-1, k)
+        avg, shuffled, place = sums[0] / n, sums[1 : shuffles + 1] / n, ranks_of(sums[shuffles + 1 :])
+        hits = int(((shuffled**2).sum(1) >= (avg**2).sum() - 1e-12).sum())
         q = nemenyi_q(k)
-        cd = q * math.sqrt(k * (k + 1) / (6 * n)) if q else None
-        top = max(1, min(5, k // 4))
-        counts = np.stack([np.bincount(rng.integers(0, n, n), minlength=n) for _ in range(resamples)])
-        place = ranks_of((counts @ v) / n)
+        top = max(1, min(5, k // 4))  # fixed value: how many places count as top and bottom
         return pd.DataFrame({
-            "dataset_id": pdf["dataset_id"].iloc[0], "config_id": list(m.columns), "k": k, "n_items": n, "p": (hits + 1) / (shuffles + 1), "critical_difference": cd, "avg_rank": avg,
+            "dataset_id": pdf["dataset_id"].iloc[0], "config_id": arms, "k": k, "n_items": n, "p": (hits + 1) / (shuffles + 1), "critical_difference": q * math.sqrt(k * (k + 1) / (6 * n)) if q else None, "avg_rank": avg,
             "p_first": (place == 1).mean(0), "p_top": (place <= top).mean(0), "p_bottom": (place > k - top).mean(0),
-        })[cols]
+        })
 
-    schema = "dataset_id string, config_id string, k int, n_items int, p double, critical_difference double, avg_rank double, p_first double, p_top double, p_bottom double"
-    return _grid(series, "dataset_id").groupBy("dataset_id").applyInPandas(one, schema)
+    partial = "dataset_id string, part int, n long, arms array<string>, sums binary"
+    got = x.groupBy("dataset_id", "part").applyInPandas(share, partial)
+    got = got.groupBy("dataset_id", F.pmod("part", F.lit(32))).applyInPandas(lambda key, pdf: added(pdf), partial)
+    return got.groupBy("dataset_id").applyInPandas(whole, "dataset_id string, config_id string, k int, n_items int, p double, critical_difference double, avg_rank double, p_first double, p_top double, p_bottom double")
 
 
 def distinguishable(avg_ranks: DataFrame) -> DataFrame:
@@ -110,40 +127,77 @@ def distinguishable(avg_ranks: DataFrame) -> DataFrame:
     return a.join(b, "dataset_id").filter(F.col("rb") - F.col("ra") > F.col("cd")).select("dataset_id", "better", "worse", (F.col("rb") - F.col("ra")).alias("gap"))
 
 
-def stability(series: DataFrame, sizes: tuple[int, ...] = (10, 20, 50, 100), draws: int = 400, seed: int = 7, ascending: bool = False) -> DataFrame:
+def _halves(n: int, size: int, draws: int, seed: int) -> np.ndarray:
+    """draws x 2 x size item numbers of 0..n-1: two halves without a common item for each draw."""
+    rng = np.random.default_rng([seed, size, n])
+    return np.stack([rng.choice(n, 2 * size, replace=False) for _ in range(draws)]).reshape(draws, 2, size)
+
+
+def _agreement(means: np.ndarray, full: np.ndarray) -> tuple:
+    """What the halves' means (draws x 2 x arms) say: rho, rho_low, p_same_winner, rank_move, tied_first, undecided."""
+    means = np.round(means, 12)
+    ranks = ranks_of(means, 0.0)
+    dev = ranks - ranks.mean(-1, keepdims=True)
+    spread = np.sqrt((dev**2).sum(-1))
+    has = (spread > 0).all(1)
+    rho = np.sort((dev[has, 0] * dev[has, 1]).sum(-1) / spread[has].prod(1))
+    best = ranks == ranks.min(-1, keepdims=True)
+    one = (best.sum(-1) == 1).all(1)
+    same = best[one].argmax(-1)
+    low = float(rho[int(0.05 * len(rho))]) if len(rho) else None
+    tied = (means[:, 0] == means[:, 0].min(-1, keepdims=True)).sum(-1)
+    return (float(rho.mean()) if len(rho) else None, low, float((same[:, 0] == same[:, 1]).mean()) if len(same) else None,
+            float(np.median(np.abs(ranks[:, 0] - full), axis=-1).mean()), float(tied.mean()), int((~one).sum()))
+
+
+def stability(series: DataFrame, sizes: tuple[int, ...] = (10, 20, 50, 100), draws: int = 400, seed: int = 20260926, ascending: bool = False, cells: int = CELLS) -> DataFrame:
     """Split-half stability of the ranking (ST-21, ST-22): for each size two disjoint halves, drawn ``draws`` times.
 
     Columns: rho (mean Spearman), rho_low (5th percentile), p_same_winner (of draws with one winner in both halves),
-    rank_move (mean over draws of the median move against the full ranking), tied_first, undecided.
+    rank_move (mean over draws of the median move against the full ranking), tied_first, undecided. Sizes of which a
+    dataset does not hold two are absent, as are datasets of under three arms. Each size is a task. A dataset above ``cells``
+    is not gathered: the drawn items are joined to their values and averaged by draw, half and arm; the draws are the same.
     """
     sign = 1 if ascending else -1
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    grid = _grid(series, "dataset_id")
+    counts = grid.groupBy("dataset_id").agg(F.count("*").alias("cells"), F.countDistinct("item_id").alias("n"), F.countDistinct("config_id").alias("k")).filter("k >= 3")
+    counts = counts.filter(F.col("n") >= 2 * min(sizes))
+    fits = F.explode(F.filter(F.array(*map(F.lit, sizes)), lambda s: 2 * s <= F.col("n"))).alias("size")
+    schema = "dataset_id string, size int, rho double, rho_low double, p_same_winner double, rank_move double, tied_first double, undecided int"
+    cols = ["dataset_id", "size", "rho", "rho_low", "p_same_winner", "rank_move", "tied_first", "undecided"]
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         m = pdf.pivot(index="item_id", columns="config_id", values="value").sort_index()
-        v, n_items = m.to_numpy() * sign, len(m)
-        rows, rng = [], random.Random(seed)
-        full = ranks_of(v.mean(0), 0.0) if m.shape[1] else None
-        for size in sizes:
-            if 2 * size > n_items or m.shape[1] < 3:
-                continue
-            rho, same, decided, moves, ties = [], 0, 0, [], []
-            for _ in range(draws):
-                pick = rng.sample(range(n_items), 2 * size)
-                mu = np.round(v[pick[:size]].mean(0), 12), np.round(v[pick[size:]].mean(0), 12)
-                a, b = ranks_of(mu[0], 0.0), ranks_of(mu[1], 0.0)
-                if a.std() > 0 and b.std() > 0:
-                    rho.append(float(np.corrcoef(a, b)[0, 1]))
-                wa, wb = np.flatnonzero(a == a.min()), np.flatnonzero(b == b.min())
-                if len(wa) == len(wb) == 1:
-                    decided += 1
-                    same += int(wa[0] == wb[0])
-                moves.append(float(np.median(np.abs(a - full))))
-                ties.append(int((mu[0] == mu[0].min()).sum()))
-            rho.sort()
-            rows.append((pdf["dataset_id"].iloc[0], size, float(np.mean(rho)) if rho else None, rho[int(0.05 * len(rho))] if rho else None, same / decided if decided else None, float(np.mean(moves)), float(np.mean(ties)), draws - decided))
-        return pd.DataFrame(rows, columns=["dataset_id", "size", "rho", "rho_low", "p_same_winner", "rank_move", "tied_first", "undecided"])
-
-    return _grid(series, "dataset_id").groupBy("dataset_id").applyInPandas(one, "dataset_id string, size int, rho double, rho_low double, p_same_winner double, rank_move double, tied_first double, undecided int")
+        return pd.DataFrame([[pdf["dataset_id"].iloc[0], len(m), m.shape[1], _packed(m)]], columns=["dataset_id", "n", "k", "packed"])
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        d, n, k, packed, size = pdf.iloc[0][["dataset_id", "n", "k", "packed", "size"]]
+        v = np.frombuffer(packed).reshape(n, k) * sign
+        return pd.DataFrame([[d, size, *_agreement(v[_halves(int(n), int(size), draws, seed)].mean(2), ranks_of(v.mean(0), 0.0))]], columns=cols)
+
+    small = grid.join(counts.filter(F.col("cells") <= cells).select("dataset_id"), "dataset_id", "left_semi")
+    packs = small.groupBy("dataset_id").applyInPandas(pack, "dataset_id string, n int, k int, packed binary")
+    got = packs.select("*", fits).groupBy("dataset_id", "size").applyInPandas(inside, schema)
+
+    def numbers(pdf: pd.DataFrame) -> pd.DataFrame:
+        d, n, size = pdf.iloc[0][["dataset_id", "n", "size"]]
+        at = _halves(int(n), int(size), draws, seed)
+        draw, half, _ = np.indices(at.shape)
+        return pd.DataFrame({"dataset_id": d, "size": size, "draw": draw.ravel(), "half": half.ravel(), "at": at.ravel()})
+
+    def outside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["draw", "half", "config_id"])
+        k = pdf["config_id"].nunique()
+        full = pdf["full"].to_numpy(float)[:k] * sign
+        return pd.DataFrame([[pdf["dataset_id"].iloc[0], pdf["size"].iloc[0], *_agreement(pdf["mu"].to_numpy(float).reshape(draws, 2, k) * sign, ranks_of(full, 0.0))]], columns=cols)
+
+    large = counts.filter(F.col("cells") > cells).select("dataset_id", "n")
+    picks = large.select("dataset_id", "n", fits).groupBy("dataset_id", "size").applyInPandas(numbers, "dataset_id string, size int, draw int, half int, at int")
+    big = grid.join(large, "dataset_id", "left_semi")
+    items = big.select("dataset_id", "item_id").distinct().withColumn("at", F.row_number().over(Window.partitionBy("dataset_id").orderBy("item_id")) - 1)
+    drawn = picks.join(items, ["dataset_id", "at"]).join(big, ["dataset_id", "item_id"]).groupBy("dataset_id", "size", "draw", "half", "config_id").agg(F.avg("value").alias("mu"))
+    means = big.groupBy("dataset_id", "config_id").agg(F.avg("value").alias("full"))
+    return got.unionByName(drawn.join(means, ["dataset_id", "config_id"]).groupBy("dataset_id", "size").applyInPandas(outside, schema))
 
 
 def frontier(points: DataFrame, by: list[str], arm: str, up: list[str], down: list[str]) -> DataFrame:
@@ -175,8 +229,6 @@ def frontier(points: DataFrame, by: list[str], arm: str, up: list[str], down: li
 
 def percentile_rank(df: DataFrame, by: list[str], value: str, tied: float = 0.5) -> DataFrame:
     """(number below + tied x number equal besides itself) / n others (ST-52)."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(*by)
     below = F.rank().over(w.orderBy(value)) - 1
     equal = F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import signflip as sf
+from ..storage import durable_table
 from .joins import paired
 
 
@@ -55,22 +56,51 @@ def _limit(total: str, squares: str) -> Column:
     return limit(total, squares)
 
 
-def tests(pairs: DataFrame, keys: list[str], table: DataFrame, intervals: bool = True, permutations: int = sf.PERMUTATIONS, seed: int = sf.SEED) -> DataFrame:
-    """p and interval for each row of ``table`` (from delta_table).
+#: Draws that one task makes; longer tests are split by passes, and each part skips ahead in the stream.
+TASK_DRAWS = 200_000_000
+
+
+def _sampled(pairs: DataFrame, keys: list[str], plan: DataFrame, permutations: int, seed: int, intervals: bool) -> DataFrame:
+    """keys, p, low and high of the pairs in ``plan``: keys, n (at most DRAWN) and skip, the passes over items that their stream has made before.
 
-    Only pairs of at most DRAWN items are gathered, one test a group; for longer ones the limit comes from the sums.
+    A task holds the deltas of one pair and draws at most TASK_DRAWS signs; hits of a pair's parts are summed.
     """
     types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", p double, low double, high double"
+    each = F.greatest(F.lit(1), F.floor(F.lit(TASK_DRAWS) / F.col("n"))).cast("int")
+    number = F.when(F.col("n") > sf.EXACT, F.ceil(F.lit(permutations) / each)).otherwise(1).cast("int")
+    parts = plan.select(*keys, F.col("skip").alias("_skip"), each.alias("_each"), F.explode(F.sequence(F.lit(0), number - 1)).alias("_part"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, each, skip = (int(pdf[c].iloc[0]) for c in ("_part", "_each", "_skip"))
         d = pdf.sort_values("item_id")["delta"].to_numpy(float)
-        p = sf.p_value(d, permutations, seed) if len(d) >= 2 and d.any() else None
-        ci = sf.interval(d) if intervals else None
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), p, *(ci or (None, None))]], columns=[*keys, "p", "low", "high"])
+        p = hit = None
+        if len(d) <= sf.EXACT:
+            p = sf.exact_p(d)
+        else:
+            first = part * each
+            passes = min(each, permutations - first)
+            if not skip and passes == permutations:
+                p = sf.drawn_p(d, permutations, seed)
+            else:
+                hit = sf.drawn_hits(d, passes, sf.Signs(seed, skip + first * len(d)))
+        ci = sf.interval(d) if intervals and not part else None
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), p, hit, *(ci or (None, None))]], columns=[*keys, "p", "hit", "low", "high"])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", p double, hit double, low double, high double"
+    got = pairs.select(*keys, "item_id", "delta").join(parts, keys).groupBy(*keys, "_part").applyInPandas(one, schema)
+    p = F.coalesce(F.max("p"), (F.sum("hit") + 1) / (permutations + 1))
+    return got.groupBy(*keys).agg(p.alias("p"), F.max("low").alias("low"), F.max("high").alias("high"))
+
+
+def tests(pairs: DataFrame, keys: list[str], table: DataFrame, intervals: bool = True, permutations: int = sf.PERMUTATIONS, seed: int = sf.SEED) -> DataFrame:
+    """p and interval for each row of ``table`` (from delta_table); p is null for a single item and where all deltas are 0.
 
-    short = table.filter(F.col("n") <= sf.DRAWN).select(*keys)
-    got = pairs.join(short, keys, "left_semi").select(*keys, "item_id", "delta").groupBy(*keys).applyInPandas(one, schema)
+    Every test has a stream of its own from the seed. Pairs above DRAWN items are never gathered: the limit comes from the sums.
+    """
+    plan = table.filter(F.col("n") <= sf.DRAWN).select(*keys, "n", F.lit(0).cast("long").alias("skip"))
+    got = _sampled(pairs, keys, plan, permutations, seed, intervals)
+    moved = table.filter((F.col("n") >= 2) & (F.col("_squares") > 0)).select(*keys, F.lit(True).alias("_moved"))
+    got = got.join(moved, keys, "left").select(*keys, F.when(F.col("_moved"), F.col("p")).alias("p"), "low", "high")
 
     z = 1.959964
     half = (z + (z**3 + z) / (4 * (F.col("n") - 1))) * F.sqrt((F.col("_squares") - F.col("_total") * F.col("mean_delta")) / (F.col("n") - 1)) / F.sqrt("n")
@@ -89,13 +119,15 @@ def compare(series: DataFrame, baseline: str, higher_is_better: bool = True, neu
     """Every arm against the baseline of its dataset (ST-8): n, means, delta, wins, losses, ties, least p, p, interval, Holm threshold, verdict.
 
     ``groups`` (item_id, grp) breaks the items up; with ``joint`` one correction covers all of a dataset's
-    groups and arms (ST-9). All pairs come from one join, all tests from one grouped pass.
+    groups and arms (ST-9). All pairs come from one join, all tests from one grouped pass; the pairs are written once, as
+    their sums, their tests and the choice between these read them.
     """
     pairs = paired(series, baseline)
     keys = ["dataset_id", "config_id"]
     if groups is not None:
         pairs, keys = pairs.join(groups, "item_id"), ["dataset_id", "grp", "config_id"]
-    table = delta_table(pairs, keys, higher_is_better)
+    pairs = durable_table(pairs.select(*keys, "item_id", "a", "b", "delta"))
+    table = durable_table(delta_table(pairs, keys, higher_is_better))
     x = table.join(tests(pairs, keys, table, intervals), keys)
     x = holm(x, "p", ["dataset_id"] if joint or groups is None else ["dataset_id", "grp"], [k for k in keys if k != "dataset_id"], family=family)
     least = F.pow(F.lit(2.0), 1 - F.col("n"))
@@ -108,22 +140,17 @@ def compare(series: DataFrame, baseline: str, higher_is_better: bool = True, neu
 def family_test(series: DataFrame, arm: str, permutations: int = sf.PERMUTATIONS, seed: int = sf.SEED, least_items: int = 3) -> DataFrame:
     """One arm against a family of opponents whose draws come from one stream, in the opponents' order (ST-11).
 
-    The stream ties a dataset's tests together, so they run in one task; it holds the deltas of at most DRAWN
-    items an opponent, and longer pairs take the limit from their sums. Holm's family has both.
+    Each opponent is a task of its own, or several, that skip what the stream has drawn for those before. Opponents
+    of more than DRAWN items take the limit from their sums; Holm's family has both.
     """
-    pairs = paired(series, arm)
-    n = delta_table(pairs, ["dataset_id", "config_id"]).filter(F.col("n") >= least_items)
-    keep = n.filter(F.col("n") <= sf.DRAWN).select("dataset_id", "config_id")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        stream, rows = sf.Signs(seed), []
-        for name, g in pdf.groupby("config_id", sort=True):
-            d = -g.sort_values("item_id")["delta"].to_numpy(float)
-            rows.append((pdf["dataset_id"].iloc[0], name, len(d), float(d.mean()), sf.p_value(d, permutations, seed, stream)))
-        return pd.DataFrame(rows, columns=["dataset_id", "config_id", "n", "delta", "p"])
-
-    got = pairs.join(keep, ["dataset_id", "config_id"], "left_semi").select("dataset_id", "config_id", "item_id", "delta").groupBy("dataset_id").applyInPandas(one, "dataset_id string, config_id string, n long, delta double, p double")
-    long = n.filter(F.col("n") > sf.DRAWN).select("dataset_id", "config_id", "n", (-F.col("mean_delta")).alias("delta"), _limit("_total", "_squares").alias("p"))
+    keys = ["dataset_id", "config_id"]
+    pairs = durable_table(paired(series, arm).select(*keys, "item_id", "a", "b", "delta"))
+    n = durable_table(delta_table(pairs, keys).filter(F.col("n") >= least_items))
+    drawn = F.when((F.col("n") > sf.EXACT) & (F.col("n") <= sf.DRAWN), F.col("n") * permutations).otherwise(0)
+    before = Window.partitionBy("dataset_id").orderBy("config_id").rowsBetween(Window.unboundedPreceding, -1)
+    plan = n.select(*keys, "n", F.coalesce(F.sum(drawn).over(before), F.lit(0)).cast("long").alias("skip")).filter(F.col("n") <= sf.DRAWN)
+    got = n.join(_sampled(pairs, keys, plan, permutations, seed, False), keys).select(*keys, "n", (-F.col("mean_delta")).alias("delta"), "p")
+    long = n.filter(F.col("n") > sf.DRAWN).select(*keys, "n", (-F.col("mean_delta")).alias("delta"), _limit("_total", "_squares").alias("p"))
     return holm(got.unionByName(long), "p", ["dataset_id"], ["config_id"])
 
 
