@@ -74,11 +74,12 @@ _ASKED = re.compile(r"\b(?:in|into|to|auf|ins|in das|en|al|au|vers l['’]|in pl
 _WORD = re.compile(r"(?<!\w)[^\W\d_]{2,}(?!\w)")
 # One of these stands in every refusal that _REFUSAL finds: a quick way past the other texts.
 _HINTS = (
-    "can't", "can’t", "cannot", "can not", "could", "won't", "won’t", "will not", "declin", "refus", "able", "not allowed", "not permitted", "not comfortable", "not in a", "not going",
-    "not feel", "n't feel", "not think", "n't think", "not wish", "n't wish", "rather not", "must pass", "to pass", "possib", "something i ", "against my", "beyond", "outside", " ich ", "ich ", "mir ",
+    "can't", "can’t", "cannot", "can not", "could", "won't", "won’t", "will not", "declin", "refus", " able", "unable", "not allowed", "not permitted", "not comfortable", "not in a", "not going",
+    "not feel", "n't feel", "not think", "n't think", "not wish", "n't wish", "rather not", "must pass", "to pass", "possib", "something i ", "against my", "beyond what", "beyond my", "outside what", "outside my",
+    " ich ", "\nich ", "\"ich ", "„ich ", "(ich ", "mir ",
     "je ne", "je préf", "je dois", "je me", "je déc", "m'est", "m’est", "était", "contraire", "no puedo", "no podría", "no me", "no estoy", "no quiero", "no deseo", "no voy", "no debo",
     "prefiero", "preferir", "rechazar", "negarme", "niego", "mis normas", "mis reglas",
-    "non posso", "non potrei", "non sono", "non mi", "devo", "preferisco", "não", "prefiro", "ik ", " ik",
+    "non posso", "non potrei", "non sono", "non mi", "devo", "preferisco", "não", "prefiro", " ik ", "\nik ", "\"ik ", "(ik ",
 )
 _HINTED = ahocorasick.Automaton()
 for _h in _HINTS:
@@ -107,11 +108,16 @@ class LanguageDictionary:
 
     @staticmethod
     def learn(rows: Iterable[tuple[str, str]]) -> LanguageDictionary:
+        return LanguageDictionary(LanguageDictionary.count(rows))
+
+    @staticmethod
+    def count(rows: Iterable[tuple[str, str]]) -> dict[str, Counter]:
+        """Words by language of (text, language) rows; other languages are left out."""
         counts: dict[str, Counter] = {k: Counter() for k in LANGUAGES}
         for text, lang in rows:
             if text and lang and lang.lower() in counts:
                 counts[lang.lower()].update(w.lower() for w in _WORD.findall(_NOISE.sub(" ", text)))
-        return LanguageDictionary(counts)
+        return counts
 
     def evidence(self, words: list[str], want: str | None = None) -> tuple[list[float], int, int]:
         """Evidence for each language, the number of words it rests on, and how many of these speak for ``want``."""
@@ -124,7 +130,11 @@ class LanguageDictionary:
         return list(map(sum, columns)), len(found), len([x for x in own if x > 0])
 
     def language(self, text: str) -> str | None:
-        s, n, _ = self.evidence(_WORD.findall(text.lower()))
+        """The language that the words speak for, or none. Words between blanks decide if they are clear, else all words do."""
+        low = text.lower()
+        s, n, _ = self.evidence(low.split())
+        if n < 8 or sorted(s)[-1] - sorted(s)[-2] < n:
+            s, n, _ = self.evidence(_WORD.findall(low))
         return self.order[max(range(len(s)), key=s.__getitem__)] if n else None
 
 
@@ -138,7 +148,7 @@ def foreign_script(text: str) -> bool:
 
 def refuses(text: str) -> bool:
     """Whether the response, as a whole, declines: a first-person refusal with at most one sentence of anything else before it."""
-    if next(_HINTED.iter(text.lower()), None) is None or not _REFUSAL.search(text):
+    if next(_HINTED.iter(" " + text.lower()), None) is None or not _REFUSAL.search(text):
         return False
     parts = [p for p in _SENTENCE.split(text.strip()) if p and endings._ANY.search(p)]
     at = [i for i, p in enumerate(parts) if _REFUSAL.search(p)]
@@ -275,7 +285,12 @@ class Judge:
             return False
         if foreign_script(said):
             return True
-        words = _WORD.findall(said.lower())
+        low = said.lower()
+        words = low.split()
+        s, n, claimed = self.languages.evidence(words, want)
+        if n >= 8 and claimed > 2 * CLAIMED * len(words) and max(s) == s[self.languages.order.index(want)]:
+            return False  # clear from the words between blanks
+        words = _WORD.findall(low)
         s, n, claimed = self.languages.evidence(words, want)
         if len(words) >= LEAST_WORDS and claimed < CLAIMED * len(words):
             return True  # of another language, or of none that the dictionary knows
@@ -305,8 +320,23 @@ def learn(pairs: DataFrame, sample: int = SAMPLE) -> Judge:
     prompts that carry a language label, chosen by hash of the id.
     """
     labelled = pairs.select("call_id", "prompt", "lang").filter(F.lower("lang").isin(*LANGUAGES) & F.col("prompt").isNotNull())
-    known = bounded_sample(labelled, "call_id", sample).toPandas()
-    return Judge(endings.context_model(pairs, "output"), LanguageDictionary.learn(zip(known["prompt"], known["lang"], strict=True)))
+    known = bounded_sample(labelled, "call_id", sample)
+    return Judge(endings.context_model(pairs, "output"), LanguageDictionary(_word_counts(known)))
+
+
+def _word_counts(known: DataFrame) -> dict[str, Counter]:
+    """The words of labelled texts by language, counted where they are; a word seen once says nothing and is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, w, n) for k, c in LanguageDictionary.count(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)).items() for w, n in c.items()]
+            if rows:
+                lang, word, n = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(word), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+
+    n = known.select("prompt", "lang").mapInArrow(run, "lang string, word string, n long").groupBy("word").pivot("lang", list(LANGUAGES)).agg(F.sum("n")).na.fill(0)
+    got = n.filter(" + ".join(LANGUAGES) + " >= 2").toPandas()
+    return {k: Counter({w: int(c) for w, c in zip(got["word"], got[k], strict=True) if c}) for k in LANGUAGES}
 
 
 def examined(pairs: DataFrame, judge: Judge) -> DataFrame:
