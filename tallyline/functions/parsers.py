@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
 
@@ -47,35 +48,38 @@ def first_object(text: str | None) -> dict | None:
     return None
 
 
+def _whole(v) -> bool:
+    return isinstance(v, int) and not isinstance(v, bool)
+
+
 def parse_pairwise(text: str | None) -> str | None:
-    """1, 2 or tie of a pairwise reply's ``better``; anything else is unreadable."""
+    """1, 2 or tie of a pairwise reply's ``better``: one of these numbers, as a number, or that word; anything else is unreadable."""
     value = (first_object(text) or {}).get("better")
-    if isinstance(value, bool):
-        return None
-    if value in (1, 2):
-        return str(value)
-    x = value.strip().lower() if isinstance(value, str) else ""
-    return x if x in ("1", "2", "tie") else None
+    if _whole(value):
+        return str(value) if value in (1, 2) else None
+    return "tie" if isinstance(value, str) and value.strip().lower() == "tie" else None
 
 
 def parse_pick(text: str | None, n: int) -> list[int] | None:
-    """The numbers (1 to n) a pick reply names best; bools and others make it unreadable."""
+    """The numbers that a pick reply's ``best`` lists, in its order: whole ones from 1 to n, none twice, at least one; anything else is unreadable."""
     value = (first_object(text) or {}).get("best")
-    value = value if isinstance(value, list) else [value]
-    ok = value and all(isinstance(v, int) and not isinstance(v, bool) and 1 <= v <= n for v in value)
-    return sorted(set(value)) if ok else None
+    good = isinstance(value, list) and len(value) > 0 and all(_whole(v) and 1 <= v <= n for v in value) and len(set(value)) == len(value)
+    return value if good else None
 
 
-def parse_block(text: str | None, n: int, dims: list[str], low: int = 1, high: int = 5) -> list[float] | None:
-    """Mean grade of each of n outputs over the dimensions; every grade must be a number on the scale."""
-    got = first_object(text)
-    if got is None:
+def parse_block(text: str | None, n: int, dims: list[str], low: float = 1, high: float = 5) -> list[float] | None:
+    """Mean grade of each of n outputs over the dimensions. The object reaches from the first brace to the last; each dimension lists n numbers on the scale."""
+    body = (text or "")[(text or "").find("{") :]
+    try:
+        got = json.loads(body[: body.rfind("}") + 1])
+    except ValueError:
+        return None
+    if not isinstance(got, dict):
         return None
     rows = [got.get(d) for d in dims]
-    for r in rows:
-        if not isinstance(r, list) or len(r) != n or any(isinstance(v, bool) or not isinstance(v, (int, float)) or not low <= v <= high for v in r):
-            return None
-    return [sum(r[i] for r in rows) / len(rows) for i in range(n)]
+    if not all(isinstance(r, list) and len(r) == n and all((_whole(v) or isinstance(v, float)) and low <= v <= high for v in r) for r in rows):
+        return None
+    return [math.fsum(column) / len(dims) for column in zip(*rows, strict=True)]
 
 
 def pairwise(column):

@@ -18,9 +18,9 @@ def run_scores(long: DataFrame, digits: int = 6) -> DataFrame:
     return long.groupBy("run_id", "metric").agg(F.round(F.avg("value"), digits).alias("mean"), F.count("*").alias("n"), total.alias("total"))
 
 
-def arm_table(run_means: DataFrame) -> DataFrame:
-    """Mean and spread of an arm's runs (AG-2, ST-48)."""
-    return run_means.groupBy("dataset_id", "config_id").agg(
+def arm_table(run_means: DataFrame, *table: str) -> DataFrame:
+    """Mean and spread of an arm's runs (AG-2, ST-48), by dataset or by ``table``."""
+    return run_means.groupBy(*(table or ("dataset_id",)), "config_id").agg(
         F.round(F.avg("mean"), 9).alias("mean"), F.round(F.max("mean") - F.min("mean"), 9).alias("spread"), F.count("*").alias("n_runs"))
 
 
@@ -75,8 +75,8 @@ def per_class(pairs: DataFrame, gold: str = "gold", pred: str = "pred") -> DataF
 def class_summary(pairs: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
     """Accuracy, macro-F1 over all gold labels, share unparsed, worst class (AG-8)."""
     a = pairs.agg(F.count("*").alias("n"), F.round(F.avg(F.col(gold).eqNullSafe(F.col(pred)).cast("int")), 9).alias("accuracy"), F.round(F.avg(F.col(pred).isNull().cast("int")), 9).alias("unparsed"))
-    c = per_class(pairs, gold, pred).agg(F.round(F.avg("f1"), 9).alias("macro_f1"), F.min(F.struct("f1", "label")).getField("label").alias("worst_class")).first()
-    return a.select("*", F.lit(c["macro_f1"]).cast("double").alias("macro_f1"), F.lit(c["worst_class"]).cast("string").alias("worst_class"))
+    c = per_class(pairs, gold, pred).agg(F.round(F.avg("f1"), 9).alias("macro_f1"), F.min(F.struct("f1", "label")).getField("label").alias("worst_class"))
+    return a.withColumn("_one", F.lit(1)).join(c.withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
 
 
 def confusion(pairs: DataFrame, labels: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:

@@ -36,15 +36,15 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], seconds:
     return left.join(best, ident, "left").select(left["*"], F.col("m._value").alias(f"nearest_{value}"), (F.col("m._gap") / 1e6).alias("gap_s"))
 
 
-def followed_within(left: DataFrame, right: DataFrame, keys: list[str], days: int, at: str = "at") -> DataFrame:
+def followed_within(left: DataFrame, right: DataFrame, keys: list[str], days: int, at: str = "at", row_id: str = "row_id") -> DataFrame:
     """Rows of ``left`` with days to the first later row of ``right`` with equal keys, 0 to ``days`` days after, else null (JN-16).
 
-    Bucketed like nearest_within: only rows at most ``days`` apart meet.
+    ``row_id`` is a column of ``left`` that tells its rows apart. Bucketed like nearest_within: only rows at most ``days`` apart meet.
     """
     span = days * 86_400_000_000
     bucket = F.floor(F.unix_micros(at) / F.lit(span))
     ident = "_row"
-    rows = left.withColumn(ident, F.monotonically_increasing_id()) if "row_id" not in left.columns else left.withColumn(ident, F.col("row_id"))
+    rows = left.withColumn(ident, F.col(row_id))
     probe = rows.select(ident, *keys, F.unix_micros(at).alias("_at"), F.explode(F.sequence(bucket, bucket + 1)).alias("_bucket"))
     other = right.select(*keys, F.unix_micros(at).alias("_other"), bucket.alias("_bucket")).distinct()
     hit = probe.join(other, [*keys, "_bucket"]).filter((F.col("_other") >= F.col("_at")) & (F.col("_other") - F.col("_at") <= span))

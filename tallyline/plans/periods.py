@@ -8,28 +8,35 @@ from pyspark.sql import functions as F
 KEYS = ("7d", "14d", "30d", "90d", "week", "lastweek", "month", "lastmonth", "year", "all")
 
 
+# Fixed definitions. Of a period that begins with a unit of the calendar: the unit, how many units back it begins, and whether it is that whole unit.
+CALENDAR = {"week": ("week", 0, False), "lastweek": ("week", 1, True), "month": ("month", 0, False), "lastmonth": ("month", 1, True), "year": ("year", 0, False)}
+# Months in a unit; a week counts in days.
+MONTHS = {"month": 1, "year": 12}
+#: Periods of so many days up to today.
+DAYS = {k: int(k[:-1]) for k in KEYS if k[:-1].isdigit()}
+
+
+def _back(day: Column, unit: str, n: int) -> Column:
+    return F.add_months(day, -n * MONTHS[unit]) if unit in MONTHS else F.date_sub(day, 7 * n)
+
+
 def bounds(key: str, today: Column, first: Column) -> tuple[Column, Column, Column, Column]:
-    """since, until, and the same of the period before (null for all), as inclusive dates."""
+    """since, until, and the same of the period before (null for all), as inclusive dates.
+
+    The period before ends as far into its unit as this one does, and never beyond the unit.
+    """
     none = F.lit(None).cast("date")
-    if key.endswith("d") and key[:-1].isdigit():
-        n = int(key[:-1])
-        return F.date_sub(today, n - 1), today, F.date_sub(today, 2 * n - 1), F.date_sub(today, n)
-    monday = F.trunc(today, "week")
-    if key == "week":
-        return monday, today, F.date_sub(monday, 7), F.date_sub(today, 7)
-    if key == "lastweek":
-        return F.date_sub(monday, 7), F.date_sub(monday, 1), F.date_sub(monday, 14), F.date_sub(monday, 8)
-    month = F.trunc(today, "month")
-    if key == "month":
-        before = F.add_months(month, -1)
-        return month, today, before, F.least(F.date_add(before, F.dayofmonth(today) - 1), F.last_day(before))
-    if key == "lastmonth":
-        before, older = F.add_months(month, -1), F.add_months(month, -2)
-        return before, F.last_day(before), older, F.last_day(older)
-    if key == "year":
-        year = F.trunc(today, "year")
-        return year, today, F.add_months(year, -12), F.add_months(today, -12)
-    return first, today, none, none
+    if key in DAYS:
+        since = F.date_sub(today, DAYS[key] - 1)
+        return since, today, F.date_sub(since, DAYS[key]), F.date_sub(since, 1)
+    if key not in CALENDAR:
+        return first, today, none, none
+    unit, back, whole = CALENDAR[key]
+    since = _back(F.trunc(today, unit), unit, back)
+    before = _back(since, unit, 1)
+    if whole:
+        return since, F.date_sub(_back(since, unit, -1), 1), before, F.date_sub(since, 1)
+    return since, today, before, F.least(_back(today, unit, 1), F.date_sub(since, 1))
 
 
 def table(days: DataFrame, day: str, today: Column, first: Column) -> DataFrame:

@@ -20,16 +20,15 @@ def leaderboard(facts: DataFrame, metric: str, ascending: bool = False, referenc
     across: an arm scored against two of them has a row in each table.
     """
     f = facts.withColumn("reference", reference if reference is not None else F.lit("gold"))
-    f = f.withColumn("dataset_id", F.concat_ws("#", "dataset_id", "reference"))
-    runs = f.groupBy("dataset_id", "config_id", "run_id").agg(F.avg(metric).alias("mean"))
-    s = series(f, metric)
-    ranks = tolerant_ranks(s.join(shared_by_all(s), ["dataset_id", "item_id"], "left_semi"), ["dataset_id", "item_id"], "config_id", "value", ascending)
-    avg = ranks.groupBy("dataset_id", "config_id").agg(F.round(F.avg("rank"), 9).alias("avg_rank"))
+    table = ["dataset_id", "reference"]
+    runs = f.groupBy(*table, "config_id", "run_id").agg(F.avg(metric).alias("mean"))
+    s = series(f, metric, *table, "config_id", "item_id")
+    ranks = tolerant_ranks(s.join(shared_by_all(s, by=tuple(table)), [*table, "item_id"], "left_semi"), [*table, "item_id"], "config_id", "value", ascending)
+    avg = ranks.groupBy(*table, "config_id").agg(F.round(F.avg("rank"), 9).alias("avg_rank"))
     order = F.asc_nulls_last("mean") if ascending else F.desc_nulls_last("mean")
-    t = arm_table(runs).join(avg, ["dataset_id", "config_id"], "left")
-    t = t.withColumn("position", F.row_number().over(Window.partitionBy("dataset_id").orderBy(order, "config_id")))
-    split = F.split("dataset_id", "#")
-    return t.select(split[0].alias("dataset_id"), split[1].alias("reference"), "config_id", "mean", "spread", "n_runs", "avg_rank", "position")
+    t = arm_table(runs, *table).join(avg, [*table, "config_id"], "left")
+    t = t.withColumn("position", F.row_number().over(Window.partitionBy(*table).orderBy(order, "config_id")))
+    return t.select(*table, "config_id", "mean", "spread", "n_runs", "avg_rank", "position")
 
 
 def compare_filtered(facts: DataFrame, metric: str, baseline: str, keep: Column | None = None, items: DataFrame | None = None, **options) -> DataFrame:

@@ -100,9 +100,9 @@ def new_values(spark, d):
     return ds.new_values(x.filter("created_at >= '2026-01-01'"), x.filter("created_at < '2026-01-01'"), ["source", "lang"])
 
 
-@query("ds_18_blind", "SELECT item_id, config_id, chr(64 + row_number() OVER (PARTITION BY item_id ORDER BY sha256('5|' || item_id || '|' || config_id), config_id)::INT) AS letter FROM (SELECT DISTINCT item_id, config_id FROM predictions WHERE dataset_id = 'ister_judge')")
+@query("ds_18_blind", "SELECT item_id, config_id, chr(64 + row_number() OVER (PARTITION BY item_id ORDER BY sha256('5|' || item_id || '|' || config_id), config_id)::INT) AS letter FROM (SELECT DISTINCT item_id, config_id FROM predictions)")
 def blind(spark, d):
-    return ds.blind(table(spark, d, "predictions").filter("dataset_id = 'ister_judge'").select("item_id", "config_id").distinct(), "item_id", "config_id", "5")
+    return ds.blind(table(spark, d, "predictions").select("item_id", "config_id").distinct(), "item_id", "config_id", "5")
 
 
 @query("ds_21_arms", "SELECT config_id FROM (SELECT DISTINCT config_id FROM predictions WHERE dataset_id = 'elver_qa' UNION SELECT DISTINCT config_id FROM predictions WHERE dataset_id = 'brio_topics') WHERE config_id NOT IN (SELECT config_id FROM predictions WHERE dataset_id = 'ister_judge')")
@@ -164,17 +164,17 @@ def conditions(spark, d):
 _ARMS5 = ("arm_base", "opal_l", "opal_s", "tarn_l", "wren_m")
 
 
-@query("cv_7_sheet", q("SELECT item_id, " + ", ".join(f"max(value) FILTER (config_id = '{a}') AS {a}" for a in _ARMS5) + " FROM series WHERE dataset_id = 'elver_qa' GROUP BY 1"))
+@query("cv_7_sheet", q("SELECT dataset_id, item_id, " + ", ".join(f"max(value) FILTER (config_id = '{a}') AS {a}" for a in _ARMS5) + " FROM series GROUP BY 1, 2"))
 def sheet(spark, d):
     """Items by arms, arms named beforehand so that no pass is needed to find them."""
-    s = series(facts(spark, d, "overlap_f1").filter("dataset_id = 'elver_qa'"), "overlap_f1")
-    return s.groupBy("item_id").pivot("config_id", list(_ARMS5)).agg(F.max("value"))
+    s = series(facts(spark, d, "overlap_f1"), "overlap_f1")
+    return s.groupBy("dataset_id", "item_id").pivot("config_id", list(_ARMS5)).agg(F.max("value"))
 
 
-@query("cv_8_items_out", q("SELECT item_id, count(*) AS n_arms, max(value) AS best, min(value) AS worst FROM series WHERE dataset_id = 'calder_ner' GROUP BY 1"))
+@query("cv_8_items_out", q("SELECT dataset_id, item_id, count(*) AS n_arms, max(value) AS best, min(value) AS worst FROM series GROUP BY 1, 2"))
 def items_out(spark, d):
-    s = series(facts(spark, d, "overlap_f1").filter("dataset_id = 'calder_ner'"), "overlap_f1")
-    return s.groupBy("item_id").agg(F.count("*").alias("n_arms"), F.max("value").alias("best"), F.min("value").alias("worst"))
+    s = series(facts(spark, d, "overlap_f1"), "overlap_f1")
+    return s.groupBy("dataset_id", "item_id").agg(F.count("*").alias("n_arms"), F.max("value").alias("best"), F.min("value").alias("worst"))
 
 
 _M = "date_trunc('month', t)::DATE"
@@ -215,12 +215,12 @@ def search(spark, d):
     return out
 
 
-@query("cv_16_warnings", q("""SELECT config_id, list_sort(list_filter([CASE WHEN n_runs > 1 THEN 'averaged' END, CASE WHEN missing > 0 THEN 'missing scores' END, CASE WHEN resumed > 0 THEN 'replayed' END], lambda x: x IS NOT NULL))::VARCHAR AS warnings FROM (SELECT config_id, count(DISTINCT run_id) AS n_runs, count(*) - count(overlap_f1) AS missing, sum(resumed) AS resumed FROM f WHERE dataset_id = 'elver_qa' GROUP BY 1)"""))
+@query("cv_16_warnings", q("""SELECT dataset_id, config_id, list_sort(list_filter([CASE WHEN n_runs > 1 THEN 'averaged' END, CASE WHEN missing > 0 THEN 'missing scores' END, CASE WHEN resumed > 0 THEN 'replayed' END], lambda x: x IS NOT NULL))::VARCHAR AS warnings FROM (SELECT dataset_id, config_id, count(DISTINCT run_id) AS n_runs, count(*) - count(overlap_f1) AS missing, sum(resumed) AS resumed FROM f GROUP BY 1, 2)"""))
 def warnings(spark, d):
-    f = facts(spark, d, "overlap_f1", "resumed").filter("dataset_id = 'elver_qa'")
-    x = f.groupBy("config_id").agg(F.countDistinct("run_id").alias("n_runs"), F.count_if(F.col("overlap_f1").isNull()).alias("missing"), F.sum("resumed").alias("resumed"))
+    f = facts(spark, d, "overlap_f1", "resumed")
+    x = f.groupBy("dataset_id", "config_id").agg(F.countDistinct("run_id").alias("n_runs"), F.count_if(F.col("overlap_f1").isNull()).alias("missing"), F.sum("resumed").alias("resumed"))
     w = F.array_sort(F.filter(F.array(F.when(F.col("n_runs") > 1, F.lit("averaged")), F.when(F.col("missing") > 0, F.lit("missing scores")), F.when(F.col("resumed") > 0, F.lit("replayed"))), lambda c: c.isNotNull()))
-    return x.select("config_id", F.concat(F.lit("["), F.array_join(w, ", "), F.lit("]")).alias("warnings"))
+    return x.select("dataset_id", "config_id", F.concat(F.lit("["), F.array_join(w, ", "), F.lit("]")).alias("warnings"))
 
 
 @query("cv_17_flags", """WITH c AS (SELECT DISTINCT call_id, run_id, finish_reason, tokens_out, max_tokens, text FROM completions) SELECT run_id, count(*) FILTER (finish_reason = 'length') AS cut_off, count(*) FILTER (tokens_out > max_tokens / 2) AS long_replies, count(*) FILTER (text IS NULL OR text = '') AS no_answer FROM c GROUP BY 1 HAVING cut_off + long_replies + no_answer > 0""")

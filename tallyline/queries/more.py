@@ -21,6 +21,7 @@ from ..operators import ranks as rk
 from ..operators.aggregates import correlation, per_class
 from ..operators.joins import paired
 from ..plans import periods, reports
+from ..storage import durable_table
 from ..plans.frames import MEASURES, facts, long_scores, series, sql, table
 from . import query
 from .rollups import _CLASS, _LAB, _PAIRS, _pairs, grades
@@ -119,16 +120,9 @@ def subset_ranks(spark, d):
     return m.select("dataset_id", "config_id", rk.midrank(["dataset_id"], F.desc("mu"), "mu").alias("rank"))
 
 
-@query("rk_6_missing_last", "SELECT run_id, primary_score, row_number() OVER (ORDER BY CASE WHEN isnan(primary_score) THEN NULL ELSE primary_score END DESC NULLS LAST, run_id) AS position FROM (SELECT run_id, max(CASE WHEN isnan(primary_score) THEN NULL ELSE primary_score END) AS primary_score FROM run_candidates WHERE stratum = 'arm_base' GROUP BY 1) QUALIFY position <= 200")
-def missing_last(spark, d):
-    r = table(spark, d, "run_candidates").filter("stratum = 'arm_base'").groupBy("run_id").agg(F.max(F.when(~F.isnan("primary_score"), F.col("primary_score"))).alias("primary_score"))
-    top = r.orderBy(F.desc_nulls_last("primary_score"), "run_id").limit(200)
-    return top.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("primary_score"), "run_id")))  # over the 200 rows alone
-
-
-@query("rk_6_missing_last_all", "SELECT stratum, run_id, primary_score, row_number() OVER (PARTITION BY stratum ORDER BY primary_score DESC NULLS LAST, run_id) AS position FROM (SELECT stratum, run_id, max(CASE WHEN isnan(primary_score) THEN NULL ELSE primary_score END) AS primary_score FROM run_candidates GROUP BY 1, 2)")
+@query("rk_6_missing_last", "SELECT stratum, run_id, primary_score, row_number() OVER (PARTITION BY stratum ORDER BY primary_score DESC NULLS LAST, run_id) AS position FROM (SELECT stratum, run_id, max(CASE WHEN isnan(primary_score) THEN NULL ELSE primary_score END) AS primary_score FROM run_candidates GROUP BY 1, 2)")
 def missing_last_all(spark, d):
-    """Every run of every stratum in its place, those without a score last; rk_6_missing_last gives the first 200 of arm_base, as its SQL does. The window spills."""
+    """Every run of every stratum in its place, those without a score last. The window spills."""
     r = table(spark, d, "run_candidates").groupBy("stratum", "run_id").agg(F.max(F.when(~F.isnan("primary_score"), F.col("primary_score"))).alias("primary_score"))
     return r.withColumn("position", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc_nulls_last("primary_score"), "run_id")))
 
@@ -152,8 +146,8 @@ def one_place(spark, d):
 
 @query("st_2_drawn")
 def drawn(spark, d):
-    """Seeded sign-flip p of one arm of every dataset."""
-    p = paired(_series(spark, d).filter(F.col("config_id").isin(BASE, "opal_l")), BASE)
+    """Seeded sign-flip p of every arm of every dataset."""
+    p = durable_table(paired(_series(spark, d), BASE))
     t = pr.delta_table(p, ["dataset_id", "config_id"])
     return pr.tests(p, ["dataset_id", "config_id"], t)
 
@@ -239,15 +233,6 @@ def dedupe(spark, d):
     return v.groupBy("set_id", "item_id").agg(F.min("verdict_id").alias("first_verdict"), F.countDistinct("a").alias("n_arms"))
 
 
-@query("sf_18_random_floor", "SELECT query_id, doc_id FROM (SELECT t.item_id AS query_id, d.doc_id FROM (SELECT item_id FROM test_items WHERE dataset_id = 'brio_topics') t, (SELECT doc_id FROM documents WHERE doc_id % 25 = 0) d) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sha256('floor|' || query_id || '|' || doc_id), doc_id) <= 5")
-def random_floor(spark, d):
-    """A floor for retrieval: five documents a query in an order of hashes, over the pool that its SQL states; sf_18_random_floor_all takes every document and test item. The queries, counted, go to the documents as an array."""
-    names = [r[0] for r in table(spark, d, "test_items").filter("dataset_id = 'brio_topics'").select("item_id").distinct().limit(1000).collect()]
-    p = table(spark, d, "documents").filter("doc_id % 25 = 0").select("doc_id", F.explode(F.array(*map(F.lit, sorted(names)))).alias("query_id"))
-    h = F.sha2(F.concat_ws("|", F.lit("floor"), "query_id", F.col("doc_id").cast("string")), 256)
-    return p.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(h, "doc_id"))).filter("place <= 5").select("query_id", "doc_id")
-
-
 #: So many queries meet the documents in one scan.
 FLOOR_QUERIES = 1000
 
@@ -267,7 +252,7 @@ def _first_by_hash(names: list[str], k: int = 5):
     return run
 
 
-@query("sf_18_random_floor_all", "SELECT query_id, doc_id FROM (SELECT t.item_id AS query_id, d.doc_id FROM (SELECT DISTINCT item_id FROM test_items) t, documents d) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sha256('floor|' || query_id || '|' || doc_id), doc_id) <= 5")
+@query("sf_18_random_floor", "SELECT query_id, doc_id FROM (SELECT t.item_id AS query_id, d.doc_id FROM (SELECT DISTINCT item_id FROM test_items) t, documents d) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sha256('floor|' || query_id || '|' || doc_id), doc_id) <= 5")
 def random_floor_all(spark, d):
     """The floor over all documents, for every test item. The queries go to the documents in blocks; each task keeps five a query, and a window picks among those."""
     names = sorted(r[0] for r in table(spark, d, "test_items").select("item_id").distinct().collect())
@@ -277,15 +262,15 @@ def random_floor_all(spark, d):
     return p.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("h", "doc_id"))).filter("place <= 5").select("query_id", "doc_id")
 
 
-@query("sf_23_item_taus", f"""WITH {_LAB}, x AS (SELECT x.run_id, x.judge AS ja, x.dim, x.item_id, x.grade AS a, y.grade AS b FROM g x JOIN g y USING (run_id, item_id, dim) WHERE x.judge = 'rater_01' AND y.judge = 'rater_02'),
-p AS (SELECT l.run_id, l.dim, sum(sign(l.a - r.a) * sign(l.b - r.b)) AS c, sum(abs(sign(l.a - r.a))) AS u, sum(abs(sign(l.b - r.b))) AS w FROM x l JOIN x r ON l.run_id = r.run_id AND l.dim = r.dim AND l.item_id < r.item_id GROUP BY 1, 2)
-SELECT run_id, dim, round(CASE WHEN u = 0 OR w = 0 THEN 0 ELSE c / sqrt(u * w) END, 6) AS tau FROM p""")
+@query("sf_23_item_taus", f"""WITH {_LAB}, x AS (SELECT x.run_id, x.judge AS ja, y.judge AS jb, x.dim, x.item_id, x.grade AS a, y.grade AS b FROM g x JOIN g y USING (run_id, item_id, dim) WHERE x.judge < y.judge),
+p AS (SELECT l.ja, l.jb, l.run_id, l.dim, sum(sign(l.a - r.a) * sign(l.b - r.b)) AS c, sum(abs(sign(l.a - r.a))) AS u, sum(abs(sign(l.b - r.b))) AS w FROM x l JOIN x r ON l.ja = r.ja AND l.jb = r.jb AND l.run_id = r.run_id AND l.dim = r.dim AND l.item_id < r.item_id GROUP BY 1, 2, 3, 4)
+SELECT ja, jb, run_id, dim, round(CASE WHEN u = 0 OR w = 0 THEN 0 ELSE c / sqrt(u * w) END, 6) AS tau FROM p""")
 def item_taus(spark, d):
-    """By run and dimension, tau-b of two raters over its items (a run has tens of items)."""
-    g = grades(spark, d)
-    x = g.filter("judge = 'rater_01'").select("run_id", "item_id", "dim", F.col("grade").alias("a")).join(g.filter("judge = 'rater_02'").select("run_id", "item_id", "dim", F.col("grade").alias("b")), ["run_id", "item_id", "dim"])
-    y = x.groupBy("run_id", "dim").agg(F.array_sort(F.collect_list(F.struct("item_id", "a", "b"))).alias("xs")).filter(F.size("xs") >= 2)
-    return y.select("run_id", "dim", F.round(agr.kendall_tau_b(F.col("xs.a"), F.col("xs.b")), 6).alias("tau"))
+    """By pair of judges, run and dimension, tau-b over the run's items that both graded (tens of items; an item has a handful of judges)."""
+    g = grades(spark, d).withColumnRenamed("judge", "ja").withColumnRenamed("grade", "a")
+    x = g.join(g.withColumnsRenamed({"ja": "jb", "a": "b"}), ["run_id", "item_id", "dim"]).filter("ja < jb")
+    y = x.groupBy("ja", "jb", "run_id", "dim").agg(F.array_sort(F.collect_list(F.struct("item_id", "a", "b"))).alias("xs")).filter(F.size("xs") >= 2)
+    return y.select("ja", "jb", "run_id", "dim", F.round(agr.kendall_tau_b(F.col("xs.a"), F.col("xs.b")), 6).alias("tau"))
 
 
 @query("sf_24_chance", f"WITH {_VOTES} SELECT set_id, round(avg(CASE vote WHEN 'tie' THEN 0.5 WHEN '1' THEN 1 ELSE 0 END), 9) AS first_share, round(1.0 / 2, 9) AS chance FROM v GROUP BY 1")

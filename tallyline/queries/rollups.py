@@ -108,14 +108,15 @@ def crosstab(spark, d):
     return ag.crosstab(x, F.regexp_extract("run_id", "^([a-z]+)_", 1), F.col("finish_reason"), F.col("across"))
 
 
-# Entity sets: what a reply lists as JSON against the places and numbers of its prompt.
-_ENT = """o AS (SELECT DISTINCT call_id, prompt, output FROM results WHERE starts_with(output, '[{"text"') AND json_valid(output)),
+# Entity sets: what a reply lists as JSON, bare, fenced or between sentences, against the places and numbers of its prompt.
+_LISTED = r"(?s)\[\s*\{\s*\"text\".*\}\s*\]"
+_ENT = f"o AS (SELECT DISTINCT call_id, prompt, regexp_extract(output, '{_LISTED}') AS output FROM results WHERE json_valid(regexp_extract(output, '{_LISTED}')))," + """
 pred AS (SELECT call_id, e.text AS text, e.type AS type FROM (SELECT call_id, unnest(from_json(output, '[{"text":"VARCHAR","type":"VARCHAR"}]')) AS e FROM o)),
 gold AS (SELECT call_id, text, CASE WHEN regexp_full_match(text, '[0-9]+') THEN 'number' ELSE 'place' END AS type FROM (SELECT call_id, unnest(list_distinct(regexp_extract_all(prompt, '[0-9]+|[A-Z][a-z]+'))) AS text FROM o))"""
 
 
 def _entities(spark, d):
-    o = table(spark, d, "results").filter("startswith(output, '[{\"text\"')").select("call_id", "prompt", "output").distinct()
+    o = table(spark, d, "results").select("call_id", "prompt", F.regexp_extract("output", _LISTED, 0).alias("output")).filter("output <> ''").distinct()
     parsed = F.from_json("output", "array<struct<text:string,type:string>>")
     o = o.withColumn("es", parsed).filter("es IS NOT NULL AND is_variant_null(coalesce(try_parse_json(output), parse_json('null'))) = false")
     pred = o.select("call_id", F.explode("es").alias("e")).select("call_id", "e.text", "e.type")
@@ -415,18 +416,18 @@ def newest(spark, d):
     return rk.newest_share(table(spark, d, "documents").select("doc_id", "created_at"), "created_at", "doc_id", 0.2).select("doc_id")
 
 
-_ARMS = "a AS (SELECT DISTINCT item_id, config_id FROM predictions WHERE dataset_id = 'calder_ner')"
+_ARMS = "a AS (SELECT DISTINCT dataset_id, item_id, config_id FROM predictions)"
 
 
-@query("rk_16_shuffled", f"WITH {_ARMS} SELECT item_id, config_id, row_number() OVER (PARTITION BY item_id ORDER BY sha256('7|primary|' || item_id || '|' || config_id), config_id) AS place FROM a")
+@query("rk_16_shuffled", f"WITH {_ARMS} SELECT dataset_id, item_id, config_id, row_number() OVER (PARTITION BY dataset_id, item_id ORDER BY sha256('7|primary|' || dataset_id || '|' || item_id || '|' || config_id), config_id) AS place FROM a")
 def shuffled(spark, d):
-    a = table(spark, d, "predictions").filter("dataset_id = 'calder_ner'").select("item_id", "config_id").distinct()
-    return rk.shuffled(a, ["item_id"], "config_id", "7", "primary")
+    a = table(spark, d, "predictions").select("dataset_id", "item_id", "config_id").distinct()
+    return rk.shuffled(a, ["dataset_id", "item_id"], "config_id", "7", "primary")
 
 
-@query("rk_17_blocks", f"""WITH {_ARMS}, s AS (SELECT item_id, config_id, row_number() OVER (PARTITION BY item_id ORDER BY config_id) AS place, count(*) OVER (PARTITION BY item_id) AS n FROM a),
-k AS (SELECT *, ceil(n / 4.0)::BIGINT AS k FROM s), t AS (SELECT *, n % k AS big, n // k AS size FROM k) SELECT item_id, config_id, CASE WHEN place <= big * (size + 1) THEN (place - 1) // (size + 1) ELSE big + (place - 1 - big * (size + 1)) // size END AS block FROM t""")
+@query("rk_17_blocks", f"""WITH {_ARMS}, s AS (SELECT dataset_id, item_id, config_id, row_number() OVER (PARTITION BY dataset_id, item_id ORDER BY config_id) AS place, count(*) OVER (PARTITION BY dataset_id, item_id) AS n FROM a),
+k AS (SELECT *, ceil(n / 4.0)::BIGINT AS k FROM s), t AS (SELECT *, n % k AS big, n // k AS size FROM k) SELECT dataset_id, item_id, config_id, CASE WHEN place <= big * (size + 1) THEN (place - 1) // (size + 1) ELSE big + (place - 1 - big * (size + 1)) // size END AS block FROM t""")
 def blocks(spark, d):
-    a = table(spark, d, "predictions").filter("dataset_id = 'calder_ner'").select("item_id", "config_id").distinct()
-    a = a.withColumn("place", F.row_number().over(Window.partitionBy("item_id").orderBy("config_id")))
-    return rk.blocks(a, ["item_id"], "place", 4).select("item_id", "config_id", "block")
+    a = table(spark, d, "predictions").select("dataset_id", "item_id", "config_id").distinct()
+    a = a.withColumn("place", F.row_number().over(Window.partitionBy("dataset_id", "item_id").orderBy("config_id")))
+    return rk.blocks(a, ["dataset_id", "item_id"], "place", 4).select("dataset_id", "item_id", "config_id", "block")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import parsers as ps
+from ..functions import rouge as rg
 from ..functions import text as tx
 from ..operators import agreement as agr
 from ..operators.aggregates import correlation
@@ -198,23 +199,46 @@ def first_words(spark, d):
 
 @query("sf_22_rouge")
 def rouge(spark, d):
+    """Stemmed ROUGE-1 and ROUGE-Lsum with coverage, concision, length ratio and compression against the prompt."""
+    p = table(spark, d, "results").filter("output IS NOT NULL").groupBy("call_id").agg(F.min("prompt").alias("prompt"))
+    o = _outputs(spark, d).join(p, "call_id")
+    return o.select("call_id", rg.summary_facets("output", "reference", "prompt").alias("f")).select("call_id", "f.*")
+
+
+_R1 = "x AS (SELECT call_id, unnest(regexp_extract_all(lower(output), '[a-z0-9]+')) AS w FROM o), y AS (SELECT call_id, unnest(regexp_extract_all(lower(reference), '[a-z0-9]+')) AS w FROM o), m AS (SELECT call_id, sum(least(a.n, b.n)) AS hit FROM (SELECT call_id, w, count(*) AS n FROM x GROUP BY 1, 2) a JOIN (SELECT call_id, w, count(*) AS n FROM y GROUP BY 1, 2) b USING (call_id, w) GROUP BY 1)"
+
+
+@query("sf_22_words", f"WITH {_OUT}, {_R1} SELECT call_id, round(coalesce(2 * hit / (len(regexp_extract_all(lower(output), '[a-z0-9]+')) + len(regexp_extract_all(lower(reference), '[a-z0-9]+'))), 0), 9) AS rouge1, len(regexp_extract_all(output, '\\S+'))::INT AS summary_words FROM o LEFT JOIN m USING (call_id)")
+def rouge_words(spark, d):
+    """ROUGE-1 over words as they are, and the length."""
     o = _outputs(spark, d)
-    return o.select("call_id", F.round(tx.rouge_1(F.col("output"), F.col("reference")), 9).alias("rouge1"), F.round(ps.rouge_l_f1("output", "reference"), 9).alias("rouge_l"))
+    return o.select("call_id", F.round(tx.rouge_1(F.col("output"), F.col("reference")), 9).alias("rouge1"), F.size(F.regexp_extract_all("output", F.lit(r"\S+"), F.lit(0))).alias("summary_words"))
+
 
+_BETTER = r"""r AS (SELECT call_id, regexp_extract(output, '\{[^{}]*\}') AS o FROM judge_results), b AS (SELECT call_id, CASE WHEN json_valid(o) THEN json_type(o, '$.better') END AS kind, CASE WHEN json_valid(o) THEN json_extract_string(o, '$.better') END AS v FROM r)"""
 
-@query("sf_25_pairwise_replies", """SELECT call_id, max(CASE WHEN json_valid(output) THEN CASE json_extract_string(output, '$.better') WHEN '1' THEN '1' WHEN '2' THEN '2' WHEN 'tie' THEN 'tie' END END) AS better FROM judge_results WHERE starts_with(output, '{"better"') AND ends_with(output, '}') GROUP BY 1""")
+
+@query("sf_25_pairwise_replies", f"WITH {_BETTER} SELECT call_id, max(CASE WHEN kind IN ('UBIGINT', 'BIGINT') AND v IN ('1', '2') THEN v WHEN kind = 'VARCHAR' AND lower(trim(v)) = 'tie' THEN 'tie' END) AS better FROM b GROUP BY 1")
 def pairwise_replies(spark, d):
-    j = table(spark, d, "judge_results").filter("startswith(output, '{\"better\"') AND endswith(output, '}')")
-    return j.select("call_id", ps.pairwise("output").alias("better")).groupBy("call_id").agg(F.max("better").alias("better"))
+    """Of every reply, bare, fenced or between sentences."""
+    return table(spark, d, "judge_results").select("call_id", ps.pairwise("output").alias("better")).groupBy("call_id").agg(F.max("better").alias("better"))
+
+
+_GRADES = r"""r AS (SELECT DISTINCT call_id, regexp_extract(output, '(?s)\{.*\}') AS o FROM judge_results WHERE output IS NOT NULL), v AS (SELECT call_id, json_extract(o, '$.faithfulness') AS a, json_extract(o, '$.fluency') AS b FROM r WHERE json_valid(o)),
+n AS (SELECT * FROM v WHERE json_type(a) = 'ARRAY' AND json_type(b) = 'ARRAY' AND json_array_length(a) = 2 AND json_array_length(b) = 2), t AS (SELECT call_id, list_concat(json_extract(a, '$[*]'), json_extract(b, '$[*]')) AS x FROM n),
+g AS (SELECT call_id, list_transform(x, lambda y: y::VARCHAR::DOUBLE) AS x FROM t WHERE len(list_filter(x, lambda y: json_type(y) IN ('UBIGINT', 'BIGINT', 'DOUBLE'))) = 4)"""
 
 
-@query("sf_25_block_replies")
+@query("sf_25_block_replies", f"WITH {_GRADES} SELECT DISTINCT call_id, (x[1] + x[3]) / 2 AS first, (x[2] + x[4]) / 2 AS second FROM g WHERE list_min(x) >= 1 AND list_max(x) <= 5")
 def block_replies(spark, d):
     parse = ps.block_parser(2, ["faithfulness", "fluency"])
     return table(spark, d, "judge_results").select("call_id", parse("output").alias("means")).filter("means IS NOT NULL").select("call_id", F.element_at("means", 1).alias("first"), F.element_at("means", 2).alias("second")).distinct()
 
 
-@query("sf_10_entities")
+_LIST = r"(?s)\[\s*\{.*\}\s*\]"
+
+
+@query("sf_10_entities", f"WITH x AS (SELECT call_id, regexp_extract(output, '{_LIST}') AS o FROM results), y AS (SELECT call_id, json_extract(o, '$[*].text') AS t, json_array_length(o) AS n FROM x WHERE json_valid(o)) SELECT call_id, max(n)::INT AS n_entities FROM y WHERE len(list_filter(t, lambda v: json_type(v) = 'VARCHAR')) = n GROUP BY 1")
 def entity_counts(spark, d):
     e = table(spark, d, "results").select("call_id", ps.entity_list("output").alias("es")).filter("es IS NOT NULL")
     return e.groupBy("call_id").agg(F.max(F.size("es")).alias("n_entities"))
@@ -236,7 +260,7 @@ def text_hash(spark, d):
     return table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", tx.text_sha256(F.col("text")).alias("sha"))
 
 
-@query("sf_33_canonical")
+@query("sf_33_canonical", "SELECT event_id, sha256('{\"k\":' || json_extract_string(props, '$.k') || '}') AS sha FROM events")
 def canonical(spark, d):
     return table(spark, d, "events").select("event_id", F.sha2(ps.canonical_json("props"), 256).alias("sha"))
 

@@ -10,11 +10,11 @@ from ..operators import paired as pr
 from ..operators.aggregates import correlation, exact_percentiles
 from ..operators.joins import paired
 from ..plans.frames import facts, series, sql
+from ..storage import durable_table
 from . import query
 
 q = sql
 BASE = "arm_base"
-#: Datasets of few items, whose tests SQL can enumerate: the first twelve items of each.
 _PAIR = "pair AS (SELECT s.dataset_id, s.config_id, s.item_id, s.value AS a, b.value AS b, round(s.value - b.value, 9) AS delta FROM series s JOIN series b USING (dataset_id, item_id) WHERE b.config_id = 'arm_base' AND s.config_id <> 'arm_base')"
 
 
@@ -47,38 +47,37 @@ def family(spark, d):
     return pr.family_test(_series(spark, d), "opal_l")
 
 
-# Twelve items, whose 4,096 sign patterns SQL enumerates (ST-1).
-_TWELVE = _PAIR + """, few AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, config_id ORDER BY item_id) - 1 AS i FROM pair QUALIFY row_number() OVER (PARTITION BY dataset_id, config_id ORDER BY item_id) <= 12),
-obs AS (SELECT dataset_id, config_id, count(*) AS n, abs(sum(delta)) AS total FROM few GROUP BY 1, 2),
-pat AS (SELECT dataset_id, config_id, m, abs(sum(CASE WHEN (m >> i) & 1 = 1 THEN delta ELSE -delta END)) AS s FROM few, (SELECT unnest(generate_series(0, 4095)) AS m) GROUP BY 1, 2, 3),
-p AS (SELECT dataset_id, config_id, any_value(n) AS n, CASE WHEN any_value(total) < 1e-12 THEN 1.0 ELSE avg(CASE WHEN s >= total - 1e-9 THEN 1.0 ELSE 0 END) END AS p FROM pat JOIN obs USING (dataset_id, config_id) GROUP BY 1, 2)"""
+# All items in tens, a test for each ten, whose sign patterns SQL enumerates (ST-1 by groups as in ST-9).
+_TENS = _PAIR + """, few AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, grp, config_id ORDER BY item_id) - 1 AS i FROM (SELECT *, regexp_extract(item_id, '(\\d+)$', 1)::INT // 10 AS grp FROM pair)),
+obs AS (SELECT dataset_id, grp, config_id, count(*) AS n, abs(sum(delta)) AS total FROM few GROUP BY 1, 2, 3),
+pat AS (SELECT dataset_id, grp, config_id, m, abs(sum(CASE WHEN (m >> i) & 1 = 1 THEN delta ELSE -delta END)) AS s FROM few JOIN obs USING (dataset_id, grp, config_id) JOIN (SELECT unnest(generate_series(0, 1023)) AS m) ON m < (1 << n) GROUP BY 1, 2, 3, 4),
+p AS (SELECT dataset_id, grp, config_id, any_value(n) AS n, CASE WHEN any_value(total) < 1e-12 THEN 1.0 ELSE avg(CASE WHEN s >= total - 1e-9 THEN 1.0 ELSE 0 END) END AS p FROM pat JOIN obs USING (dataset_id, grp, config_id) GROUP BY 1, 2, 3)"""
+_BY_TENS = ["dataset_id", "grp", "config_id"]
 
 
-def _few(spark, d):
-    from pyspark.sql.window import Window
-
-    p = paired(_series(spark, d), BASE)
-    return p.withColumn("i", F.row_number().over(Window.partitionBy("dataset_id", "config_id").orderBy("item_id"))).filter("i <= 12")
+def _tens(spark, d):
+    return paired(_series(spark, d), BASE).withColumn("grp", F.floor(F.regexp_extract("item_id", r"(\d+)$", 1).cast("int") / 10).cast("int"))
 
 
-def _tested(p):
-    t = pr.delta_table(p, ["dataset_id", "config_id"])
-    return t.join(pr.tests(p, ["dataset_id", "config_id"], t, intervals=False), ["dataset_id", "config_id"]).select("dataset_id", "config_id", "n", F.coalesce("p", F.lit(1.0)).alias("p"))
+def _tested(p, *keys):
+    p = durable_table(p.select(*keys, "item_id", "a", "b", "delta"))
+    t = pr.delta_table(p, list(keys))
+    return t.join(pr.tests(p, list(keys), t, intervals=False), list(keys)).select(*keys, "n", F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
-def _few_p(spark, d):
-    return _tested(_few(spark, d))
+def _tens_p(spark, d):
+    return _tested(_tens(spark, d), *_BY_TENS)
 
 
 def _all_p(spark, d):
     """Every pair of every dataset and arm: beyond what SQL can enumerate."""
-    return _tested(paired(_series(spark, d), BASE))
+    return _tested(paired(_series(spark, d), BASE), "dataset_id", "config_id")
 
 
-@query("st_1_exact", q("SELECT dataset_id, config_id, n, round(p, 9) AS p FROM p", _TWELVE))
+@query("st_1_exact", q("SELECT dataset_id, grp, config_id, n, round(p, 9) AS p FROM p", _TENS))
 def exact(spark, d):
-    """Of the first twelve items alone, as its SQL says; st_1_exact_all takes every item."""
-    return _few_p(spark, d).withColumn("p", F.round("p", 9))
+    """A test for every ten items of every pair; st_1_exact_all tests each pair as a whole."""
+    return _tens_p(spark, d).withColumn("p", F.round("p", 9))
 
 
 @query("st_1_exact_all")
@@ -86,43 +85,43 @@ def exact_all(spark, d):
     return _all_p(spark, d).withColumn("p", F.round("p", 9))
 
 
-_HOLM = _TWELVE + """, h AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY dataset_id) AS m FROM p WINDOW w AS (PARTITION BY dataset_id ORDER BY p, config_id))"""
+_HOLM = _TENS + """, h AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY dataset_id, grp) AS m FROM p WINDOW w AS (PARTITION BY dataset_id, grp ORDER BY p, config_id))"""
 
 
-@query("st_3_holm", q("""SELECT dataset_id, config_id, round(0.05 / (m - i), 9) AS threshold, bool_and(p <= 0.05::DOUBLE / (m - i)) OVER (PARTITION BY dataset_id ORDER BY p, config_id ROWS UNBOUNDED PRECEDING) AS significant,
-round(max(least(1.0, p * (m - i))) OVER (PARTITION BY dataset_id ORDER BY p, config_id ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM h""", _HOLM))
+@query("st_3_holm", q("""SELECT dataset_id, grp, config_id, round(0.05 / (m - i), 9) AS threshold, bool_and(p <= 0.05::DOUBLE / (m - i)) OVER (PARTITION BY dataset_id, grp ORDER BY p, config_id ROWS UNBOUNDED PRECEDING) AS significant,
+round(max(least(1.0, p * (m - i))) OVER (PARTITION BY dataset_id, grp ORDER BY p, config_id ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM h""", _HOLM))
 def holm(spark, d):
-    """Of the first twelve items alone, as its SQL says; st_3_holm_all takes every item."""
-    return _stepped(_few_p(spark, d))
+    """A family of arms for every ten items; st_3_holm_all takes the pairs as wholes."""
+    return _stepped(_tens_p(spark, d), "dataset_id", "grp")
 
 
 @query("st_3_holm_all")
 def holm_all(spark, d):
-    return _stepped(_all_p(spark, d))
+    return _stepped(_all_p(spark, d), "dataset_id")
 
 
-def _stepped(p):
-    x = pr.holm(p, "p", ["dataset_id"], ["config_id"])
-    return x.select("dataset_id", "config_id", F.round("threshold", 9).alias("threshold"), "significant", F.round("p_holm", 9).alias("p_holm"))
+def _stepped(p, *family):
+    x = pr.holm(p, "p", list(family), ["config_id"])
+    return x.select(*family, "config_id", F.round("threshold", 9).alias("threshold"), "significant", F.round("p_holm", 9).alias("p_holm"))
 
 
-@query("st_5_bonferroni", q("SELECT dataset_id, config_id, round(least(1.0, p * m), 9) AS p_corrected, p <= 0.05::DOUBLE / m AS significant FROM h", _HOLM))
+@query("st_5_bonferroni", q("SELECT dataset_id, grp, config_id, round(least(1.0, p * m), 9) AS p_corrected, p <= 0.05::DOUBLE / m AS significant FROM h", _HOLM))
 def bonferroni(spark, d):
-    """Of the first twelve items alone, as its SQL says; st_5_bonferroni_all takes every item."""
-    return _by_count(_few_p(spark, d))
+    """A family of arms for every ten items; st_5_bonferroni_all takes the pairs as wholes."""
+    return _by_count(_tens_p(spark, d), "dataset_id", "grp")
 
 
 @query("st_5_bonferroni_all")
 def bonferroni_all(spark, d):
-    return _by_count(_all_p(spark, d))
+    return _by_count(_all_p(spark, d), "dataset_id")
 
 
-def _by_count(p):
+def _by_count(p, *family):
     from pyspark.sql.window import Window
 
-    x = p.withColumn("m", F.count("*").over(Window.partitionBy("dataset_id")))
+    x = p.withColumn("m", F.count("*").over(Window.partitionBy(*family)))
     corrected, s = pr.bonferroni(F.col("p"), F.col("m"))
-    return x.select("dataset_id", "config_id", F.round(corrected, 9).alias("p_corrected"), s.alias("significant"))
+    return x.select(*family, "config_id", F.round(corrected, 9).alias("p_corrected"), s.alias("significant"))
 
 
 @query("st_7_interval", q("""SELECT dataset_id, config_id, round(avg(delta) - (1.959964 + (pow(1.959964, 3) + 1.959964) / (4 * (count(*) - 1))) * stddev_samp(delta) / sqrt(count(*)), 6) AS low,
@@ -155,7 +154,7 @@ def significance(spark, d):
 
 @query("st_14_pairs")
 def pairs(spark, d):
-    return lb.distinguishable(lb.significance(_series(spark, d), shuffles=200, resamples=200))
+    return lb.distinguishable(lb.significance(_series(spark, d)))
 
 
 @query("st_20_holdout")
@@ -257,12 +256,12 @@ def run_compare(spark, d):
     return x.select("metric", "delta", verdict(F.col("metric"), F.col("delta")).alias("verdict"))
 
 
-@query("st_47_hypothesis", q("""SELECT dataset_id, config_id, CASE WHEN significant AND delta > 0 THEN 'agrees' WHEN significant AND delta < 0 THEN 'contradicts' ELSE 'open' END AS better,
-CASE WHEN significant AND delta < 0 THEN 'contradicts' ELSE 'agrees' END AS no_worse FROM (SELECT dataset_id, config_id, p <= 0.05 AS significant, delta FROM p JOIN (SELECT dataset_id, config_id, avg(delta) AS delta FROM few GROUP BY 1, 2) USING (dataset_id, config_id))""", _TWELVE))
+@query("st_47_hypothesis", q("""SELECT dataset_id, grp, config_id, CASE WHEN significant AND delta > 0 THEN 'agrees' WHEN significant AND delta < 0 THEN 'contradicts' ELSE 'open' END AS better,
+CASE WHEN significant AND delta < 0 THEN 'contradicts' ELSE 'agrees' END AS no_worse FROM (SELECT dataset_id, grp, config_id, p <= 0.05 AS significant, delta FROM p JOIN (SELECT dataset_id, grp, config_id, avg(delta) AS delta FROM few GROUP BY 1, 2, 3) USING (dataset_id, grp, config_id))""", _TENS))
 def hypothesis(spark, d):
-    x = _few_p(spark, d).join(_few(spark, d).groupBy("dataset_id", "config_id").agg(F.avg("delta").alias("delta")), ["dataset_id", "config_id"])
+    x = _tens_p(spark, d).join(_tens(spark, d).groupBy(*_BY_TENS).agg(F.avg("delta").alias("delta")), _BY_TENS)
     s, low = F.col("p") <= 0.05, F.lit(False)
-    return x.select("dataset_id", "config_id", pr.agreement_with_hypothesis(F.lit("better"), F.col("delta"), low, s).alias("better"), pr.agreement_with_hypothesis(F.lit("no worse"), F.col("delta"), low, s).alias("no_worse"))
+    return x.select(*_BY_TENS, pr.agreement_with_hypothesis(F.lit("better"), F.col("delta"), low, s).alias("better"), pr.agreement_with_hypothesis(F.lit("no worse"), F.col("delta"), low, s).alias("no_worse"))
 
 
 @query("st_49_price_slope", q("""SELECT dataset_id, count(*) AS n, round(regr_slope(quality, log10(cost)), 6) AS slope, round(corr(quality, log10(cost)), 6) AS r FROM pts WHERE cost > 0 AND quality IS NOT NULL GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(cost) > 0 AND stddev_pop(quality) > 0""", _PTS))
@@ -273,7 +272,13 @@ def price_slope(spark, d):
     return p.groupBy("dataset_id").agg(F.count("*").alias("n"), F.round(F.try_divide(F.covar_pop("quality", F.log10("cost")), F.var_pop(F.log10("cost"))), 6).alias("slope"), F.round(correlation("quality", F.log10("cost")), 6).alias("r")).filter("n >= 3 AND r IS NOT NULL")
 
 
-@query("st_51_r_p_value")
+# Under no correlation the density of r goes with (1 - r^2)^((n - 4) / 2); with r = sin t the tail is an integral of cos(t)^(n - 3), by Simpson's rule.
+_TAIL = """c AS (SELECT dataset_id, count(*) AS n, corr(x, y) AS r FROM m GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0), k AS (SELECT unnest(generate_series(0, 4000)) AS i),
+w AS (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM k),
+h AS (SELECT dataset_id, n, r, asin(abs(r)) AS lo, sum(w * pow(cos(pi() / 2 * i / 4000), n - 3)) * (pi() / 2) AS whole, sum(w * pow(cos(asin(abs(r)) + (pi() / 2 - asin(abs(r))) * i / 4000), n - 3)) * (pi() / 2 - asin(abs(r))) AS tail FROM c, w GROUP BY 1, 2, 3)"""
+
+
+@query("st_51_r_p_value", q("SELECT dataset_id, n, round(r, 6) AS r, round(tail / whole, 6) AS p FROM h", _CORR, _TAIL))
 def r_p_value(spark, d):
     m = facts(spark, d, "overlap_f1", "tokens_out").filter("overlap_f1 IS NOT NULL AND tokens_out IS NOT NULL").groupBy("dataset_id", "item_id").agg(F.avg("overlap_f1").alias("x"), F.avg("tokens_out").alias("y"))
 
@@ -281,7 +286,8 @@ def r_p_value(spark, d):
     def p(r: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([pr.r_p_value(a, int(b)) for a, b in zip(r, n, strict=True)], dtype="float64")
 
-    return m.groupBy("dataset_id").agg(correlation("x", "y").alias("r"), F.count("*").alias("n")).select("dataset_id", "r", "n", p("r", "n").alias("p"))
+    c = m.groupBy("dataset_id").agg(correlation("x", "y").alias("r"), F.count("*").alias("n")).filter("n >= 3 AND r IS NOT NULL")
+    return c.select("dataset_id", "n", F.round("r", 6).alias("r"), F.round(p("r", "n"), 6).alias("p"))
 
 
 @query("st_52_percentile_rank", q("""SELECT dataset_id, config_id, round((rank() OVER (PARTITION BY dataset_id ORDER BY mu) - 1 + 0.5 * (count(*) OVER (PARTITION BY dataset_id, mu) - 1)) / nullif(count(*) OVER (PARTITION BY dataset_id) - 1, 0), 9) AS pct_rank
@@ -301,8 +307,8 @@ def rank_shift(spark, d):
     return m.select("dataset_id", "config_id", (F.row_number().over(w.orderBy(F.desc("q"), "config_id")) - F.row_number().over(w.orderBy("t", "config_id"))).alias("shift"))
 
 
-@query("cv_6_analysis", q("""SELECT config_id, round(quantile_cont(delta, 0.25), 9) AS q1, round(quantile_cont(delta, 0.5), 9) AS q2, round(quantile_cont(delta, 0.75), 9) AS q3 FROM pair WHERE dataset_id = 'elver_qa' GROUP BY 1""", _PAIR))
+@query("cv_6_analysis", q("""SELECT dataset_id, config_id, round(quantile_cont(delta, 0.25), 9) AS q1, round(quantile_cont(delta, 0.5), 9) AS q2, round(quantile_cont(delta, 0.75), 9) AS q3 FROM pair GROUP BY 1, 2""", _PAIR))
 def analysis(spark, d):
-    p = paired(_series(spark, d).filter("dataset_id = 'elver_qa'"), BASE)
-    x = exact_percentiles(p, ["config_id"], "delta", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
-    return x.select("config_id", *(F.round(c, 9).alias(c) for c in ("q1", "q2", "q3")))
+    p = paired(_series(spark, d), BASE)
+    x = exact_percentiles(p, ["dataset_id", "config_id"], "delta", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return x.select("dataset_id", "config_id", *(F.round(c, 9).alias(c) for c in ("q1", "q2", "q3")))

@@ -186,7 +186,8 @@ def test_digest_ignores_order_and_sees_change(spark):
 def test_parsers():
     assert ps.normalize("The Café-Bar, Élan") == "cafe bar elan"
     assert ps.parse_pairwise('Sure: {"better": 2, "reason": "x"}') == "2" and ps.parse_pairwise('{"better": true}') is None and ps.parse_pairwise('{"better": " TIE"}') == "tie" and ps.parse_pairwise(None) is None
-    assert ps.parse_pick('{"best": [3, 1, 3]}', 3) == [1, 3] and ps.parse_pick('{"best": 4}', 3) is None and ps.parse_pick('{"best": true}', 3) is None
+    assert ps.parse_pick('{"best": [3, 1]}', 3) == [3, 1] and ps.parse_pick('{"best": [3, 1, 3]}', 3) is None and ps.parse_pick('{"best": 2}', 3) is None and ps.parse_pick('{"best": [4]}', 3) is None
+    assert all(ps.parse_pairwise(f'{{"better": {v}}}') is None for v in ('"1"', "1.0", "3", "null", '"both"')) and ps.parse_pairwise('{"better": 1}') == "1" and ps.parse_pick('{"best": true}', 3) is None
     assert ps.parse_block('{"f": [1, 5], "g": [3, 3]}', 2, ["f", "g"]) == [2.0, 4.0] and ps.parse_block('{"f": [1, 6], "g": [3, 3]}', 2, ["f", "g"]) is None
     assert ps.parse_ranking('```json\n["d1", "d2"]\n```') == ["d1", "d2"] and ps.parse_ranking("1. d7\n2. d9") == ["d7", "d9"] and ps.parse_ranking('{"a": 1}') is None and ps.parse_ranking("") is None
     assert ps.entities("Here: [{'text': 'IBM', 'type': 'Org'},]") == [{"text": "IBM", "type": "org"}] and ps.entities("none") is None
@@ -240,7 +241,7 @@ def test_random_floor_takes_every_document_and_test_item(spark, tmp_path, monkey
     spark.createDataFrame(items, "dataset_id string, item_id string").write.parquet(f"{tmp_path}/test_items.parquet")
     spark.createDataFrame([(i,) for i in docs], "doc_id long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(more, "FLOOR_QUERIES", 2)
-    got = sorted(tuple(r) for r in QUERIES["sf_18_random_floor_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in QUERIES["sf_18_random_floor"](spark, str(tmp_path)).collect())
     assert got == sorted((q, i) for _, q in items for i in sorted(docs, key=lambda i: hashlib.sha256(f"floor|{q}|{i}".encode()).hexdigest())[:5])  # noqa: B023
 
 
@@ -249,5 +250,45 @@ def test_runs_without_a_score_come_last_in_every_stratum(spark, tmp_path):
 
     rows = [("arm_base", f"r{i:03}", i / 300) for i in range(250)] + [("arm_base", "none", None), ("arm_base", "nan", float("nan")), ("other", "x", None), ("other", "y", 0.5)]
     spark.createDataFrame(rows, "stratum string, run_id string, primary_score double").write.parquet(f"{tmp_path}/run_candidates.parquet")
-    got = {(r["stratum"], r["run_id"]): r["position"] for r in QUERIES["rk_6_missing_last_all"](spark, str(tmp_path)).collect()}
+    got = {(r["stratum"], r["run_id"]): r["position"] for r in QUERIES["rk_6_missing_last"](spark, str(tmp_path)).collect()}
     assert len(got) == 254 and (got["arm_base", "r249"], got["arm_base", "nan"], got["arm_base", "none"]) == (1, 251, 252) and (got["other", "y"], got["other", "x"]) == (1, 2)
+
+
+@pytest.mark.parametrize(("word", "want"), [
+    ("caresses", "caress"), ("ponies", "poni"), ("ties", "tie"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("conflated", "conflat"), ("troubled", "troubl"), ("hopping", "hop"),
+    ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("conditional", "condit"), ("digitizer", "digit"), ("radically", "radic"), ("vietnamization", "vietnam"), ("predication", "predic"),
+    ("operator", "oper"), ("triplicate", "triplic"), ("formative", "form"), ("electrical", "electr"), ("goodness", "good"), ("revival", "reviv"), ("adjustment", "adjust"), ("adoption", "adopt"), ("probate", "probat"),
+    ("rate", "rate"), ("controlling", "control"), ("dying", "die"), ("news", "news"), ("enjoy", "enjoy"), ("cry", "cri"), ("geology", "geolog"), ("is", "is"),
+])
+def test_stems(word, want):
+    from tallyline.functions.rouge import stem
+
+    assert stem(word) == want
+
+
+def _common_length(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def test_summary_facets(spark):
+    import random
+
+    from tallyline.functions import rouge as rg
+
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        at = sorted(rg._common_places(a, b))
+        assert len(at) == _common_length(a, b) == _common_length([a[i] for i in at], b)
+    assert rg.summary_overlap("w1 w2 w3 w4 w5.", "w1 w2 w6 w7 w8. w1 w3 w8 w9 w5.") == pytest.approx((0.4, 0.8, 8 / 15))  # the published example of the union
+    f = rg.facets("The dogs ran home. It rained and it rained.", "A dog runs home.", "The dogs ran home after it rained.")
+    assert f["rouge1"] == pytest.approx(2 * 2 / 13, abs=1e-9) and f["coverage"] == 0.5 and f["concision"] == pytest.approx(2 / 9) and f["length_vs_reference"] == 2.25 and f["compression"] == pytest.approx(9 / 7, abs=1e-6)
+    assert rg.clip("a  b\nc d", 3) == "a  b\nc" and rg.clip("a b", 0) == "" and rg.clip("a b", 9) == "a b"
+    rows = [("x", "the cat", "the cat", "the cat sat"), ("none", None, "a", "b"), ("bare", "a b", None, None), ("empty", "", "", "")]
+    df = spark.createDataFrame(rows, "k string, o string, r string, s string")
+    got = {r["k"]: r["f"] for r in df.select("k", rg.summary_facets("o", "r", "s").alias("f")).collect()}
+    assert got["x"]["rougeLsum"] == 1.0 and got["none"]["summary_words"] is None and got["bare"]["summary_words"] == 2 and got["bare"]["rouge1"] is None and got["empty"]["rougeLsum"] == 0.0

@@ -266,3 +266,74 @@ def test_family_of_every_dataset(spark, tmp_path):
 
     d = predictions(spark, tmp_path, [(a, f"i{i}", x * i) for a, x in (("opal_l", 0.1), ("other", 0.05)) for i in range(5)])
     assert [(r["dataset_id"], r["config_id"], r["n"]) for r in QUERIES["st_11_family"](spark, d).collect()] == [("d", "other", 5)]
+
+
+def test_split_draws_are_the_same_draws(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [("d", a, f"i{i:03}", round(rng.random(), 4)) for a in ("base", "mine", "x", "y") for i in range(45)]
+    s = spark.createDataFrame(rows, SERIES)
+    whole = {r["config_id"]: r["p"] for r in pr.compare(s, "base").collect()}
+    family = {r["config_id"]: r["p"] for r in pr.family_test(s, "mine", permutations=300).collect()}
+    monkeypatch.setattr(pr, "TASK_DRAWS", 45 * 7)  # parts of seven passes
+    assert {r["config_id"]: r["p"] for r in pr.family_test(s, "mine", permutations=300).collect()} == family
+    monkeypatch.setattr(pr, "TASK_DRAWS", 45 * 3000)
+    assert {r["config_id"]: r["p"] for r in pr.compare(s, "base").collect()} == whole
+
+
+def test_interval_ends_are_where_the_test_turns():
+    rng = np.random.default_rng(4)
+    for n in (6, 9, 14, 18):
+        d = np.round(rng.normal(0.2, 0.5, n), 2)
+        low, high = sf.interval(d)
+        step = 1e-9 * (1 + np.abs(d).max())
+        assert sf.exact_p(d - high + 10 * step) > sf.ALPHA >= sf.exact_p(d - high - 10 * step) and sf.exact_p(d - low - 10 * step) > sf.ALPHA >= sf.exact_p(d - low + 10 * step)
+
+
+def test_stability_inside_and_outside_of_a_task(spark):
+    rng = random.Random(3)
+    rows = [("d", a, f"i{i:03}", round(m + rng.random(), 4)) for a, m in (("a", 0.5), ("b", 0.3), ("c", 0.0)) for i in range(60)] + [("small", a, f"i{i}", 1.0) for a in "abc" for i in range(5)]
+    s = spark.createDataFrame(rows, SERIES)
+    inside, outside = (sorted(tuple(r) for r in lb.stability(s, draws=30, cells=c).collect()) for c in (lb.CELLS, 0))
+    assert [r[:2] for r in inside] == [("d", 10), ("d", 20)] and len(outside) == 2
+    for a, b in zip(inside, outside, strict=True):
+        assert a[2:] == pytest.approx(b[2:])
+    assert lb.stability(s.limit(0)).count() == 0
+
+
+def test_rank_tests_dealt_to_tasks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [("d", a, f"i{i:03}", round(m + rng.random(), 4)) for a, m in (("a", 0.06), ("b", 0.0), ("c", 0.0)) for i in range(90)]
+    s = spark.createDataFrame(rows, SERIES)
+    one = {r["config_id"]: r for r in lb.significance(s, shuffles=2000, resamples=2000).collect()}
+    monkeypatch.setattr(lb, "TASK_CELLS", 30)
+    many = {r["config_id"]: r for r in lb.significance(s, shuffles=2000, resamples=2000).collect()}
+    for a in "abc":
+        assert many[a]["avg_rank"] == pytest.approx(one[a]["avg_rank"]) and many[a]["p"] == pytest.approx(one[a]["p"], abs=0.04) and many[a]["p_first"] == pytest.approx(one[a]["p_first"], abs=0.04)
+
+
+def test_ranks_of_ties_at_the_head():
+    assert lb.ranks_of(np.array([[1.0, 1.0 + 0.8e-9, 1.0 + 1.6e-9, 3.0], [2.0, 1.0, 2.0, 2.0]])).tolist() == [[1.5, 1.5, 3.0, 4.0], [3.0, 1.0, 3.0, 3.0]]
+
+
+def test_bradley_terry_resamples(spark):
+    from tallyline.operators import agreement as agr
+
+    rng = random.Random(9)
+    p = {"a": 4.0, "b": 2.0, "c": 1.0}
+    rows = []
+    for i in range(300):
+        x, y = rng.sample("abc", 2)
+        w = 1.0 if rng.random() < p[x] / (p[x] + p[y]) else 0.0
+        rows.append(("s", f"i{i % 60}", x, y, w, 1 - w))
+    df = spark.createDataFrame(rows, "set_id string, item_id string, a string, b string, wa double, wb double")
+    got = {r["arm"]: r for r in agr.bradley_terry(df, "set_id", resamples=300).collect()}
+    assert all(r["low"] < r["strength"] < r["high"] for r in got.values()) and got["a"]["strength"] > got["b"]["strength"] > got["c"]["strength"]
+    w = np.zeros((3, 3))
+    for _, _, x, y, a, b in rows:
+        w["abc".index(x), "abc".index(y)] += a
+        w["abc".index(y), "abc".index(x)] += b
+    s = np.array([got[x]["strength"] for x in "abc"])
+    games = w + w.T + 0.5
+    np.fill_diagonal(games, 0)
+    assert (games * s[:, None] / (s[:, None] + s[None, :])).sum(1) == pytest.approx(w.sum(1) + 0.5, abs=1e-3)  # wins are what the strengths expect
+    assert agr.bradley_terry(df.limit(0), "set_id").count() == 0
