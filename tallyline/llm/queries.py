@@ -200,19 +200,25 @@ def p6_finalist_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- 8: evaluation texts leaking into training text
 
 
+#: The share of an item's words from which p8_found counts it as leaked.
+SHARE = 0.4
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "test_items", "item_id", "text"))
 
 
 @query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+    """As the problem states it: two fifths of the item or more, in stretches of seven words or more, which items of fewer words cannot have."""
+    return _leaks(spark, sf_dir).filter(F.col("share") >= SHARE).filter(F.col("n_words") >= leakage.STRETCH).select("doc_id", "item_id")
 
 
 @query("p8_leaked_items")
 def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which test items leaked, into how many documents and how far at most."""
-    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("share").alias("greatest_share"))
+    """Which test items leaked, into how many documents with two fifths or more and with less, and how far at most."""
+    much = F.col("share") >= SHARE
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_if(much).alias("n_docs"), F.count_if(~much).alias("n_docs_partly"), F.max("share").alias("greatest_share"))
 
 
 # --- 4: text cut off by field limits

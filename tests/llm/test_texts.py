@@ -192,10 +192,32 @@ def test_leaks_under_disguise(spark):
     items = spark.createDataFrame([("i", text), ("short", "one two three"), ("none", None), (None, text)], "item_id string, text string")
     got = {r["doc_id"]: r["share"] for r in lk.leaks(d, items).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 6, 7} and got[1] == got[3] == 1.0
-    assert {r["doc_id"] for r in lk.leaks(d, items, words_in_a_pass=8).collect()} == set(got)
+    assert {r["doc_id"]: r["share"] for r in lk.leaks(d, items, words_in_a_pass=8).collect()} == got
     assert lk.leaks(d, items.limit(0)).count() == 0 and lk.leaks(d.limit(0), items).count() == 0
 
 
+def test_short_items_passages_and_joined_scripts(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randint(0, 30)}"
+    items = [(f"i{k}", " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 20, 60])] + [("zh", "今天天气很好我们去公园散步吧"), ("zh2", "你好"), ("mark", "...")]
+    docs = [(d, " ".join(word() for _ in range(200))) for d in range(30)] + [(100, "他说今天天气很好我们去公园，散步吧。"), (101, items[8][1][:40]), (102, "说你 好")]
+    want = set()
+    for d, t in docs:
+        text = lk.words(t)
+        for i, x in items:
+            w = lk.words(x)
+            n = min(7, len(w))
+            grams = {tuple(text[k : k + n]) for k in range(len(text) - n + 1)} if n else set()
+            hit = {j for k in range(len(w) - n + 1) if n and tuple(w[k : k + n]) in grams for j in range(k, k + n)}
+            if hit:
+                want.add((d, i, len(hit)))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    assert (100, "zh", 14) in want and (102, "zh2", 2) in want and any(d == 101 and i == "i8" for d, i, _ in want) and len(want) > 40
+    assert {tuple(r)[:3] for r in lk.leaks(df, it).collect()} == want
+    monkeypatch.setattr(lk, "HELD_CHARACTERS", 500)
+    assert {tuple(r)[:3] for r in lk.leaks(df, it, words_in_a_pass=15).collect()} == want
+
+
 @pytest.mark.parametrize(("sizes", "capacity", "least"), [([6, 5, 5, 4], 10, 2), ([7, 6, 4, 3, 3, 3, 2, 2], 10, 3), ([], 10, 0), ([0, 0], 10, 1), ([10] * 5, 10, 5), ([51, 27, 26, 23, 23, 21, 20, 9], 100, 2), ([1] * 95, 10, 10)])
 def test_bins_are_few(sizes, capacity, least):
     b = pk.pack(np.array(sizes, dtype=int), capacity)
