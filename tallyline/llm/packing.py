@@ -1,10 +1,12 @@
 """Problem 7: filling containers of fixed capacity by bin completion.
 
-A container is begun with the largest text left and completed by an undominated filling: the sets of
-texts that leave the least room, larger texts before smaller ones. The search goes depth first over
-the best fillings of each container, cuts branches whose waste already exceeds what a solution
-better than the incumbent may waste, and takes best-fit decreasing as the first incumbent. It
-stops at the lower bound ceil(total / capacity).
+A container is begun with the largest text left and completed by an undominated filling. Fillings are enumerated, not sampled:
+those that leave no room first, then those that leave one token, and so on, each in descending order of its texts; a filling is
+dominated, and left out, if a text outside would fit in the place of one or more of its texts and fill the room as well or
+better. The search goes depth first over the fillings of each container, cuts branches whose waste exceeds what
+a solution better than the incumbent may waste, and takes best-fit decreasing as the first incumbent. It stops at the
+lower bound (Martello and Toth's L2) or at its budget. While the bound is not reached, the containers with the most room left and
+some of the others are emptied and searched anew, which finds what lies too deep for one search over all.
 
 Texts are packed in groups by hash of doc_id, each in one task and bounded in size; containers that
 stay under ``FULL`` of the capacity give their texts to the next, smaller round, so that what the
@@ -13,6 +15,7 @@ groups waste at their ends is packed together.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,28 +33,27 @@ GROUP = 4000
 #: Containers filled to this share are closed; the others go on to the next round.
 FULL = 0.995
 ROUNDS = 4
-#: Kinds of containers that one call fills.
+#: Kinds of containers that the texts meet in one pass; more kinds take more passes.
 KINDS = 1000
-#: Fillings tried for a container before the search goes back; containers that one search begins, besides two for each of the incumbent.
-WIDTH = 3
+#: Containers that one search begins, besides two for each of the incumbent; fillings that it looks at for one container.
 NODES = 1000
+LOOKED_AT = 24
+#: While the lower bound is not reached, so many wasteful containers and others are emptied and searched anew, with so many nodes besides two
+#: for each; it ends after VAIN tokens of capacity, summed over the attempts since the last gain, as an attempt costs in proportion to the capacity.
+WASTEFUL, OTHERS, NODES_AGAIN, VAIN = 40, 120, 200, 30_000
+#: Fixed value: how the vocabulary's tokenizer splits a text before it merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _encoder(folder: str):
     import base64
-    import importlib.util
-    import sys
     from pathlib import Path
 
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("_tokenizer_files", Path(folder) / "__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    sys.modules.setdefault("_tokenizer_files", module)
-    spec.loader.exec_module(module)
     with open(Path(folder) / VOCABULARY, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
@@ -109,6 +111,93 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
+def _any_in_reach(sums: int, sizes: int, width: int) -> bool:
+    """Whether some bit of ``sizes`` lies 1 to ``width`` above some bit of ``sums``."""
+    reach, have = sums << 1, 1
+    while have < width:
+        step = min(have, width - have)
+        reach |= reach << step
+        have += step
+    return width > 0 and bool(reach & sizes)
+
+
+class _Fillings:
+    """The undominated fillings of ``room`` with sizes of ``count`` (by size), from the least room left up to ``allowed``.
+
+    An iterator: what the search does not ask for is not made. Sums are sets of bits: ``reach[k]`` has the sums that the k smallest
+    sizes present can make, so every branch taken ends in a filling.
+    """
+
+    def __init__(self, count: np.ndarray, room: int, allowed: int) -> None:
+        self.room, self.allowed, self.looked = room, allowed, 0
+        self.sizes = np.flatnonzero(count[: room + 1]).tolist()
+        self.counts = [int(count[v]) for v in self.sizes]
+        full, now = (1 << (room + 1)) - 1, 1
+        self.reach = [now]
+        self.present = sum(1 << v for v in self.sizes)
+        self.have = dict(zip(self.sizes, self.counts, strict=True))
+        for v, c in zip(self.sizes, self.counts, strict=True):
+            c, step = min(c, room // v), 1
+            while c > 0:  # so many copies by doubling
+                take = min(step, c)
+                now |= (now << (v * take)) & full
+                c -= take
+                step *= 2
+            self.reach.append(now)
+
+    def __iter__(self):
+        sums = self.reach[-1]
+        while sums and self.looked < LOOKED_AT:
+            total = sums.bit_length() - 1
+            sums &= ~(1 << total)
+            if self.room - total > self.allowed:
+                return
+            for filling in self._of(total):
+                self.looked += 1
+                if self._undominated(filling, self.room - total):
+                    yield tuple(v for v, n in filling for _ in range(n))
+                if self.looked >= LOOKED_AT:
+                    return
+
+    def _of(self, total: int):
+        """All multisets with this sum, larger sizes and more of them first, as (size, copies)."""
+        stack = [(len(self.sizes), total, ())]
+        while stack:
+            k, left, chosen = stack.pop()
+            if not left:
+                yield chosen
+                continue
+            # The largest size that may come next: every smaller one is tried after it.
+            options = []
+            while k and self.reach[k] >> left & 1:
+                v = self.sizes[k - 1]
+                most = min(self.counts[k - 1], left // v)
+                options += [(k - 1, left - n * v, (*chosen, (v, n))) for n in range(most, 0, -1) if self.reach[k - 1] >> (left - n * v) & 1]
+                k -= 1
+                if len(options) >= 16:  # the rest is looked at when these are done
+                    options.append((k, left, chosen))
+                    break
+            stack += reversed(options)
+
+    def _undominated(self, filling: tuple, room_left: int) -> bool:
+        """Whether no size outside fits in place of a part of the filling (or of nothing) and fills as much or more.
+
+        In place of one text only more counts; in place of several the same is enough, as fewer texts leave better ones.
+        """
+        outside = self.present
+        for v, n in filling:
+            if n == self.have[v]:
+                outside &= ~(1 << v)
+        single, several = 0, 0
+        sums = 1
+        for v, n in filling:
+            for _ in range(n):
+                several |= (sums & ~1) << v
+                sums |= sums << v
+            single |= 1 << v
+        return not (_any_in_reach(1 | single | several, outside, room_left) or several & outside)
+
+
 class _Search:
     """Bin completion over a multiset of sizes."""
 
@@ -119,117 +208,63 @@ class _Search:
         self.bound = lower_bound(sizes, capacity)
         self.nodes = 0
 
-    def fillings(self, room: int, width: int = WIDTH) -> list[tuple[int, ...]]:
-        """The best ``width`` undominated fillings of ``room``: largest first until three more can close it."""
-        taken: list[int] = []
-        count = self.count
-        top = int(np.flatnonzero(count)[-1]) if count.any() else 0
-        while room > 3 * top and top:
-            n = min(int(count[top]), room // top - 2)
-            if n <= 0:
-                break
-            taken += [top] * n
-            count[top] -= n
-            room -= n * top
-            left = np.flatnonzero(count[: top + 1])
-            top = int(left[-1]) if len(left) else 0
-        best = self._close(room, width) if room and top else [()]
-        for s in taken:
-            count[s] += 1
-        return [(*taken, *x) for x in best]
-
-    def _close(self, room: int, width: int) -> list[tuple[int, ...]]:
-        """Up to four sizes with the greatest sum within ``room``."""
-        count = self.count
-        present = np.flatnonzero(count[: room + 1])
-        if not len(present):
-            return [()]
-        floor = np.zeros(room + 1, dtype=np.int64)  # greatest size present up to x
-        floor[present] = present
-        np.maximum.accumulate(floor, out=floor)
-        found: dict[int, tuple[int, ...]] = {}
-
-        def note(x: tuple[int, ...]) -> None:
-            s = sum(x)
-            if s <= room and (s not in found or len(x) < len(found[s])):
-                found[s] = x
-
-        def two(first: tuple[int, ...], left: int) -> None:
-            if left <= 0:
-                return note(first)
-            a = present[: np.searchsorted(present, left, "right")]
-            if first:
-                a = a[: np.searchsorted(a, first[-1], "right")]
-            if not len(a):
-                return note(first)
-            b = floor[np.minimum(left - a, a - 1)]  # another size
-            same = (2 * a <= left) & (count[a] >= 2)
-            b = np.where(same & (a >= b), a, b)
-            s = a + b
-            for k in np.argsort(s, kind="stable")[::-1][:4]:
-                x = (*first, int(a[k]), int(b[k])) if b[k] else (*first, int(a[k]))
-                if all(x.count(v) <= count[v] for v in set(x)):
-                    note(x)
-
-        two((), room)
-        for a in present[::-1][:12]:
-            if room in found and len(found) >= width:
-                break
-            two((int(a),), room - int(a))
-        if room not in found:
-            for a in present[::-1][:6]:
-                for b in present[np.searchsorted(present, min(int(a), room - int(a)), "right") - 1 :: -1][:4] if room > a else ():
-                    two((int(a), int(b)), room - int(a) - int(b))
-                    if room in found:
-                        break
-        good = sorted(found, reverse=True)[:width]
-        return [found[s] for s in good] or [(int(floor[room]),)]
-
-    def solve(self, incumbent: int) -> list[tuple[int, ...]] | None:
+    def solve(self, incumbent: int, nodes: int = NODES) -> list[tuple[int, ...]] | None:
         """Fillings of fewer than ``incumbent`` containers, if the search finds them."""
         best: list[tuple[int, ...]] | None = None
-        stack: list[tuple[list[tuple[int, ...]], int]] = []  # (fillings still to try at this container, waste before it)
+        open_: list[tuple] = []  # (fillings still to try at this container, its largest size, waste before it)
         chosen: list[tuple[int, ...]] = []
         waste = 0
+        budget = nodes + 2 * incumbent
         while True:
             left = np.flatnonzero(self.count)
+            allowed = (incumbent - 1) * self.capacity - self.total - waste
             if not len(left):
                 if len(chosen) < incumbent:
                     best, incumbent = list(chosen), len(chosen)
-                if incumbent <= self.bound or not self._back(stack, chosen):
-                    return best
-                waste = self._waste
-                continue
-            allowed = (incumbent - 1) * self.capacity - self.total
-            if waste > allowed or self.nodes > NODES + 2 * incumbent:
-                if self.nodes > NODES + 2 * incumbent or not self._back(stack, chosen):
+                if incumbent <= self.bound:
                     return best
-                waste = self._waste
-                continue
-            self.nodes += 1
-            largest = int(left[-1])
-            self.count[largest] -= 1
-            options = [(largest, *x) for x in self.fillings(self.capacity - largest)]
-            self.count[largest] += 1
-            stack.append((options[1:], waste))
-            waste = self._take(options[0], chosen, waste)
-
-    def _take(self, filling: tuple[int, ...], chosen: list, waste: int) -> int:
-        for s in filling:
-            self.count[s] -= 1
-        chosen.append(filling)
-        return waste + self.capacity - sum(filling)
-
-    def _back(self, stack: list, chosen: list) -> bool:
-        while stack:
-            options, before = stack.pop()
-            for s in chosen.pop():
-                self.count[s] += 1
-            if options:
-                stack.append((options[1:], before))
-                self._waste = self._take(options[0], chosen, before)
-                return True
-        return False
+            elif allowed >= 0 and self.nodes < budget:
+                self.nodes += 1
+                largest = int(left[-1])
+                self.count[largest] -= 1
+                open_.append((iter(_Fillings(self.count, self.capacity - largest, allowed)), largest, waste))
+                self.count[largest] += 1
+                chosen.append(())
+            elif self.nodes >= budget:
+                return best
+            # The next filling of the last container that has one.
+            while open_:
+                options, largest, before = open_[-1]
+                for s in chosen.pop():
+                    self.count[s] += 1
+                room = (incumbent - 1) * self.capacity - self.total - before
+                filling = next(options, None)
+                if filling is not None and self.capacity - largest - sum(filling) <= room:
+                    whole = (largest, *filling)
+                    for s in whole:
+                        self.count[s] -= 1
+                    chosen.append(whole)
+                    waste = before + self.capacity - sum(whole)
+                    break
+                open_.pop()
+            if not open_:
+                return best
+
+
+def _again(bins: list[tuple[int, ...]], capacity: int, bound: int) -> list[tuple[int, ...]]:
+    """Fewer containers, if emptying the wasteful ones together with others makes a part of them fit into fewer."""
+    rng, vain = np.random.default_rng(len(bins)), 0
+    while bound < len(bins) and len(bins) > WASTEFUL + OTHERS and vain < VAIN:
+        vain += capacity
+        room = np.array([capacity - sum(b) for b in bins])
+        order = np.argsort(-room + rng.random(len(bins)) * capacity / 100, kind="stable")
+        some = [*order[:WASTEFUL], *rng.permutation(order[WASTEFUL:])[:OTHERS]]
+        search = _Search(np.array([s for i in some for s in bins[i]]), capacity)
+        fewer = search.solve(len(some), NODES_AGAIN) if search.bound < len(some) else None
+        if fewer is not None:
+            emptied = set(some)
+            bins, vain = [b for i, b in enumerate(bins) if i not in emptied] + fewer, 0
+    return bins
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -243,8 +278,9 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     bins = best_fit(down, capacity)
     search = _Search(down, capacity)
     if len(bins) > max(1, search.bound):
-        better = search.solve(len(bins))
-        if better is not None:
+        plain = [tuple(int(down[i]) for i in b if down[i]) for b in bins]
+        better = _again(search.solve(len(bins)) or plain, capacity, search.bound)
+        if len(better) < len(bins):
             at: dict[int, list[int]] = {}
             for i in range(len(down) - 1, -1, -1):
                 at.setdefault(int(down[i]), []).append(i)
@@ -272,6 +308,11 @@ def _packer(number: int, last: bool):
     return one
 
 
+def _parts(kinds: Iterator) -> Iterator[list[tuple[str, int]]]:
+    while part := [(k["container_kind"], k["capacity_tokens"]) for k in itertools.islice(kinds, KINDS)]:
+        yield part
+
+
 def fill(tokens: DataFrame, containers: DataFrame, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
     """Puts every doc_id of ``tokens`` (doc_id, tokens) into containers of each kind of ``containers`` (container_kind, capacity_tokens).
 
@@ -283,11 +324,13 @@ def fill(tokens: DataFrame, containers: DataFrame, group: int = GROUP, rounds: i
     kinds = containers.select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity_tokens")).filter("capacity_tokens > 0 AND container_kind IS NOT NULL").distinct()
     sized = durable(tokens.groupBy("doc_id").agg(F.max("tokens").alias("tokens")))
     rows = sized.count()
-    named = sorted((k["container_kind"], k["capacity_tokens"]) for k in kinds.limit(KINDS + 1).collect())
-    if len(named) > KINDS:
-        raise ValueError(f"more than {KINDS} kinds of containers")
-    kind = F.explode(F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity_tokens")) for k, c in named)))
-    items = sized.select("*", kind.alias("k")).select("doc_id", "tokens", "k.*") if named else sized.select("doc_id", "tokens", F.lit("").alias("container_kind"), F.lit(1).cast("long").alias("capacity_tokens")).limit(0)
+    items = None
+    for part in _parts(kinds.orderBy("container_kind", "capacity_tokens").toLocalIterator()):
+        kind = F.explode(F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity_tokens")) for k, c in part)))
+        some = sized.select("*", kind.alias("k")).select("doc_id", "tokens", "k.*")
+        items = some if items is None else items.unionByName(some)
+    if items is None:
+        items = sized.select("doc_id", "tokens", F.lit("").alias("container_kind"), F.lit(1).cast("long").alias("capacity_tokens")).limit(0)
     over = F.floor((F.col("tokens") - 1) / F.col("capacity_tokens")).cast("int")
     items = items.withColumn("n_full", F.greatest(over, F.lit(0)))
     whole = items.select("container_kind", "capacity_tokens", "doc_id", F.col("n_full").alias("piece"), (F.col("tokens") - F.col("n_full") * F.col("capacity_tokens")).alias("tokens"))

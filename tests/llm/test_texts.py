@@ -289,3 +289,32 @@ def test_search_finds_what_takes_hundreds_of_nodes(seed, capacity, n, low, high,
     rng.choice([200, 500, 1000]), rng.integers(20, 120), rng.choice([0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5], 2, replace=False)
     sizes = rng.integers(int(low * capacity), int(high * capacity) + 1, n)
     assert pk.pack(sizes, capacity).max() + 1 == want
+
+
+def test_fillings_are_the_undominated_ones():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        room, sizes = 30, rng.integers(3, 16, 7)
+        count = np.bincount(sizes, minlength=room + 1)
+        all_ = {tuple(sorted(c, reverse=True)) for r in range(8) for c in itertools.combinations(sizes.tolist(), r) if sum(c) <= room}
+
+        def dominated(f):
+            rest = list(sizes)
+            for x in f:
+                rest.remove(x)
+            left = room - sum(f)
+            parts = {sub for r in range(len(f) + 1) for sub in itertools.combinations(f, r)}
+            return any(sum(p) < x <= sum(p) + left or (len(p) > 1 and x == sum(p)) for x in rest for p in parts)
+
+        got = [tuple(sorted(f, reverse=True)) for f in pk._Fillings(count, room, room)]
+        assert set(got) == {f for f in all_ if not dominated(f)} and len(got) == len(set(got))
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_packing_of_many_reaches_what_it_reached():
+    rng = np.random.default_rng(0)
+    s = np.r_[rng.integers(257, 500, 500), rng.integers(128, 256, 700), rng.integers(5, 60, 150)]
+    n = pk.pack(s, 512).max() + 1
+    assert pk.lower_bound(s, 512) <= n <= 690 and n <= len(pk.best_fit(np.sort(s)[::-1], 512))
