@@ -288,6 +288,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How demanding each source is: prose documents, mean score and the share of each level."""
     reader = reading.train(read(spark, sf_dir, "reading_anchors"))
-    got = reading.levels(read(spark, sf_dir, "documents", "doc_id", "text", F.element_at(F.split("source", "/"), 1).alias("source")), reader, "source")
+    got = reading.levels(read(spark, sf_dir, "documents", "doc_id", "text", "source"), reader, "source")
     shares = [F.round(F.avg((F.col("level") == k).cast("double")), 6).alias(f"level_{k}") for k in range(1, reading.LEVELS + 1)]
     return got.groupBy("source").agg(F.count("*").alias("n_docs"), F.round(F.avg("score"), 6).alias("mean_score"), *shares)
+
+
+@query("p9_validation")
+def p9_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated grades by source of the anchors (their language, as these name no source): texts held out, share right, mean error in levels."""
+    reader = reading.train(read(spark, sf_dir, "reading_anchors"))
+    return spark.createDataFrame(reader.by_source if reader else [], "source string, n_texts int, accuracy double, mean_error double")

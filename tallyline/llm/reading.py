@@ -2,13 +2,15 @@
 
 Features describe length, vocabulary, syntax and cohesion by their distributions in a text and are put on
 one scale by language. The trees are trained on the anchors and on texts resampled from
-their sentences, so that length says nothing of the level. Cross-validation by anchor gives
-predictions for unseen texts, from which the cuts between the levels are calibrated.
+their sentences, so that length says nothing of the level. Cross-validation by source (whole sources are held out; an anchor without
+one is a source of its own) gives predictions for unseen texts, from which the cuts between the levels are calibrated and of which
+the errors are reported by source or language. Folds and the final model are trained in Spark tasks.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -18,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import bounded_sample
 from .pairs import LANGUAGES, LanguageDictionary
 
 LEVELS = 5
 MIN_WORDS = 60
-#: Anchors that may be trained on, chosen by anchor_id.
+#: Anchors that may be trained on, chosen by hash of anchor_id.
 MAX_ANCHORS = 5_000
 RESAMPLED = 24
 FOLDS = 8
@@ -150,12 +153,12 @@ def features(tokens: list[list[str]], commas: int, lang: str, lexicon: Lexicon)
     grades = [g for w in flat if (g := get((lang, w)))]
     sets = [{w for w in t if len(w) > 4} for t in tokens]
     overlap = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:])]
-    window = flat[:100]
+    windows = [flat[i : i + 100] for i in range(0, max(1, n - 99), 100)]  # of the whole text
     s_mean, c_mean = n / m, float(chars.mean())
     over6 = np.count_nonzero(chars > 6) / n
     return [
         s_mean, _at(sizes, 0.5), _at(sizes, 0.9), _spread(sizes, s_mean), c_mean, float(chars.std()), over6, np.count_nonzero(chars > 8) / n, np.count_nonzero(chars > 11) / n, np.count_nonzero(chars < 4) / n,
-        float(syl.mean()), np.count_nonzero(syl >= 4) / n, sum(grades) / len(grades) if grades else 3.0, sum(g >= 3.7 for g in grades) / len(grades) if grades else 0.3, len(set(window)) / len(window),
+        float(syl.mean()), np.count_nonzero(syl >= 4) / n, sum(grades) / len(grades) if grades else 3.0, sum(g >= 3.7 for g in grades) / len(grades) if grades else 0.3, sum(len(set(w)) / len(w) for w in windows) / len(windows),
         commas / m, commas / n, s_mean + 100 * over6, 4.71 * c_mean + 0.5 * s_mean, sum(overlap) / len(overlap) if overlap else 0.0, 1 - len(set(flat)) / n,
         sum(v <= 8 for v in sizes) / m, sum(v >= 22 for v in sizes) / m,
     ]
@@ -170,7 +173,8 @@ class Trees:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
         rng = np.random.default_rng(self.seed)
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-        binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
+        width = max(len(c) for c in cuts) + 1
+        binned = np.stack([np.searchsorted(c, x[:, j], "left") + j * width for j, c in enumerate(cuts)], 1)
         self.base = float(y.mean())
         self.trees: list[list[tuple]] = []
         now = np.full(len(y), self.base)
@@ -178,35 +182,32 @@ class Trees:
         for _ in range(self.rounds):
             use = rng.choice(x.shape[1], n_use, replace=False)
             tree: list[tuple] = []
-            self._grow(tree, binned, y - now, np.arange(len(y)), use, cuts, self.depth, now)
+            self._grow(tree, binned, y - now, np.arange(len(y)), use, cuts, width, self.depth, now)
             self.trees.append(tree)
         return self
 
-    def _grow(self, tree, binned, r, rows, use, cuts, depth, now) -> int:
+    def _grow(self, tree, binned, r, rows, use, cuts, width, depth, now) -> int:
         at = len(tree)
         tree.append(())
-        best = (1e-9, -1, -1)
         total, n = r[rows].sum(), len(rows)
+        best = -1
         if depth and n >= 2 * self.least:
-            for j in use:
-                k = len(cuts[j]) + 1
-                b = binned[rows, j]
-                c, s = np.cumsum(np.bincount(b, minlength=k))[:-1], np.cumsum(np.bincount(b, r[rows], k))[:-1]
-                ok = (c >= self.least) & (n - c >= self.least)
-                if ok.any():
-                    gain = np.where(ok, s * s / np.maximum(c, 1) + (total - s) ** 2 / np.maximum(n - c, 1) - total * total / n, 0)
-                    i = int(gain.argmax())
-                    if gain[i] > best[0]:
-                        best = (float(gain[i]), int(j), i)
-        if best[1] < 0:
+            # Histograms of all features in use at once.
+            flat, size = binned[rows][:, use].ravel(), width * len(cuts)
+            c = np.cumsum(np.bincount(flat, minlength=size).reshape(-1, width)[use], 1)[:, :-1]
+            s = np.cumsum(np.bincount(flat, np.repeat(r[rows], len(use)), size).reshape(-1, width)[use], 1)[:, :-1]
+            ok = (c >= self.least) & (n - c >= self.least)
+            gain = np.where(ok, s * s / np.maximum(c, 1) + (total - s) ** 2 / np.maximum(n - c, 1) - total * total / n, 0)
+            best = int(gain.argmax()) if gain.max() > 1e-9 else -1
+        if best < 0:
             value = self.rate * total / (n + 1)
             now[rows] += value
             tree[at] = (-1, value, 0, 0)
             return at
-        _, j, i = best
-        left = binned[rows, j] <= i
-        a = self._grow(tree, binned, r, rows[left], use, cuts, depth - 1, now)
-        b = self._grow(tree, binned, r, rows[~left], use, cuts, depth - 1, now)
+        j, i = int(use[best // (width - 1)]), best % (width - 1)
+        left = binned[rows, j] <= i + j * width
+        a = self._grow(tree, binned, r, rows[left], use, cuts, width, depth - 1, now)
+        b = self._grow(tree, binned, r, rows[~left], use, cuts, width, depth - 1, now)
         tree[at] = (j, float(cuts[j][i]), a, b)
         return at
 
@@ -225,34 +226,59 @@ class Trees:
         return out
 
 
+def _folds(anchors: list[tuple]) -> np.ndarray:
+    """The fold of every anchor. Anchors of one source share a fold; sources are dealt in order of level and language."""
+    order = sorted(range(len(anchors)), key=lambda k: (anchors[k][2], anchors[k][1], anchors[k][0]))
+    dealt: dict = {}
+    for k in order:
+        dealt.setdefault(anchors[k][4] or ("", k), len(dealt) % FOLDS)
+    return np.array([dealt[a[4] or ("", k)] for k, a in enumerate(anchors)])
+
+
 class Reader:
-    """Features, trees and cuts, trained on (anchor_id, lang, level, text)."""
+    """Features, trees and cuts, trained on (anchor_id, lang, level, text, source); the source may be null or left out.
+
+    ``held`` are the predictions of the folds if they have been made elsewhere.
+    """
 
-    def __init__(self, anchors: list[tuple[int, str, int, str]]) -> None:
-        anchors = [(i, lang.lower(), int(level), text) for i, lang, level, text in anchors if lang and level and text]
+    def __init__(self, anchors: list[tuple], held: list[tuple] | None = None) -> None:
+        anchors = self.cleaned(anchors)
         if not anchors:
             raise ValueError("no anchors to learn from")
-        self.languages = LanguageDictionary.learn((t, k) for _, k, _, t in anchors)
-        fold = np.array([k % FOLDS for k in range(len(anchors))])
-        order = sorted(range(len(anchors)), key=lambda k: (anchors[k][2], anchors[k][1], anchors[k][0]))
-        fold[order] = np.arange(len(anchors)) % FOLDS
-        held_score, held_level = [], []
-        folds = range(FOLDS) if len(anchors) >= 4 * FOLDS else []
-        for f in folds:
-            part = [a for k, a in enumerate(anchors) if fold[k] != f]
-            out = [a for k, a in enumerate(anchors) if fold[k] == f]
-            self._train(part, 8)
-            x, y = self._examples(out, 6)
-            held_score.append(self.trees.predict(x))
-            held_level.append(y)
+        self.languages = LanguageDictionary.learn((a[3], a[1]) for a in anchors)
         self._train(anchors, RESAMPLED)
         self.cuts = np.arange(1, LEVELS) + 0.5
         self.held_out: dict[str, float] = {}
-        if len(folds):
-            s, y = np.concatenate(held_score), np.concatenate(held_level)
-            self.cuts = self._calibrate(s, y)
-            got = 1 + np.searchsorted(self.cuts, s)
-            self.held_out = {"accuracy": float((got == y).mean()), "mean_error": float(np.abs(got - y).mean())}
+        self.by_source: list[tuple[str, int, float, float]] = []
+        self.calibrate([self.fold(anchors, f) for f in range(FOLDS)] if held is None else held)
+
+    @staticmethod
+    def cleaned(anchors: list[tuple]) -> list[tuple]:
+        return [(a[0], a[1].lower(), int(a[2]), a[3], a[4] if len(a) > 4 else None) for a in anchors if a[1] and a[2] and a[3]]
+
+    @staticmethod
+    def fold(anchors: list[tuple], f: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Scores, levels and sources (or languages) of the texts that a model without fold ``f`` has not seen; nothing of too few anchors."""
+        anchors = Reader.cleaned(anchors)
+        of = _folds(anchors) if anchors else np.zeros(0)
+        part, out = [a for a, k in zip(anchors, of, strict=True) if k != f], [a for a, k in zip(anchors, of, strict=True) if k == f]
+        if len(anchors) < 4 * FOLDS or not part or not out:
+            return np.zeros(0), np.zeros(0), []
+        model = Reader.__new__(Reader)
+        model._train(part, 8)
+        raw, lang, y = model._raw(out, 6)
+        names = [a[4] or a[1] for a in out for _ in range(7)]
+        return model.trees.predict(model._scaled(raw, lang)), y, names
+
+    def calibrate(self, held: list[tuple]) -> None:
+        """Cuts between the levels from held-out predictions, and what errors these leave over all and by source."""
+        s, y = (np.concatenate([h[i] for h in held] or [np.zeros(0)]) for i in (0, 1))
+        if not len(s):
+            return
+        self.cuts = self._calibrate(s, y)
+        names, got = np.array([n for h in held for n in h[2]]), 1 + np.searchsorted(self.cuts, s)
+        self.held_out = {"accuracy": float((got == y).mean()), "mean_error": float(np.abs(got - y).mean())}
+        self.by_source = [(str(n), int((names == n).sum()), float((got == y)[names == n].mean()), float(np.abs(got - y)[names == n].mean())) for n in np.unique(names)]
 
     @staticmethod
     def _calibrate(s: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -265,7 +291,7 @@ class Reader:
         return np.array(cuts)
 
     def _train(self, anchors: list, resampled: int) -> None:
-        self.lexicon = Lexicon([(k, lv, t) for _, k, lv, t in anchors])
+        self.lexicon = Lexicon([(a[1], a[2], a[3]) for a in anchors])
         raw, lang, y = self._raw(anchors, resampled)
         self.scale: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for k in {*lang, ""}:
@@ -276,7 +302,7 @@ class Reader:
     def _raw(self, anchors: list, resampled: int) -> tuple[np.ndarray, list[str], np.ndarray]:
         rng = np.random.default_rng(11)
         rows, langs, y = [], [], []
-        for _, lang, level, text in anchors:
+        for _, lang, level, text, _ in anchors:
             said, _ = sentences(text)
             lexicon = self.lexicon
             rows.append(features(*tokenized(said), lang, lexicon))
@@ -302,10 +328,6 @@ class Reader:
             out[names == k] = (raw[names == k] - mean) / std
         return out
 
-    def _examples(self, anchors: list, resampled: int) -> tuple[np.ndarray, np.ndarray]:
-        raw, lang, y = self._raw(anchors, resampled)
-        return self._scaled(raw, lang), y
-
     def score(self, texts: list[list[str]]) -> np.ndarray:
         """Scores of texts given as sentences, on the scale of the levels."""
         if not texts:
@@ -329,10 +351,28 @@ class Reader:
 
 
 def train(anchors: DataFrame) -> Reader | None:
-    """Trains on at most MAX_ANCHORS rows of ``anchors`` (anchor_id, lang, level, text), those of the lowest ids; None without any."""
-    rows = anchors.filter("text IS NOT NULL AND lang IS NOT NULL AND level BETWEEN 1 AND 5").orderBy("anchor_id").limit(MAX_ANCHORS).collect()
-    rows = [(r["anchor_id"], r["lang"], r["level"], r["text"]) for r in rows if sentences(r["text"])[0]]
-    return Reader(rows) if rows else None
+    """Trains on at most MAX_ANCHORS rows of ``anchors`` (anchor_id, lang, level, text, and source if there is one), chosen by hash of the id; None without any.
+
+    Every fold, and the final model, is a Spark task.
+    """
+    spark = anchors.sparkSession
+    source = F.col("source").cast("string") if "source" in anchors.columns else F.lit(None).cast("string")
+    good = anchors.filter("text IS NOT NULL AND lang IS NOT NULL AND level BETWEEN 1 AND 5").select("anchor_id", "lang", "level", "text", source.alias("source"))
+    rows = sorted((tuple(r) for r in bounded_sample(good, "anchor_id", MAX_ANCHORS).collect() if sentences(r["text"])[0]), key=lambda r: r[:3])
+    if not rows:
+        return None
+    shared = spark.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f in b.column(0).to_pylist():
+                got = Reader.fold(shared.value, f) if f < FOLDS else Reader(shared.value, [])
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int64()), pa.array([pickle.dumps(got)])], names=["fold", "got"])
+
+    done = {r["fold"]: pickle.loads(r["got"]) for r in spark.range(0, FOLDS + 1, 1, FOLDS + 1).mapInArrow(run, "fold long, got binary").collect()}
+    reader = done[FOLDS]
+    reader.calibrate([done[f] for f in range(FOLDS)])
+    return reader
 
 
 def is_prose(share: float, said: list[str]) -> bool:

@@ -273,6 +273,24 @@ def test_prose(text, prose):
     assert rd.is_prose(share, said) == prose
 
 
+def test_sources_are_held_out_together(spark, reader):
+    import pandas as pd
+
+    a = pd.read_parquet(f"{DATA}/reading_anchors.parquet")
+    rows = [(int(i), k, int(lv), t, f"s{n % 20}") for n, (i, k, lv, t) in enumerate(zip(a["anchor_id"], a["lang"], a["level"], a["text"], strict=True))]
+    fold = rd._folds(rd.Reader.cleaned(rows))
+    assert all(len({f for f, r in zip(fold, rows, strict=True) if r[4] == s}) == 1 for s in {r[4] for r in rows}) and len(set(fold)) == rd.FOLDS
+    trained = rd.train(spark.createDataFrame([(*r[:4], "x") for r in rows], "anchor_id long, lang string, level int, text string, other string"))
+    assert trained.held_out == pytest.approx(reader.held_out) and {x[0] for x in trained.by_source} == {"en", "de", "fr", "es"} and sum(x[1] for x in trained.by_source) == 7 * len(rows)
+
+
+def test_variety_is_that_of_the_whole_text():
+    same, other = [["w"] * 10] * 10, [[f"w{i}{j}" for i in range(10)] for j in range(10)]
+    at = rd.NAMES.index("variety")
+    f = lambda tokens: rd.features(tokens, 0, "en", rd.Lexicon([]))[at]
+    assert f(same + other) == f(other + same) == pytest.approx((0.01 + 1) / 2)
+
+
 def test_levels(spark, reader):
     import pandas as pd
 
