@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop_table, durable_table, ensure_checkpoint_dir
+
+__all__ = ["bounded_sample", "drop_table", "durable", "durable_table", "ensure_checkpoint_dir", "joined", "read", "valid_number"]
+
+#: Rows of a small side that are broadcast (a few short columns each); a larger one is spread over salts.
+BROADCAST_ROWS = 500_000
+SALTS = 16
+
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A test table, with only the columns asked for."""
@@ -15,36 +20,20 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's setting, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(named)
-    return named
-
-
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: its lineage ends there, so a lost executor costs nothing before it."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def durable_table(df: DataFrame) -> DataFrame:
-    """Like durable(), as a compressed table of columns: for results that are large or read more than once.
-
-    The table lies in a folder of its own below the checkpoint folder and is left there, since frames
-    made from it may still be read; whoever owns the checkpoint folder empties it.
-    """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def joined(big: DataFrame, small: DataFrame, keys: list[str], rows: int, spread: str, how: str = "inner") -> DataFrame:
+    """``big`` with ``small`` (of ``rows`` rows, unique keys), neither of which sends a popular key to one task: small is broadcast up to
+    BROADCAST_ROWS; a larger one is repeated for each salt, and the rows of big are salted by their column ``spread``."""
+    if rows <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys, how)
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    many = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("_salt", salt).join(many, [*keys, "_salt"], how).drop("_salt")
 
 
 def valid_number(c: Column) -> Column:

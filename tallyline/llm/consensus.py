@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable
+from .base import drop_table, durable, durable_table, joined
 
 GRADES = 5
 STRENGTH = 20.0
 PRIOR = 10.0
-ITERATIONS = 40
+#: Rounds end when no expected count moves by more than this share of the greatest; what has not ended by then is marked as not converged.
 TOLERANCE = 1e-3
+ITERATIONS = 200
 #: Annotators whose matrices are held by the driver and every worker (200 bytes each); beyond, they are joined.
 ANNOTATORS_IN_MEMORY = 20_000
 
@@ -169,10 +170,10 @@ def _log_prior(classes: np.ndarray) -> np.ndarray:
 
 
 class Fit:
-    """A fitted model: the units' grades and what is known of the annotators."""
+    """A fitted model: the units' grades, what is known of the annotators, and whether the rounds converged."""
 
-    def __init__(self, grades: DataFrame, annotators: DataFrame) -> None:
-        self.grades, self.annotators = grades, annotators
+    def __init__(self, grades: DataFrame, annotators: DataFrame, converged: bool) -> None:
+        self.grades, self.annotators, self.converged = grades, annotators, converged
 
 
 def fit(labels: DataFrame, in_memory: int = ANNOTATORS_IN_MEMORY) -> Fit:
@@ -197,20 +198,21 @@ def fit(labels: DataFrame, in_memory: int = ANNOTATORS_IN_MEMORY) -> Fit:
     schema = "judge string, judge_type string, n_labels long, accuracy double, information double"
     if not judges:
         none = spark.createDataFrame([], "run_id string, item_id string, dim_name string, grade int, probability double")
-        return Fit(none, spark.createDataFrame([], schema))
+        return Fit(none, spark.createDataFrame([], schema), True)
     number = spark.createDataFrame([(j, k) for k, (j, _) in enumerate(judges)], "judge string, who int")
     units = counts.join(F.broadcast(number), "judge").groupBy("run_id", "item_id", "dim_name").agg(F.collect_list(F.struct("who", F.col("grade").cast("int").alias("given"), "n")).alias("labels"))
     units = durable(units)
     k = len(judges)
     model, elog, prior = Model(), vote(k), np.log(np.full((len(dims), GRADES), 1 / GRADES))
-    last = None
+    last, converged = None, False
     for _ in range(ITERATIONS):
         n, classes = _statistics(units, elog, prior, dims, k)
         member = model.membership(n)
         model.types(n, member)
         member = model.membership(n)
         elog, prior = model.annotators(n, member), _log_prior(classes)
-        if last is not None and np.abs(n - last).max() <= TOLERANCE * max(1.0, np.abs(n).max()):
+        converged = last is not None and np.abs(n - last).max() <= TOLERANCE * max(1.0, np.abs(n).max())
+        if converged:
             break
         last = n
     share = classes.sum(0) / classes.sum()
@@ -225,7 +227,7 @@ def fit(labels: DataFrame, in_memory: int = ANNOTATORS_IN_MEMORY) -> Fit:
                 yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((q.argmax(1) + 1).astype(np.int32)), pa.array(q.max(1))], names=["run_id", "item_id", "dim_name", "grade", "probability"])
 
     grades = units.select("run_id", "item_id", "dim_name", "labels").mapInArrow(decide, "run_id string, item_id string, dim_name string, grade int, probability double")
-    return Fit(grades, annotators)
+    return Fit(grades, annotators, bool(converged))
 
 
 def _worth(dirichlet: np.ndarray, member: np.ndarray, share: np.ndarray) -> tuple[str, float, float]:
@@ -244,20 +246,22 @@ def _fit_joined(counts: DataFrame, per_judge: DataFrame) -> Fit:
     matrices = per_judge.select("judge", F.array(*map(F.lit, first)).alias("elog"))
     prior = {r[0]: [0.0] * GRADES for r in counts.select("dim_name").distinct().collect()}
     unit = ["run_id", "item_id", "dim_name"]
-    last = None
+    many = per_judge.count()
+    last, converged, q, n = None, False, None, None
     for _ in range(ITERATIONS):
+        old = q, n
         table = spark.createDataFrame([(d, list(map(float, p))) for d, p in prior.items()], "dim_name string, prior array<double>")
-        x = counts.join(matrices, "judge")
+        x = joined(counts, matrices, ["judge"], many * 25, "item_id")  # a matrix weighs as much as 25 short rows
         sums = [F.sum(F.col("n") * F.element_at("elog", (F.lit(c * GRADES) + F.col("grade")).cast("int"))).alias(f"s{c}") for c in range(GRADES)]
         x = x.groupBy(*unit).agg(*sums).join(table, "dim_name")
         s = [F.col(f"s{c}") + F.element_at("prior", F.lit(c + 1)) for c in range(GRADES)]
         top = F.greatest(*s)
         e = [F.exp(v - top) for v in s]
         whole = e[0] + e[1] + e[2] + e[3] + e[4]
-        q = durable(x.select(*unit, *((v / whole).alias(f"q{c}") for c, v in enumerate(e))))
+        q = durable_table(x.select(*unit, *((v / whole).alias(f"q{c}") for c, v in enumerate(e))))
         per = counts.join(q, [counts[c].eqNullSafe(q[c]) for c in unit]).groupBy(counts["judge"], counts["grade"]).agg(*(F.sum(F.col("n") * F.col(f"q{c}")).alias(f"q{c}") for c in range(GRADES)))
         cells = [F.sum(F.when(F.col("grade") == g + 1, F.col(f"q{c}")).otherwise(0.0)).alias(f"n{c}{g}") for c in range(GRADES) for g in range(GRADES)]
-        n = durable(per.groupBy("judge").agg(*cells).select("judge", F.array(*COUNT_COLS).alias("counts")))
+        n = durable_table(per.groupBy("judge").agg(*cells).select("judge", F.array(*COUNT_COLS).alias("counts")))
         member = n.mapInPandas(_map_membership(model), "judge string, counts array<double>, member array<double>")
         tot = member.select(F.posexplode("member").alias("m", "p"), "counts").select("m", "p", *(F.element_at("counts", i + 1).alias(f"c{i}") for i in range(flat)))
         got = tot.groupBy("m").agg(F.sum("p").alias("p"), *(F.sum(F.col("p") * F.col(f"c{i}")).alias(f"c{i}") for i in range(flat))).collect()
@@ -265,11 +269,16 @@ def _fit_joined(counts: DataFrame, per_judge: DataFrame) -> Fit:
             model.alpha[r["m"]] = PRIOR * model.start[r["m"]] + 0.1 + np.array([r[f"c{i}"] for i in range(flat)]).reshape(GRADES, GRADES)
         p = np.array([next((r["p"] for r in got if r["m"] == m), 0.0) for m in range(len(model.start))])
         model.share = (p + 1) / (p.sum() + len(p))
-        matrices = durable(n.mapInPandas(_map_matrices(model), "judge string, elog array<double>"))
+        before, matrices = matrices, durable_table(n.mapInPandas(_map_matrices(model), "judge string, elog array<double>"))
+        if old[1] is not None:
+            drop_table(before)
         classes = q.groupBy("dim_name").agg(*(F.sum(f"q{c}").alias(f"q{c}") for c in range(GRADES))).collect()
         prior = {r["dim_name"]: _log_prior(np.array([[r[f"q{c}"] for c in range(GRADES)]]))[0] for r in classes}
+        for t in old:
+            drop_table(t)
         now = model.alpha.copy()
-        if last is not None and np.abs(now - last).max() <= TOLERANCE * np.abs(now).max():
+        converged = last is not None and np.abs(now - last).max() <= TOLERANCE * np.abs(now).max()
+        if converged:
             break
         last = now
     share = np.array([[r[f"q{c}"] for c in range(GRADES)] for r in classes]).sum(0)
@@ -278,7 +287,7 @@ def _fit_joined(counts: DataFrame, per_judge: DataFrame) -> Fit:
     annotators = per_judge.join(worth, "judge").select("judge", "judge_type", "n_labels", "accuracy", "information")
     top = F.greatest(*(f"q{c}" for c in range(GRADES)))
     grade = F.coalesce(*(F.when(F.col(f"q{c}") == top, F.lit(c + 1)) for c in range(GRADES)))
-    return Fit(q.select(*unit, grade.cast("int").alias("grade"), top.alias("probability")), annotators)
+    return Fit(q.select(*unit, grade.cast("int").alias("grade"), top.alias("probability")), annotators, bool(converged))
 
 
 def _stack(pdf) -> np.ndarray:

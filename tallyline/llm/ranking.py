@@ -26,12 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable, durable_table
+from .base import drop_table, durable, durable_table, joined
 
 FIELD = 0.25
 SELF = 0.25
-ITERATIONS = 100
-TOLERANCE = 1e-9
+#: The scaling ends when no log strength moves by more than this, whatever the size of a set; what has not ended by then is marked as not converged.
+TOLERANCE = 1e-6
+ITERATIONS = 10_000
 #: Rows of counts that one task may hold for a set; sets with more are scaled by joins.
 EDGES_IN_MEMORY = 400_000
 SALTS = 16
@@ -80,8 +81,8 @@ def win_matrix(w: DataFrame) -> DataFrame:
     return both.groupBy("set_id", F.col("e.i").alias("i"), F.col("e.j").alias("j")).agg(F.sum("e.w").alias("w"))
 
 
-def scale(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    """Log strengths of contestants 0..n-1 from wins w of i over j; the mean is 0."""
+def scale(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int) -> tuple[np.ndarray, bool]:
+    """Log strengths of contestants 0..n-1 from wins w of i over j, with mean 0, and whether the scaling converged."""
     t = (np.bincount(i, w, n) + np.bincount(j, w, n)) / 2 + FIELD + SELF
     t_f = FIELD * n + SELF
     d, d_f = np.ones(n), 1.0
@@ -91,49 +92,60 @@ def scale(i: np.ndarray, j: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
         o_f = (FIELD * (1 / d).sum() + SELF / d_f) / t_f
         d, d_f = (np.bincount(j, w / o[i], n) + FIELD / o_f + SELF / o) / t, (FIELD * (1 / o).sum() + SELF / o_f) / t_f
         now = np.log(o / d)
-        if np.abs(now - last).max() < TOLERANCE:
+        moved = np.abs(now - last).max()
+        if moved < TOLERANCE:
             break
         last = now
-    return now - now.mean()
+    return now - now.mean(), bool(moved < TOLERANCE)
 
 
 def _in_memory(pairs: DataFrame) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         names, codes = np.unique(np.concatenate([pdf["a"].to_numpy(str), pdf["b"].to_numpy(str)]), return_inverse=True)
         a, b = codes[: len(pdf)], codes[len(pdf) :]
-        s = scale(np.r_[a, b], np.r_[b, a], np.r_[pdf["wa"].to_numpy(float), pdf["wb"].to_numpy(float)], len(names))
-        return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "run_id": names, "strength": np.exp(s)})
+        s, converged = scale(np.r_[a, b], np.r_[b, a], np.r_[pdf["wa"].to_numpy(float), pdf["wb"].to_numpy(float)], len(names))
+        return pd.DataFrame({"set_id": pdf["set_id"].iloc[0], "run_id": names, "strength": np.exp(s), "converged": converged})
 
-    return pairs.groupBy("set_id").applyInPandas(one, "set_id string, run_id string, strength double")
+    return pairs.groupBy("set_id").applyInPandas(one, "set_id string, run_id string, strength double, converged boolean")
 
 
-def _by_joins(edges: DataFrame, iterations: int = ITERATIONS, tolerance: float = 1e-6) -> DataFrame:
-    """The same scaling for sets of any size: two joins and aggregations a round, each round checkpointed."""
-    e = durable(edges)
+def _by_joins(edges: DataFrame, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same scaling for sets of any size: two joins and aggregations a round.
+
+    A popular contestant's or set's rows are never sent to one task (see joined). Each round is written as a table and
+    the one before is removed.
+    """
+    e = durable_table(edges)
     ends = e.select("set_id", F.explode(F.array(F.col("i"), F.col("j"))).alias("run_id"), "w")
     nodes = ends.groupBy("set_id", "run_id").agg((F.sum("w") / 2 + FIELD + SELF).alias("t"))
-    nodes = durable(nodes.select("*", F.lit(1.0).alias("o"), F.lit(1.0).alias("d"), F.lit(1.0).alias("o_f"), F.lit(1.0).alias("d_f"), F.lit(0.0).alias("s")))
+    nodes = durable_table(nodes.select("*", F.lit(1.0).alias("o"), F.lit(1.0).alias("d"), F.lit(1.0).alias("o_f"), F.lit(1.0).alias("d_f"), F.lit(0.0).alias("s")))
+    size = nodes.agg(F.count("*").alias("n"), F.countDistinct("set_id").alias("sets")).first()
 
     def half(state: DataFrame, frm: str, to: str, using: str) -> DataFrame:
         """One side anew: ``using`` is the other side's factor."""
-        sums = e.join(state.select("set_id", F.col("run_id").alias(frm), F.col(using).alias("u")), ["set_id", frm]).groupBy("set_id", F.col(to).alias("run_id")).agg(F.sum(F.col("w") / F.col("u")).alias("x"))
+        factor = state.select("set_id", F.col("run_id").alias(frm), F.col(using).alias("u"))
+        sums = joined(e, factor, ["set_id", frm], size["n"], to).groupBy("set_id", F.col(to).alias("run_id")).agg(F.sum(F.col("w") / F.col("u")).alias("x"))
         field = state.groupBy("set_id").agg(((F.sum(FIELD / F.col(using)) + SELF / F.first(f"{using}_f")) / (F.count("*") * FIELD + SELF)).alias("x_f"))
         new = (F.coalesce("x", F.lit(0.0)) + FIELD / F.col(f"{using}_f") + SELF / F.col(using)) / F.col("t")
         own = "o" if using == "d" else "d"
-        return state.join(sums, ["set_id", "run_id"], "left").join(field, "set_id").select("set_id", "run_id", "t", new.alias(own), using, F.col("x_f").alias(f"{own}_f"), f"{using}_f", "s")
+        met = joined(state.join(sums, ["set_id", "run_id"], "left"), field, ["set_id"], size["sets"], "run_id")
+        return met.select("set_id", "run_id", "t", new.alias(own), using, F.col("x_f").alias(f"{own}_f"), f"{using}_f", "s")
 
+    moved = 0.0
     for _ in range(iterations):
         state = half(half(nodes, "j", "i", "d"), "i", "j", "o")
         after = F.log(F.col("o") / F.col("d"))
-        nodes = durable(state.select("set_id", "run_id", "t", "o", "d", "o_f", "d_f", after.alias("s"), F.abs(after - F.col("s")).alias("moved")))
-        if (nodes.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
+        before, nodes = nodes, durable_table(state.select("set_id", "run_id", "t", "o", "d", "o_f", "d_f", after.alias("s"), F.abs(after - F.col("s")).alias("moved")))
+        drop_table(before)
+        moved = nodes.agg(F.max("moved")).first()[0] or 0.0
+        if moved < tolerance:
             break
-    mean = nodes.groupBy("set_id").agg(F.avg("s").alias("mean"))
-    return nodes.join(mean, "set_id").select("set_id", "run_id", F.exp(F.col("s") - F.col("mean")).alias("strength"))
+    mean = nodes.groupBy("set_id").agg(F.avg("s").alias("mean"), (F.max("moved") < tolerance).alias("converged"))
+    return joined(nodes, mean, ["set_id"], size["sets"], "run_id").select("set_id", "run_id", F.exp(F.col("s") - F.col("mean")).alias("strength"), "converged")
 
 
 def strengths(verdicts: DataFrame, edges_in_memory: int = EDGES_IN_MEMORY) -> DataFrame:
-    """set_id, run_id, strength (geometric mean 1 in a set): odds of a over b are strength a : strength b.
+    """set_id, run_id, strength (geometric mean 1 in a set) and converged: odds of a over b are strength a : strength b.
 
     See pair_counts() for what counts. Contestants without any valid vote are absent, an empty
     table gives an empty result, repeated rows count once. Votes are folded to counts before they

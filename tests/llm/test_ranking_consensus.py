@@ -42,7 +42,14 @@ def test_strengths_order_contestants(spark):
 
 def test_joins_and_memory_agree(spark, monkeypatch):
     v, _ = simulate(spark, sets=2, n=4, games=60)
+    from tallyline.llm import base
+
     a = {(r["set_id"], r["run_id"]): r["strength"] for r in rk.strengths(v).collect()}
+    monkeypatch.setattr(base, "BROADCAST_ROWS", 3)
+    salted = rk._by_joins(rk.win_matrix(rk.weighted(rk.pair_counts(v))), iterations=2)
+    monkeypatch.undo()
+    plain = rk._by_joins(rk.win_matrix(rk.weighted(rk.pair_counts(v))), iterations=2)
+    assert sorted((*r[:2], round(r[2], 9), r[3]) for r in salted.collect()) == sorted((*r[:2], round(r[2], 9), r[3]) for r in plain.collect()) and not plain.first()["converged"]
     b = {(r["set_id"], r["run_id"]): r["strength"] for r in rk._by_joins(rk.win_matrix(rk.weighted(rk.pair_counts(v))), iterations=14, tolerance=1e-5).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=5e-3) for k in a)
 
@@ -51,7 +58,8 @@ def test_sinkhorn_recovers_exact_odds():
     p = np.array([1.0, 2.0, 4.0, 8.0])
     i, j = np.array([(a, b) for a in range(4) for b in range(4) if a != b]).T
     games = 1e6 * (1 + (i + j) % 3) * (1 + 50 * ((i + j) == 1))  # very uneven
-    s = rk.scale(i, j, games * p[i] / (p[i] + p[j]), 4)
+    s, converged = rk.scale(i, j, games * p[i] / (p[i] + p[j]), 4)
+    assert converged
     assert np.exp(s - s[0]) == pytest.approx(p, rel=1e-3)
 
 
