@@ -10,6 +10,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .rouge import common_places
+
 _PUNCT = re.compile(r"[^\w\s]|_")
 _BLANK = re.compile(r"\s+")
 _COMMA = re.compile(r",\s*([\]}])")
@@ -188,6 +190,32 @@ def lcs(a: list[str], b: list[str]) -> int:
     return row.bit_count()
 
 
+def word_diff(old: str | None, new: str | None) -> dict:
+    """What ``new`` keeps, inserts and deletes of the words of ``old``, by a longest common subsequence, and the marked text ([-deleted-], {+inserted+}) (SF-36)."""
+    a, b = (old or "").split(), (new or "").split()
+    kept = sorted(common_places(a, b))
+    marked, i, j = [], 0, 0
+    for at in [*kept, len(a)]:
+        marked += [f"[-{w}-]" for w in a[i:at]]
+        word = a[at] if at < len(a) else None
+        while j < len(b) and b[j] != word:
+            marked.append(f"{{+{b[j]}+}}")
+            j += 1
+        if word is not None:
+            marked.append(word)
+        i, j = at + 1, j + 1
+    return {"kept": len(kept), "inserted": len(b) - len(kept), "deleted": len(a) - len(kept), "marked": " ".join(marked)}
+
+
+def diffed(old, new):
+    """Column function of word_diff."""
+    return F.pandas_udf(_series_diff, "kept int, inserted int, deleted int, marked string")(old, new)
+
+
+def _series_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([word_diff(a, b) for a, b in zip(old, new, strict=True)], columns=["kept", "inserted", "deleted", "marked"])
+
+
 def rouge_l(summary: str | None, reference: str | None) -> float:
     """F1 of the longest common subsequence of words (SF-22)."""
     a, b = (re.findall(r"[a-z0-9]+", (t or "").lower()) for t in (summary, reference))

@@ -133,7 +133,7 @@ def clip(text: str, budget: int) -> str:
     return m[0].strip() if budget > 0 else ""
 
 
-def _common_places(a: list[str], b: list[str]) -> set[int]:
+def common_places(a: list[str], b: list[str]) -> set[int]:
     """Places in a of a longest common subsequence with b. Row i of the table is kept as the set of columns where it steps up."""
     where: dict[str, int] = {}
     for j, x in enumerate(b):
@@ -164,7 +164,7 @@ def summary_overlap(reference: str, output: str) -> tuple[float, float, float]:
     left = Counter(x for s in ref for x in s) & Counter(x for s in out for x in s)
     hits = 0
     for s in ref:
-        for at in sorted(set().union(*(_common_places(s, t) for t in out))):
+        for at in sorted(set().union(*(common_places(s, t) for t in out))):
             if left[s[at]] > 0:
                 left[s[at]] -= 1
                 hits += 1

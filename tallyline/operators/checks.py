@@ -58,3 +58,8 @@ def agrees(df: DataFrame, key: str, column: str, check: str) -> DataFrame:
     """Keys whose rows do not agree on a value (VC-14)."""
     x = df.groupBy(F.col(key).alias("_k")).agg(F.countDistinct(column).alias("n")).filter("n > 1")
     return _rows(x, check, F.col("_k"), F.col("n"))
+
+
+def stale_scorers(derived: DataFrame, current: DataFrame) -> DataFrame:
+    """Rows of ``derived`` (run_id, scorer, scorer_hash) whose hash is not that of the scorer in ``current`` (scorer, scorer_hash), or whose scorer is gone (VC-10)."""
+    return derived.join(current, ["scorer", "scorer_hash"], "left_anti")

@@ -108,6 +108,29 @@ def tests(pairs: DataFrame, keys: list[str], table: DataFrame, intervals: bool =
     return got.unionByName(long)
 
 
+def stored_tests(pairs: DataFrame, keys: list[str], folder: str, permutations: int = sf.PERMUTATIONS, seed: int = sf.SEED) -> DataFrame:
+    """keys, p, low, high and stored: tests() of every pair, kept in a table at ``folder`` under a hash of the deltas and settings (SK-6).
+
+    The hash is a sum over the pair's items, so no pair is gathered for it. What the table has is read, the rest is computed and appended.
+    """
+    spark = pairs.sparkSession
+    pairs = durable_table(pairs.select(*keys, "item_id", "a", "b", "delta"))
+    table = delta_table(pairs, keys)
+    item = F.xxhash64("item_id", "delta")
+    mark = pairs.groupBy(*keys).agg(F.sum(item.cast("decimal(38,0)")).cast("string").alias("h1"), F.sum(F.xxhash64("item_id", "delta", F.lit(1)).cast("decimal(38,0)")).cast("string").alias("h2"))
+    key = F.sha2(F.concat_ws("|", F.lit(f"sign-flip {permutations} {seed} {sf.EXACT} {sf.DRAWN}"), "h1", "h2"), 256)
+    wanted = durable_table(table.join(mark, keys).withColumn("key", key))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    schema = "key string, p double, low double, high double"
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    old = durable_table(spark.read.schema(schema).parquet(folder).dropDuplicates(["key"])) if there else spark.createDataFrame([], schema)
+    missing = wanted.join(old, "key", "left_anti")
+    new = durable_table(missing.select(*keys, "key").join(tests(pairs, keys, missing, permutations=permutations, seed=seed), keys).select("key", "p", "low", "high").dropDuplicates(["key"]))
+    new.write.mode("append").parquet(folder)
+    known = old.withColumn("stored", F.lit(True)).unionByName(new.withColumn("stored", F.lit(False)))
+    return wanted.select(*keys, "key").join(known, "key").select(*keys, "p", "low", "high", "stored")
+
+
 def verdict(n: Column, p: Column, significant: Column, delta: Column, higher_is_better: bool = True, neutral: bool = False) -> Column:
     up, down = ("higher", "lower") if neutral else ("better", "worse") if higher_is_better else ("worse", "better")
     return (F.when(p.isNull() & (n < 2), "untestable").when(p.isNull(), "identical").when(~significant, "not significant")

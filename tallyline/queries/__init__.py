@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from . import library, more, rollups, scoring, selections, statistics, streams  # noqa: E402, F401
+from . import files, library, more, rollups, scoring, selections, statistics, streams  # noqa: E402, F401

@@ -6,12 +6,12 @@ import functools
 import heapq
 from hashlib import sha256
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import parsers as ps
 from ..functions import text as tx
 from ..operators import agreement as agr
 from ..operators import checks as vc
@@ -292,13 +292,8 @@ def field_values(spark, d):
 
 @query("sf_36_diff")
 def diff(spark, d):
-    """Words kept of each output in its reference, by the longest common subsequence."""
-    from ..functions.parsers import lcs
-
-    def kept(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([lcs((x or "").split(), (y or "").split()) for x, y in zip(a, b, strict=True)], dtype="int32")
-
-    return _outputs(spark, d).select("call_id", F.pandas_udf(kept, "int")("output", "reference").alias("kept"))
+    """Words that each output keeps of its reference, inserts and deletes, and the marked text."""
+    return _outputs(spark, d).select("call_id", ps.diffed("reference", "output").alias("d")).select("call_id", "d.*")
 
 
 _MONTHS = "mo AS (SELECT date_trunc('month', created_at)::DATE AS month, count(*) AS n FROM f GROUP BY 1)"

@@ -10,6 +10,8 @@ from ..functions import rouge as rg
 from ..functions import text as tx
 from ..operators import agreement as agr
 from ..operators.aggregates import correlation
+from ..operators.retrieval import bm25 as search
+from ..operators.retrieval import nearest
 from ..plans.frames import table
 from . import query
 from .rollups import _LAB, grades
@@ -272,45 +274,9 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9)
 
 
 def _dense(spark, d):
-    """The ten nearest of every twentieth vector among all: queries travel to the corpus in blocks of known size, each task keeps its own best."""
-    import numpy as np
-    import pandas as pd
-
-    e = table(spark, d, "embeddings").filter("embedding IS NOT NULL")
-    queries = e.filter("vec_id % 20 = 0").orderBy("vec_id")
-    block: list = []
-    out = None
-
-    def search(ids: list, mat: np.ndarray):
-        unit = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-30)
-
-        def run(pdfs):
-            for pdf in pdfs:
-                if len(pdf):
-                    c = np.stack(pdf["embedding"].to_numpy()).astype(float)
-                    s = (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)) @ unit.T
-                    doc = pdf["vec_id"].to_numpy()
-                    for k, q in enumerate(ids):
-                        v = np.where(doc == q, -9.0, s[:, k].round(9))
-                        best = np.lexsort((doc, -v))[:10]
-                        yield pd.DataFrame({"query_id": q, "doc_id": doc[best], "s": v[best]})
-
-        return e.select("vec_id", "embedding").mapInPandas(run, "query_id long, doc_id long, s double").filter("s > -2")
-
-    def flush():
-        nonlocal out, block
-        part = search([i for i, _ in block], np.array([v for _, v in block], dtype=float))
-        out = part if out is None else out.unionByName(part)
-        block = []
-
-    for r in queries.select("vec_id", "embedding").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == 2000:
-            flush()
-    if block:
-        flush()
-    w = Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_id")
-    return out.withColumn("place", F.row_number().over(w)).filter("place <= 10")
+    """The ten nearest of every twentieth vector among all."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return nearest(e, e.filter("vec_id % 20 = 0"), 10)
 
 
 @query("sf_17_dense", f"WITH {_DENSE} SELECT query_id, doc_id, place::INT AS place FROM top")
@@ -341,7 +307,5 @@ s AS (SELECT query_id, doc_id, sum(k * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 *
 
 @query("sf_16_bm25", f"WITH {_BM} SELECT query_id, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 5")
 def bm25(spark, d):
-    from ..operators.retrieval import bm25 as search
-
     docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "test_items").select(F.col("item_id").alias("query_id"), "text")
     return search(docs, items, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"))

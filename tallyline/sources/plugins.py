@@ -34,7 +34,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         p = Path(self.path)
-        return [InputPartition(str(f)) for f in (sorted(p.glob("*.jsonl")) if p.is_dir() else [p])]
+        return [InputPartition(str(f)) for f in (sorted(x for x in p.glob("*.json*") if x.name[0] not in "._") if p.is_dir() else [p])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with open(partition.value, encoding="utf-8") as f:
@@ -102,6 +102,70 @@ def _default(output: Column, reference: Column) -> dict[str, Column]:
     return {"overlap_f1": overlap_f1(output, reference), "output_words": output_words(output)}
 
 
+def declared(spark) -> DataFrame:
+    """scorer, primary_metric, metric, kind and direction of every registered scorer (UD-3); a metric without a word on it is of quality, and a descriptive one has no direction."""
+    empty = spark.range(1).select(F.lit("").alias("o"), F.lit("").alias("r"))
+    rows = []
+    for s in SCORERS.values():
+        for m in s.columns(empty["o"], empty["r"]):
+            kind = s.kinds.get(m, "quality")
+            rows.append((s.name, s.primary, m, kind, s.directions.get(m, "higher") if kind == "quality" else "none"))
+    return spark.createDataFrame(rows, "scorer string, primary_metric string, metric string, kind string, direction string")
+
+
+@dataclass
+class Task:
+    """How stored replies are read: a column of labels, and a version that changes when the reading does (UD-4, UD-5).
+
+    ``title`` names an item by a column of it.
+    """
+
+    name: str
+    parse_label: Callable[[Column], Column]
+    version: int = 1
+    title: Callable[[Column], Column] | None = None
+
+    @property
+    def scorer_id(self) -> str:
+        return f"{self.name}-{self.version}"
+
+    def decision(self, output: Column) -> Column:
+        """What a view shows for a reply: its label, else the reply itself."""
+        return F.coalesce(self.parse_label(output), output)
+
+    def same(self, a: Column, b: Column) -> Column:
+        """Whether two replies are one decision, blanks at their ends aside; nothing is like nothing."""
+        bare = lambda x: F.trim(F.coalesce(self.decision(x), F.lit("")))
+        return bare(a) == bare(b)
+
+
+UNPARSED = "<unparsed>"
+TASKS: dict[str, Task] = {}
+
+
+def add_task(task: Task) -> Task:
+    TASKS[task.name] = task
+    return task
+
+
+def reparse(df: DataFrame, task: str, output: str = "output") -> DataFrame:
+    """``df`` with label (or <unparsed>) and scorer, whatever an earlier parser had stored (UD-4)."""
+    t = TASKS[task]
+    return df.withColumn("label", F.coalesce(t.parse_label(F.col(output)), F.lit(UNPARSED))).withColumn("scorer", F.lit(t.scorer_id))
+
+
+def decided(df: DataFrame, task: str, output: str = "output") -> DataFrame:
+    """``df`` with decision: rows of one decision are the same in the sense of Task.same (UD-5)."""
+    return df.withColumn("decision", F.trim(F.coalesce(TASKS[task].decision(F.col(output)), F.lit(""))))
+
+
+def _pairwise(output: Column) -> Column:
+    from ..functions.parsers import pairwise
+
+    return pairwise(output)
+
+
+add_task(Task("pairwise", _pairwise))
 register(Scorer("overlap", _default, "overlap_f1", {"output_words": "descriptive"}, {"overlap_f1": "higher"}))
 
 

@@ -23,6 +23,20 @@ def write_sheet(df: DataFrame, path: str, fill: tuple[str, ...] = ()) -> None:
     df.select("*", *(F.lit("").alias(c) for c in fill)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_texts(df: DataFrame, key: str, text: str, folder: str, most: int = 10_000) -> None:
+    """A text file for each row, named by its key, for sets that are small by nature; more than ``most`` rows are refused, as a table is the place for them (SC-8)."""
+    spark = df.sparkSession
+    rows = df.select(key, text).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} texts: write a table")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, t in rows:
+        out = fs.create(path(f"{folder}/{k}.txt"), True)
+        out.write(bytearray((t or "").encode()))
+        out.close()
+
+
 def write_report(finalists: DataFrame, promoted: DataFrame, path: str) -> None:
     """Finalists and the promotion summary as JSON lines beside each other (SK-4)."""
     finalists.write.mode("overwrite").json(f"{path}/finalists")

@@ -282,7 +282,7 @@ def test_summary_facets(spark):
     rng = random.Random(2)
     for _ in range(200):
         a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 14))] for _ in range(2))
-        at = sorted(rg._common_places(a, b))
+        at = sorted(rg.common_places(a, b))
         assert len(at) == _common_length(a, b) == _common_length([a[i] for i in at], b)
     assert rg.summary_overlap("w1 w2 w3 w4 w5.", "w1 w2 w6 w7 w8. w1 w3 w8 w9 w5.") == pytest.approx((0.4, 0.8, 8 / 15))  # the published example of the union
     f = rg.facets("The dogs ran home. It rained and it rained.", "A dog runs home.", "The dogs ran home after it rained.")
@@ -292,3 +292,53 @@ def test_summary_facets(spark):
     df = spark.createDataFrame(rows, "k string, o string, r string, s string")
     got = {r["k"]: r["f"] for r in df.select("k", rg.summary_facets("o", "r", "s").alias("f")).collect()}
     assert got["x"]["rougeLsum"] == 1.0 and got["none"]["summary_words"] is None and got["bare"]["summary_words"] == 2 and got["bare"]["rouge1"] is None and got["empty"]["rougeLsum"] == 0.0
+
+
+def test_word_diff():
+    assert ps.word_diff("a b c d", "a x c d e") == {"kept": 3, "inserted": 2, "deleted": 1, "marked": "a [-b-] {+x+} c d {+e+}"}
+    assert ps.word_diff(None, "a") == {"kept": 0, "inserted": 1, "deleted": 0, "marked": "{+a+}"} and ps.word_diff("a", "")["marked"] == "[-a-]"
+    import random
+
+    rng = random.Random(5)
+    for _ in range(100):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
+        m = ps.word_diff(" ".join(a), " ".join(b))["marked"].split()
+        assert [w.strip("[-]") for w in m if "{+" not in w] == a and [w.strip("{+}") for w in m if "[-" not in w] == b
+
+
+def test_nearest_and_bm25_by_brute_force(spark, monkeypatch):
+    import math
+    import random
+
+    import numpy as np
+
+    from tallyline.operators import retrieval as rt
+
+    rng = random.Random(7)
+    v = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(4)]) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<float>").repartition(3)
+    monkeypatch.setattr(rt, "BLOCK_CELLS", 30)
+    monkeypatch.setattr(rt, "BATCH", 7)
+    got = {}
+    for r in rt.nearest(df, df.filter("vec_id % 5 = 0"), 4).collect():
+        got.setdefault(r["query_id"], {})[r["place"]] = r["doc_id"]
+    unit = {i: np.array(x) / max(np.linalg.norm(x), 1e-30) for i, x in v if x}
+    for q in range(0, 60, 5):
+        want = sorted((i for i in unit if i != q), key=lambda i: (-round(float(unit[q] @ unit[i]), 9) + 0.0, i))[:4]
+        assert [got[q][p] for p in (1, 2, 3, 4)] == want
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for i in range(40)] + [(40, None)]
+    queries = [(f"q{i}", " ".join(rng.choice([*words, "unknown"]) for _ in range(3))) for i in range(9)] + [("none", None)]
+    bag = {i: (t or "").split() for i, t in docs}
+    n, avg = len(docs), sum(map(len, bag.values())) / len(docs)
+    idf = {w: math.log(n - k + 0.5) - math.log(k + 0.5) for w in words if (k := sum(w in b for b in bag.values()))}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    idf = {w: x if x >= 0 else floor for w, x in idf.items()}
+    got = {}
+    for r in rt.bm25(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(queries, "query_id string, text string"), 3).collect():
+        got.setdefault(r["query_id"], {})[r["place"]] = (r["doc_id"], r["score"])
+    for q, t in queries:
+        s = {i: round(sum(idf[w] * b.count(w) * 2.5 / (b.count(w) + 1.5 * (0.25 + 0.75 * len(b) / avg)) for w in (t or "").split() if w in b), 6) for i, b in bag.items() if set(b) & set((t or "").split())}
+        want = sorted(s.items(), key=lambda x: (-x[1], x[0]))[:3]
+        assert [got.get(q, {}).get(p) for p in range(1, len(want) + 1)] == [(i, pytest.approx(x, abs=2e-6)) for i, x in want]
+    assert rt.bm25(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(queries, "query_id string, text string"), 3).count() == 0
