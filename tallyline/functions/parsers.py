@@ -28,8 +28,12 @@ def normalize(text: str | None) -> str | None:
 
 
 def normalized(column):
-    """Column function; see the plain one above."""
-    return F.pandas_udf(_series_normalized, "string")(column)
+    """Column function; see the plain one above. ASCII texts stay in the JVM, only others go to Python."""
+    x = F.col(column) if isinstance(column, str) else column
+    ascii_ = F.length(x) == F.octet_length(x)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    plain = F.regexp_replace(bare, r"^(?:the|a|an) (?=\S)", "")
+    return F.when(ascii_, plain).otherwise(F.pandas_udf(_series_normalized, "string")(F.when(~ascii_, x)))
 
 
 def _series_normalized(text: pd.Series) -> pd.Series:

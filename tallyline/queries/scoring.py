@@ -170,7 +170,7 @@ def labels(spark, d):
     return r.select("call_id", tx.parse_label(F.col("output"), _ALIASES).alias("label"))
 
 
-@query("sf_6_normalised")
+@query("sf_6_normalised", "SELECT doc_id, regexp_replace(trim(regexp_replace(regexp_replace(replace(lower(strip_accents(title)), 'ß', 'ss'), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '^(?:the|a|an) (\\S)', '\\1') AS title FROM documents")
 def normalised(spark, d):
     return table(spark, d, "documents").select("doc_id", ps.normalized("title").alias("title"))
 

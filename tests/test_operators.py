@@ -342,3 +342,9 @@ def test_nearest_and_bm25_by_brute_force(spark, monkeypatch):
         want = sorted(s.items(), key=lambda x: (-x[1], x[0]))[:3]
         assert [got.get(q, {}).get(p) for p in range(1, len(want) + 1)] == [(i, pytest.approx(x, abs=2e-6)) for i, x in want]
     assert rt.bm25(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(queries, "query_id string, text string"), 3).count() == 0
+
+
+def test_normalised_in_either_place(spark):
+    texts = ["The  Café, Ltd.", "a_b\tC", "An  Apple!", "the", "", None, "ﬁne Straße", "\x1cA. B"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(ps.normalized("t")).collect()]
+    assert got == [ps.normalize(t) for t in texts]
