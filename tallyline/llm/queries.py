@@ -119,6 +119,21 @@ def p2_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantiles.read_percentiles(whole, ["config_id"], PS)
 
 
+@query("p2_within_bounds", _P2_ONCE + "SELECT dataset_id, measure, count(*) AS n, " + ", ".join(f"true AS {x}" for x in PS) + " FROM good GROUP BY 1, 2")
+def p2_within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every percentile of every dataset lies, by exact ranks, within the error that its sketch states: true at any size of a group."""
+    once = _predictions_once(spark, sf_dir)
+    got = quantiles.percentiles(once, ["dataset_id"], MEASURES, PS)
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in MEASURES))).alias("e")
+    long = once.select("dataset_id", pairs).select("dataset_id", "e.measure", "e.x").filter("x >= 0 AND NOT isnan(x) AND x < double('infinity')")
+    met = long.join(got.withColumnRenamed("n", "of"), ["dataset_id", "measure"])
+    counts = [c for x in PS for c in (F.count_if(F.col("x") < F.col(x)).alias(f"{x}_below"), F.count_if(F.col("x") <= F.col(x)).alias(f"{x}_upto"))]
+    r = met.groupBy("dataset_id", "measure").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.max("max_rank_error").alias("error"), *counts)
+    rank = {x: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))) for x, p in PS.items()}
+    ok = [((F.col("n") == F.col("of")) & (F.col(f"{x}_below") < rank[x] + F.col("error")) & (F.col(f"{x}_upto") >= rank[x] - F.col("error"))).alias(x) for x in PS]
+    return r.select("dataset_id", "measure", "n", *ok)
+
+
 _P2_RESULTS = """
 WITH once AS (SELECT call_id, source, max(latency_ms) AS latency_ms, max(tokens_out) AS tokens_out FROM results GROUP BY call_id, source),
 long AS (SELECT source, 'latency_ms' AS measure, latency_ms AS x FROM once UNION ALL SELECT source, 'tokens_out', tokens_out::DOUBLE FROM once),
