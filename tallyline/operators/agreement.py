@@ -103,6 +103,34 @@ def bt_strengths(i: np.ndarray, j: np.ndarray, wins: np.ndarray, losses: np.ndar
     return p
 
 
+def _refitted(i: np.ndarray, j: np.ndarray, wins: np.ndarray, losses: np.ndarray, n: int, start: np.ndarray, prior: float = 0.5, tolerance: float = 1e-7, rounds: int = 50) -> np.ndarray:
+    """The strengths of bt_strengths for many samples near ``start``, by Newton steps on their logarithms: the likelihood with its virtual draws is concave."""
+    samples = len(wins)
+    games = np.full((samples, n, n), prior)
+    games[:, i, j] += wins + losses
+    games[:, j, i] += wins + losses
+    games[:, np.arange(n), np.arange(n)] = 0
+    won = np.full((samples, n), (n - 1) * prior / 2)
+    np.add.at(won, (slice(None), i), wins)
+    np.add.at(won, (slice(None), j), losses)
+    t = np.broadcast_to(np.log(start), (samples, n)).copy()
+    for _ in range(rounds):
+        share = 1 / (1 + np.exp(t[:, None, :] - t[:, :, None]))  # how likely the row beats the column
+        slope = won - (games * share).sum(2)
+        w = games * share * (1 - share)
+        bend = -w
+        bend[:, np.arange(n), np.arange(n)] = w.sum(2)
+        step = np.linalg.solve(bend + 1 / n, slope[..., None])[..., 0]  # the mean is free, the constant holds it
+        t += np.clip(step, -1, 1)
+        if np.abs(step).max() < tolerance:
+            break
+    return np.exp(t - t.mean(1, keepdims=True))
+
+
+#: Arms up to which resamples are refitted with full matrices; more are refitted by minorisation, pair by pair.
+MATRIX_ARMS = 300
+
+
 def bradley_terry(comparisons: DataFrame, by: str, resamples: int = 1000, seed: int = 7) -> DataFrame:
     """Strength with a 95 % interval over resampled items for each arm of a set (ST-31).
 
@@ -127,7 +155,8 @@ def bradley_terry(comparisons: DataFrame, by: str, resamples: int = 1000, seed:
         part, parts = int(pdf["_part"].iloc[0]), int(pdf["_parts"].iloc[0])
         rng, items = np.random.default_rng([seed, part]), int(item.max()) + 1
         count = resamples // parts + (part < resamples % parts)
-        step = max(1, RESAMPLED_CELLS // max(items, len(pair), n * n // 8))
+        dense = n <= MATRIX_ARMS
+        step = max(1, RESAMPLED_CELLS // max(items, len(pair), n * n if dense else n))
         reps = []
         for begin in range(0, count, step):
             size = min(step, count - begin)
@@ -136,7 +165,7 @@ def bradley_terry(comparisons: DataFrame, by: str, resamples: int = 1000, seed:
             for r in range(size):
                 t = times[r][item]
                 wins[r], losses[r] = np.bincount(cell, up * t, len(pair)), np.bincount(cell, down * t, len(pair))
-            reps.append(bt_strengths(i, j, wins, losses, n, start=full, tolerance=1e-6))
+            reps.append(_refitted(i, j, wins, losses, n, full) if dense else bt_strengths(i, j, wins, losses, n, start=full, tolerance=1e-7))
         return pd.DataFrame({by: pdf[by].iloc[0], "arm": names, "strength": full, "reps": list(np.concatenate(reps).T)})
 
     got = dealt.groupBy(by, "_part").applyInPandas(one, f"{by} string, arm string, strength double, reps array<double>")

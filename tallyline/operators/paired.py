@@ -60,36 +60,47 @@ def _limit(total: str, squares: str) -> Column:
 TASK_DRAWS = 200_000_000
 
 
+def _exact(pairs: DataFrame, keys: list[str], plan: DataFrame, intervals: bool) -> DataFrame:
+    """keys, p, low and high of pairs of at most EXACT items, whose deltas are an array of a row."""
+
+    @F.pandas_udf("p double, low double, high double")
+    def test(deltas: pd.Series) -> pd.DataFrame:
+        rows = [(sf.exact_p(d), *((sf.interval(d) if intervals else None) or (None, None))) for d in (np.asarray(x, dtype=float) for x in deltas)]
+        return pd.DataFrame(rows, columns=["p", "low", "high"], dtype="float64")
+
+    got = pairs.select(*keys, "delta").join(plan.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list("delta")).alias("deltas"))
+    return got.withColumn("x", test("deltas")).select(*keys, "x.*")
+
+
 def _sampled(pairs: DataFrame, keys: list[str], plan: DataFrame, permutations: int, seed: int, intervals: bool) -> DataFrame:
-    """keys, p, low and high of the pairs in ``plan``: keys, n (at most DRAWN) and skip, the passes over items that their stream has made before.
+    """keys, p, low and high of the pairs in ``plan``: keys, n (at most DRAWN) and state, that of their stream before them (null at its start).
 
-    A task holds the deltas of one pair and draws at most TASK_DRAWS signs; hits of a pair's parts are summed.
+    A task holds the deltas of one pair and draws at most TASK_DRAWS signs; hits of a pair's parts are summed. Short pairs
+    are enumerated many to a batch.
     """
     types = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
     each = F.greatest(F.lit(1), F.floor(F.lit(TASK_DRAWS) / F.col("n"))).cast("int")
-    number = F.when(F.col("n") > sf.EXACT, F.ceil(F.lit(permutations) / each)).otherwise(1).cast("int")
-    parts = plan.select(*keys, F.col("skip").alias("_skip"), each.alias("_each"), F.explode(F.sequence(F.lit(0), number - 1)).alias("_part"))
+    number = F.ceil(F.lit(permutations) / each).cast("int")
+    parts = plan.filter(F.col("n") > sf.EXACT).select(*keys, F.col("state").alias("_state"), each.alias("_each"), F.explode(F.sequence(F.lit(0), number - 1)).alias("_part"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, each, skip = (int(pdf[c].iloc[0]) for c in ("_part", "_each", "_skip"))
+        part, each, state = int(pdf["_part"].iloc[0]), int(pdf["_each"].iloc[0]), pdf["_state"].iloc[0]
         d = pdf.sort_values("item_id")["delta"].to_numpy(float)
         p = hit = None
-        if len(d) <= sf.EXACT:
-            p = sf.exact_p(d)
+        first = part * each
+        passes = min(each, permutations - first)
+        if state is None and passes == permutations:
+            p = sf.drawn_p(d, permutations, seed)
         else:
-            first = part * each
-            passes = min(each, permutations - first)
-            if not skip and passes == permutations:
-                p = sf.drawn_p(d, permutations, seed)
-            else:
-                hit = sf.drawn_hits(d, passes, sf.Signs(seed, skip + first * len(d)))
+            hit = sf.drawn_hits(d, passes, sf.Signs(seed, first * len(d), state))
         ci = sf.interval(d) if intervals and not part else None
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), p, hit, *(ci or (None, None))]], columns=[*keys, "p", "hit", "low", "high"])
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", p double, hit double, low double, high double"
     got = pairs.select(*keys, "item_id", "delta").join(parts, keys).groupBy(*keys, "_part").applyInPandas(one, schema)
     p = F.coalesce(F.max("p"), (F.sum("hit") + 1) / (permutations + 1))
-    return got.groupBy(*keys).agg(p.alias("p"), F.max("low").alias("low"), F.max("high").alias("high"))
+    got = got.groupBy(*keys).agg(p.alias("p"), F.max("low").alias("low"), F.max("high").alias("high"))
+    return got.unionByName(_exact(pairs, keys, plan.filter(F.col("n") <= sf.EXACT), intervals))
 
 
 def tests(pairs: DataFrame, keys: list[str], table: DataFrame, intervals: bool = True, permutations: int = sf.PERMUTATIONS, seed: int = sf.SEED) -> DataFrame:
@@ -97,7 +108,7 @@ def tests(pairs: DataFrame, keys: list[str], table: DataFrame, intervals: bool =
 
     Every test has a stream of its own from the seed. Pairs above DRAWN items are never gathered: the limit comes from the sums.
     """
-    plan = table.filter(F.col("n") <= sf.DRAWN).select(*keys, "n", F.lit(0).cast("long").alias("skip"))
+    plan = table.filter(F.col("n") <= sf.DRAWN).select(*keys, "n", F.lit(None).cast("binary").alias("state"))
     got = _sampled(pairs, keys, plan, permutations, seed, intervals)
     moved = table.filter((F.col("n") >= 2) & (F.col("_squares") > 0)).select(*keys, F.lit(True).alias("_moved"))
     got = got.join(moved, keys, "left").select(*keys, F.when(F.col("_moved"), F.col("p")).alias("p"), "low", "high")
@@ -163,15 +174,24 @@ def compare(series: DataFrame, baseline: str, higher_is_better: bool = True, neu
 def family_test(series: DataFrame, arm: str, permutations: int = sf.PERMUTATIONS, seed: int = sf.SEED, least_items: int = 3) -> DataFrame:
     """One arm against a family of opponents whose draws come from one stream, in the opponents' order (ST-11).
 
-    Each opponent is a task of its own, or several, that skip what the stream has drawn for those before. Opponents
-    of more than DRAWN items take the limit from their sums; Holm's family has both.
+    One task a dataset runs through its stream and notes the state at which each opponent begins; each opponent is then a task of
+    its own, or several. Opponents of more than DRAWN items take the limit from their sums; Holm's family has both.
     """
     keys = ["dataset_id", "config_id"]
     pairs = durable_table(paired(series, arm).select(*keys, "item_id", "a", "b", "delta"))
     n = durable_table(delta_table(pairs, keys).filter(F.col("n") >= least_items))
-    drawn = F.when((F.col("n") > sf.EXACT) & (F.col("n") <= sf.DRAWN), F.col("n") * permutations).otherwise(0)
-    before = Window.partitionBy("dataset_id").orderBy("config_id").rowsBetween(Window.unboundedPreceding, -1)
-    plan = n.select(*keys, "n", F.coalesce(F.sum(drawn).over(before), F.lit(0)).cast("long").alias("skip")).filter(F.col("n") <= sf.DRAWN)
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, stream = pdf.sort_values("config_id"), sf.Signs(seed)
+        out, ahead = [], 0
+        for items in pdf["n"].tolist():
+            if items > sf.EXACT:
+                stream.skip(ahead)
+                ahead = items * permutations
+            out.append(stream.state())
+        return pdf.assign(state=out)
+
+    plan = n.filter(F.col("n") <= sf.DRAWN).select(*keys, "n").groupBy("dataset_id").applyInPandas(states, "dataset_id string, config_id string, n long, state binary")
     got = n.join(_sampled(pairs, keys, plan, permutations, seed, False), keys).select(*keys, "n", (-F.col("mean_delta")).alias("delta"), "p")
     long = n.filter(F.col("n") > sf.DRAWN).select(*keys, "n", (-F.col("mean_delta")).alias("delta"), _limit("_total", "_squares").alias("p"))
     return holm(got.unionByName(long), "p", ["dataset_id"], ["config_id"])

@@ -337,3 +337,15 @@ def test_bradley_terry_resamples(spark):
     np.fill_diagonal(games, 0)
     assert (games * s[:, None] / (s[:, None] + s[None, :])).sum(1) == pytest.approx(w.sum(1) + 0.5, abs=1e-3)  # wins are what the strengths expect
     assert agr.bradley_terry(df.limit(0), "set_id").count() == 0
+
+
+def test_refits_are_the_same_by_either_way(spark, monkeypatch):
+    from tallyline.operators import agreement as agr
+
+    rng = np.random.default_rng(3)
+    i, j = np.triu_indices(6, 1)
+    keep = rng.random(len(i)) < 0.7
+    i, j = i[keep], j[keep]
+    wins, losses = rng.integers(0, 9, (5, len(i))).astype(float), rng.integers(0, 9, (5, len(i))).astype(float)
+    full = agr.bt_strengths(i, j, wins.sum(0), losses.sum(0), 6)[0]
+    assert agr._refitted(i, j, wins, losses, 6, full) == pytest.approx(agr.bt_strengths(i, j, wins, losses, 6, start=full), rel=1e-4)
