@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import durable_table
+
 
 def kendall_tau_b(xs: Column, ys: Column) -> Column:
     """Tau-b of two arrays of equal length, 0 if either is constant (ST-25, JN-12). For short arrays: it forms all pairs of one row."""
@@ -166,16 +168,21 @@ def bradley_terry(comparisons: DataFrame, by: str, resamples: int = 1000, seed:
                 t = times[r][item]
                 wins[r], losses[r] = np.bincount(cell, up * t, len(pair)), np.bincount(cell, down * t, len(pair))
             reps.append(_refitted(i, j, wins, losses, n, full) if dense else bt_strengths(i, j, wins, losses, n, start=full, tolerance=1e-7))
-        return pd.DataFrame({by: pdf[by].iloc[0], "arm": names, "strength": full, "reps": list(np.concatenate(reps).T)})
+        all_ = np.concatenate(reps)
+        low, high = np.quantile(all_, [0.025, 0.975], axis=0)
+        # The resamples of a set that is one task need not travel.
+        return pd.DataFrame({by: pdf[by].iloc[0], "arm": names, "strength": full, "low": low, "high": high, "reps": list(all_.T) if parts > 1 else None})
 
-    got = dealt.groupBy(by, "_part").applyInPandas(one, f"{by} string, arm string, strength double, reps array<double>")
+    got = dealt.groupBy(by, "_part").applyInPandas(one, f"{by} string, arm string, strength double, low double, high double, reps array<double>")
 
     @F.pandas_udf("low double, high double")
     def ends(reps: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([np.quantile(np.concatenate(list(r)), [0.025, 0.975]) for r in reps], columns=["low", "high"])
 
-    arms = got.groupBy(by, "arm").agg(F.max("strength").alias("strength"), F.collect_list("reps").alias("reps")).withColumn("e", ends("reps"))
-    return arms.select(by, "arm", F.round("strength", 6).alias("strength"), F.round("e.low", 6).alias("low"), F.round("e.high", 6).alias("high"))
+    got = durable_table(got)
+    several = got.filter("reps IS NOT NULL").groupBy(by, "arm").agg(F.max("strength").alias("strength"), F.collect_list("reps").alias("reps")).withColumn("e", ends("reps"))
+    arms = got.filter("reps IS NULL").select(by, "arm", "strength", "low", "high").unionByName(several.select(by, "arm", "strength", "e.low", "e.high"))
+    return arms.select(by, "arm", *(F.round(c, 6).alias(c) for c in ("strength", "low", "high")))
 
 
 def credit(picked: Column, reference: Column) -> Column:

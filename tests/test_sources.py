@@ -81,3 +81,27 @@ def test_corpus_metrics_and_report(spark, tmp_path):
     assert got["x"] == (0.75, pytest.approx((2 / 3 + 0.8) / 2)) and got["y"] == (0.0, 0.0)
     sinks.write_report(df, df.limit(1), str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r/finalists")).count() == 6
+
+
+def test_tasks_and_catalog(spark):
+    from tallyline.plans.catalog import Catalog
+
+    df = spark.createDataFrame([("i", '{"better": 1}'), ("i", 'So: {"better": 1, "reason": "x"}'), ("i", " odd "), ("i", None)], "item_id string, output string")
+    assert sorted(r["label"] for r in plugins.reparse(df, "pairwise").collect()) == ["1", "1", plugins.UNPARSED, plugins.UNPARSED]
+    assert sorted(r["decision"] for r in plugins.decided(df, "pairwise").collect()) == ["", "1", "1", "odd"]
+    t = plugins.TASKS["pairwise"]
+    x = spark.createDataFrame([('{"better": 2}', '{"better":2}'), ("a ", "a"), (None, None), ("a", "b")], "a string, b string")
+    assert [r[0] for r in x.select(t.same(F.col("a"), F.col("b"))).collect()] == [True, True, True, False] and t.scorer_id == "pairwise-1"
+    f = spark.createDataFrame([("r1", "x", "d", "i", 0.5, 9.0), ("r2", "x", "d", "i", 0.7, None), ("r3", "y", "e", "i", None, 1.0)], "run_id string, config_id string, dataset_id string, item_id string, f1 double, ms double")
+    c = Catalog(f, ("f1", "ms"), shape=("ms",), lower=("ms",))
+    assert {r["arm"]: (r["n_datasets"], r["n_runs"], r["n_items"]) for r in c.describe().collect()} == {"x": (1, 2, 1), "y": (1, 1, 1)}
+    assert {(r["metric"], round(r["value"], 9)) for r in c.scores("x").collect()} == {("f1", 0.6), ("ms", 9.0)} and c.preferred_metrics() == ("f1",)
+    assert [r["arm"] for r in c.arms_of("y").collect()] == ["y"] and c.lower_is_better("ms") and c.is_neutral("ms") and not c.is_neutral("f1")
+
+
+def test_texts_are_refused_when_they_are_many(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x"), ("b", None)], "k string, t string")
+    sinks.write_texts(df, "k", "t", str(tmp_path / "t"))
+    assert {r["item_id"]: r["text"] for r in readers.texts(spark, str(tmp_path / "t")).collect()} in ({"a": "x", "b": ""}, {"a": "x"})
+    with pytest.raises(ValueError, match="more than 1"):
+        sinks.write_texts(df, "k", "t", str(tmp_path / "u"), most=1)

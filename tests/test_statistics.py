@@ -315,7 +315,7 @@ def test_ranks_of_ties_at_the_head():
     assert lb.ranks_of(np.array([[1.0, 1.0 + 0.8e-9, 1.0 + 1.6e-9, 3.0], [2.0, 1.0, 2.0, 2.0]])).tolist() == [[1.5, 1.5, 3.0, 4.0], [3.0, 1.0, 3.0, 3.0]]
 
 
-def test_bradley_terry_resamples(spark):
+def test_bradley_terry_resamples(spark, monkeypatch):
     from tallyline.operators import agreement as agr
 
     rng = random.Random(9)
@@ -336,6 +336,9 @@ def test_bradley_terry_resamples(spark):
     games = w + w.T + 0.5
     np.fill_diagonal(games, 0)
     assert (games * s[:, None] / (s[:, None] + s[None, :])).sum(1) == pytest.approx(w.sum(1) + 0.5, abs=1e-3)  # wins are what the strengths expect
+    monkeypatch.setattr(agr, "RESAMPLED_CELLS", 2000)  # dealt to several tasks
+    many = {r["arm"]: r for r in agr.bradley_terry(df, "set_id", resamples=300).collect()}
+    assert all(many[a]["strength"] == got[a]["strength"] and many[a]["low"] == pytest.approx(got[a]["low"], rel=0.15) and many[a]["high"] == pytest.approx(got[a]["high"], rel=0.15) for a in "abc")
     assert agr.bradley_terry(df.limit(0), "set_id").count() == 0
 
 
@@ -349,3 +352,26 @@ def test_refits_are_the_same_by_either_way(spark, monkeypatch):
     wins, losses = rng.integers(0, 9, (5, len(i))).astype(float), rng.integers(0, 9, (5, len(i))).astype(float)
     full = agr.bt_strengths(i, j, wins.sum(0), losses.sum(0), 6)[0]
     assert agr._refitted(i, j, wins, losses, 6, full) == pytest.approx(agr.bt_strengths(i, j, wins, losses, 6, start=full), rel=1e-4)
+
+
+def test_stored_tests_are_read_and_extended(spark, tmp_path):
+    from tallyline.operators.joins import paired
+
+    rng = random.Random(2)
+    rows = [("d", a, f"i{i:02}", round(rng.random(), 4)) for a in ("base", "x", "y") for i in range(35)]
+    s = spark.createDataFrame(rows, SERIES)
+    keys, folder = ["dataset_id", "config_id"], str(tmp_path / "p")
+    one = {r["config_id"]: (r["p"], r["stored"]) for r in pr.stored_tests(paired(s.filter("config_id <> 'y'"), "base"), keys, folder, permutations=200).collect()}
+    two = {r["config_id"]: (r["p"], r["stored"]) for r in pr.stored_tests(paired(s, "base"), keys, folder, permutations=200).collect()}
+    assert one["x"][1] is False and two["x"] == (one["x"][0], True) and two["y"][1] is False
+    other = pr.stored_tests(paired(s, "base"), keys, folder, permutations=100).collect()
+    assert not any(r["stored"] for r in other)
+    assert pr.stored_tests(paired(s.limit(0), "base"), keys, folder).count() == 0
+
+
+def test_leaderboard_of_names_with_marks(spark):
+    from tallyline.plans.reports import leaderboard
+
+    f = spark.createDataFrame([("a#b", "x", "r1", "i1", 0.5), ("a#b", "y", "r2", "i1", 0.7), ("a", "x", "r3", "i1", None)], "dataset_id string, config_id string, run_id string, item_id string, m double")
+    got = {(r["dataset_id"], r["config_id"]): (r["position"], r["avg_rank"]) for r in leaderboard(f, "m").collect()}
+    assert got == {("a#b", "y"): (1, 1.0), ("a#b", "x"): (2, 2.0), ("a", "x"): (1, None)}
