@@ -336,3 +336,10 @@ def test_packing_of_many_reaches_what_it_reached():
     s = np.r_[rng.integers(257, 500, 500), rng.integers(128, 256, 700), rng.integers(5, 60, 150)]
     n = pk.pack(s, 512).max() + 1
     assert pk.lower_bound(s, 512) <= n <= 690 and n <= len(pk.best_fit(np.sort(s)[::-1], 512))
+
+
+def test_a_limit_on_sentence_ends_shows_as_the_greatest_length(spark):
+    rng = random.Random(3)
+    rec = [(i, "s", 0, rng.randint(20, 300)) for i in range(200)] + [(1000 + i, "s", 0, 301) for i in range(12)] + [(2000 + i, "t", 0, rng.randint(20, 300)) for i in range(200)]
+    df = spark.createDataFrame(rec, "call_id long, source string, ending int, characters int")
+    assert [(r["source"], r["encoding"], r["length"]) for r in tr.limits(df).collect()] == [("s", "characters", 301)]
