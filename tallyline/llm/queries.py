@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import consensus, leakage, packing, pairs, quantiles, ranking, reading, topn, truncation
-from .base import read
+from .base import durable, joined, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,10 +123,10 @@ def p2_days_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every percentile of every dataset lies, by exact ranks, within the error that its sketch states: true at any size of a group."""
     once = _predictions_once(spark, sf_dir)
-    got = quantiles.percentiles(once, ["dataset_id"], MEASURES, PS)
+    got = durable(quantiles.percentiles(once, ["dataset_id"], MEASURES, PS))
     pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in MEASURES))).alias("e")
     long = once.select("dataset_id", pairs).select("dataset_id", "e.measure", "e.x").filter("x >= 0 AND NOT isnan(x) AND x < double('infinity')")
-    met = long.join(got.withColumnRenamed("n", "of"), ["dataset_id", "measure"])
+    met = joined(long, got.withColumnRenamed("n", "of"), ["dataset_id", "measure"], got.count(), "x")
     counts = [c for x in PS for c in (F.count_if(F.col("x") < F.col(x)).alias(f"{x}_below"), F.count_if(F.col("x") <= F.col(x)).alias(f"{x}_upto"))]
     r = met.groupBy("dataset_id", "measure").agg(F.count("*").alias("n"), F.max("of").alias("of"), F.max("max_rank_error").alias("error"), *counts)
     rank = {x: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))) for x, p in PS.items()}
