@@ -17,21 +17,29 @@ def midrank(by: list[str], order: Column, *ties: str) -> Column:
 def tolerant_ranks(df: DataFrame, by: list[str], arm: str, value: str, ascending: bool = False, tolerance: float = TOLERANCE) -> DataFrame:
     """Ranks within an item where a value ties with the head of its group if it is within ``tolerance`` of it (RK-2).
 
-    The values of an item (one for each arm) are folded in order; the group's head is its first value.
+    Runs of values whose neighbours are within the tolerance are found by a lag. Almost all are no wider than the tolerance and are
+    one group; only in wider ones each value looks its group up, from head to head.
     """
     sign = 1.0 if ascending else -1.0
-    packed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((F.col(value) * sign).alias("v"), F.col(arm).alias("arm")))).alias("xs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        same = (acc["group"] > 0) & (x["v"] - acc["head"] <= tolerance)
-        group = F.when(same, acc["group"]).otherwise(acc["group"] + 1)
-        head = F.when(same, acc["head"]).otherwise(x["v"])
-        return F.struct(head.alias("head"), group.alias("group"), F.concat(acc["out"], F.array(F.struct(x["arm"].alias("arm"), group.alias("group")))).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("head"), F.lit(0).alias("group"), F.expr("CAST(array() AS array<struct<arm:string,group:int>>)").alias("out"))
-    grouped = packed.select(*by, F.posexplode(F.aggregate("xs", start, step, lambda a: a["out"])).alias("pos", "x"))
-    w = Window.partitionBy(*by, "x.group")
-    return grouped.select(*by, F.col("x.arm").alias(arm), (F.avg("pos").over(w) + 1).alias("rank"))
+    w = Window.partitionBy(*by).orderBy("_v", arm)
+    x = df.select(*by, arm, (F.col(value) * sign).alias("_v")).withColumn("_at", F.row_number().over(w) - 1)
+    x = x.withColumn("_run", F.sum(F.coalesce(F.col("_v") - F.lag("_v").over(w) > tolerance, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*by, "_run")
+    wide = F.max("_v").over(run) - F.min("_v").over(run) > tolerance
+    x = x.withColumn("_wide", F.coalesce(wide, F.lit(False))).withColumn("_mid", F.avg("_at").over(run)).withColumn("_first", F.min("_at").over(run))
+    x = x.withColumn("_vs", F.array_sort(F.collect_list(F.when(F.col("_wide"), F.col("_v"))).over(run)))
+    own = F.col("_at") - F.col("_first")
+
+    def step(acc: Column, v: Column) -> Column:
+        same = (acc["i"] > 0) & (v - acc["head"] <= tolerance)
+        start = F.when(same, acc["start"]).otherwise(acc["i"])
+        mine = F.when(acc["i"] == own, start).otherwise(acc["mine"])
+        return F.struct(F.when(same, acc["head"]).otherwise(v).alias("head"), start.alias("start"), mine.alias("mine"),
+                        F.when((acc["i"] < own) | (start == mine), acc["i"]).otherwise(acc["last"]).alias("last"), (acc["i"] + 1).alias("i"))
+
+    zero = F.struct(F.lit(0.0).alias("head"), F.lit(0).alias("start"), F.lit(0).alias("mine"), F.lit(0).alias("last"), F.lit(0).alias("i"))
+    looked = F.aggregate("_vs", zero, step, lambda acc: (acc["mine"] + acc["last"]) / 2)
+    return x.select(*by, arm, (F.when(F.col("_wide"), F.col("_first") + looked).otherwise(F.col("_mid")) + 1).alias("rank"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:

@@ -129,6 +129,12 @@ def test_tolerant_ranks_anchor_at_the_head(spark):
     rows = [("i", "a", 1.0), ("i", "b", 1.0 - 0.8e-9), ("i", "c", 1.0 - 1.6e-9), ("i", "d", 0.2)]
     got = {r["arm"]: r["rank"] for r in tolerant_ranks(spark.createDataFrame(rows, "item string, arm string, v double"), ["item"], "arm", "v").collect()}
     assert got == {"a": 1.5, "b": 1.5, "c": 3.0, "d": 4.0}
+    rng = np.random.default_rng(1)
+    rows = [(f"i{k}", f"a{j}", float(v)) for k in range(40) for j, v in enumerate(np.round(rng.random(9) * 4e-9, 11))]
+    got = {(r["item"], r["arm"]): r["rank"] for r in tolerant_ranks(spark.createDataFrame(rows, "item string, arm string, v double"), ["item"], "arm", "v", ascending=True).collect()}
+    for k in range(40):
+        mine = [x for x in rows if x[0] == f"i{k}"]
+        assert [got[x[0], x[1]] for x in mine] == lb.ranks_of(np.array([x[2] for x in mine])).tolist()
 
 
 def test_bootstrap_refuses_free_text(spark):
