@@ -114,6 +114,7 @@ def stem(word: str) -> str:
 # --- overlaps
 
 _TOKEN = re.compile("[a-z0-9]+")
+# Fixed value: what parts sentences.
 _SENTENCE_GAP = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
 
 

@@ -94,7 +94,10 @@ def bt_strengths(i: np.ndarray, j: np.ndarray, wins: np.ndarray, losses: np.ndar
     todo = np.ones(samples, dtype=bool)
     for _ in range(rounds):
         shared = met / (p[:, i] + p[:, j])
-        drawn = np.stack([(prior / (p + p[:, [k]])).sum(1) for k in range(n)], 1) - prior / (2 * p)
+        if samples * n * n <= RESAMPLED_CELLS:
+            drawn = (prior / (p[:, :, None] + p[:, None, :])).sum(2) - prior / (2 * p)
+        else:
+            drawn = np.stack([(prior / (p + p[:, [k]])).sum(1) for k in range(n)], 1) - prior / (2 * p)
         new = won / (by_arm(shared, shared) + drawn)
         new /= np.exp(np.log(new).mean(1, keepdims=True))
         still = np.abs(new / p - 1).max(1) >= tolerance
@@ -163,10 +166,16 @@ def bradley_terry(comparisons: DataFrame, by: str, resamples: int = 1000, seed:
         for begin in range(0, count, step):
             size = min(step, count - begin)
             times = rng.multinomial(items, np.full(items, 1 / items), size)
-            wins, losses = np.empty((size, len(pair))), np.empty((size, len(pair)))
-            for r in range(size):
-                t = times[r][item]
-                wins[r], losses[r] = np.bincount(cell, up * t, len(pair)), np.bincount(cell, down * t, len(pair))
+            if items * len(pair) <= RESAMPLED_CELLS:
+                won, lost = np.zeros((items, len(pair))), np.zeros((items, len(pair)))
+                np.add.at(won, (item, cell), up)
+                np.add.at(lost, (item, cell), down)
+                wins, losses = times @ won, times @ lost
+            else:
+                wins, losses = np.empty((size, len(pair))), np.empty((size, len(pair)))
+                for r in range(size):
+                    t = times[r][item]
+                    wins[r], losses[r] = np.bincount(cell, up * t, len(pair)), np.bincount(cell, down * t, len(pair))
             reps.append(_refitted(i, j, wins, losses, n, full) if dense else bt_strengths(i, j, wins, losses, n, start=full, tolerance=1e-7))
         all_ = np.concatenate(reps)
         low, high = np.quantile(all_, [0.025, 0.975], axis=0)

@@ -36,7 +36,7 @@ class Catalog:
         return x.select("dataset_id", "item_id", pairs).filter("s.value IS NOT NULL").groupBy("dataset_id", "item_id", F.col("s.metric").alias("metric")).agg(F.avg("s.value").alias("value"))
 
     def recorded_means(self, metric: str) -> DataFrame:
-        """arm, mean: shown for arms without scores by item, never tested."""
+        """arm, mean of a metric over all rows, for display where there are no scores by item to test."""
         return self.facts.groupBy(F.col("config_id").alias("arm")).agg(F.avg(metric).alias("mean"))
 
     def preferred_metrics(self) -> tuple[str, ...]:
