@@ -56,6 +56,17 @@ def test_interval():
     assert low < d.mean() < high
 
 
+def test_pairs_of_more_items_than_a_power_of_two_holds(spark):
+    assert sf.least_p(1) == 1 and sf.least_p(1024) == 2.0**-1023 and sf.least_p(5000) == 0
+    a = np.random.default_rng(2).integers(0, 5, 1100) / 4
+    rows = [("d", k, f"i{i:04}", float(v)) for k, x in (("base", a), ("mine", a[::-1] + 0.25)) for i, v in enumerate(x)]
+    d = a[::-1] + 0.25 - a
+    half = 1.959964 * d.std(ddof=1) / math.sqrt(len(d))
+    got = pr.compare(spark.createDataFrame(rows, SERIES), "base").first()
+    assert (got["n"], got["least_p"]) == (1100, 0) and got["p"] == sf.drawn_p(np.round(d, 9))
+    assert got["low"] == pytest.approx(d.mean() - half, abs=1e-3) and got["high"] == pytest.approx(d.mean() + half, abs=1e-3)
+
+
 def arms(spark):
     rows = [("d", "base", f"e{i}", 0.5) for i in range(10)] + [("d", "better", f"e{i}", 0.6) for i in range(10)] + [("d", "one_item", "e0", 0.9), ("d", "same", "e1", 0.5), ("d", "same", "e2", 0.5)]
     return spark.createDataFrame(rows, SERIES)
