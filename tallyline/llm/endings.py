@@ -2,9 +2,11 @@
 
 ``ContextModel`` is counted from all texts. For the one and two words before a place it
 counts how often a sentence, or a line of a list, ends there and how often it goes on; it also keeps
-the words it has seen inside texts. ``context_model`` counts within tasks and sums by context. ``inspect`` takes off what was put behind the text (marks,
+the words it has seen inside texts. ``context_model`` counts within tasks and sums by context. ``question`` takes off what was put behind the text (marks,
 brackets, rules, tags) and looks at what is left: JSON must parse, fences must close, prose must
-end its sentence, a last list item must be one that could end, a last word must be a word.
+end its sentence, a last list item must be one that could end, a last word must be a word. What only the corpus can tell is
+left as a question of a few words, and ``answer`` looks these up. A model too large for a task holds its most frequent counts;
+questions that it can't answer are joined with the table of all counts (``settled``).
 """
 
 from __future__ import annotations
@@ -14,16 +16,19 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable_table
+from .base import durable_table, joined
 
 WHOLE, CUT, EMPTY = "whole", "cut", "empty"
 #: Ends like a whole text, but with something that could have gone on: cut if the text is as long as its store allows.
 OPEN = "open"
+#: Endings by code, from the best to the worst.
+CODES = {WHOLE: 0, EMPTY: 1, OPEN: 2, CUT: 3}
 
 _SPACE = " \t\r\n ​‌‍⁠﻿­"
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*(?:[_\-]\w+)*|\d+(?:[.,]\d+)*|\w+")
@@ -41,7 +46,7 @@ _TERMINAL = "".join(regex.findall(r"\p{Sentence_Terminal}", "".join(chr(i) for i
 _STOP = re.compile(f"[{re.escape(_TERMINAL)}]")
 #: Scripts that write sentences without a mark at their end (Thai, Lao): such an ending says nothing.
 _UNMARKED = re.compile("[\u0e00-\u0eff]$")
-#: Contexts and words that a model holds; when more were seen twice, the least count is doubled until they fit.
+#: Contexts and words that a model holds in memory; of more, the most frequent, and the others stay in a table.
 MODEL_ENTRIES = 400_000
 #: What is seen less often than once in so many texts may be the rest of a cut word.
 TEXTS_A_COUNT = 20_000
@@ -66,15 +71,24 @@ KINDS = ("ends", "goes_on", "words", "alone")
 
 
 class ContextModel:
-    """Counts of what follows a context; contexts are the last one or two words."""
+    """Counts of what follows a context; contexts are the last one or two words.
+
+    ``table`` has all counts (kind, key, n) if the model holds only a part of them, else it is None. Tasks get the
+    model without the table.
+    """
 
     def __init__(self) -> None:
+        self.table: DataFrame | None = None
+        self.partial = False
         self.ends: Counter = Counter()
         self.goes_on: Counter = Counter()
         self.words: Counter = Counter()
         self.alone: Counter = Counter()
         self.texts = 0
 
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
     def learn(self, texts: Iterable[str]) -> ContextModel:
         """The model of the texts."""
         return self.add(texts).closed()
@@ -151,7 +165,7 @@ class ContextModel:
             if kind == len(KINDS):
                 model.texts = n
                 continue
-            tables[kind][tuple(key.split("\0")) if kind < 2 and "\0" in key else key] = n
+            tables[kind][_entry(kind, key)] = n
         return model
 
     def pruned(self, least: int = 2) -> ContextModel:
@@ -178,13 +192,22 @@ class ContextModel:
         w = word.lower()
         return w in self.words or w in self.alone
 
+    def holds(self, asked: Asked) -> bool:
+        """Whether the model has every count that the answer rests on."""
+        return not self.partial or all(_entry(kind, key) in getattr(self, KINDS[kind]) for kind, key in looked_up(asked))
+
+
+def _entry(kind: int, key: str) -> str | tuple[str, ...]:
+    """The key of a count, as the model's tables have it."""
+    return tuple(key.split("\0")) if kind < 2 and "\0" in key else key
+
 
 def context_model(texts: DataFrame, text: str, entries: int = MODEL_ENTRIES) -> ContextModel:
     """The model counted from every row of ``texts``: summed within tasks, then by context.
 
     What was seen twice or more and once in ``TEXTS_A_COUNT`` texts is kept, so that the model is alike at every size
-    of a corpus; if that is more than ``entries``, the least count is doubled until it fits, which bounds
-    what the driver and the tasks hold. Null texts count for nothing.
+    of a corpus. If that is more than ``entries``, the model holds the most frequent of it, which bounds what the driver and the
+    tasks hold, and is partial: all that is kept stays in ``table``, for settled(). Null texts count for nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,14 +231,87 @@ def context_model(texts: DataFrame, text: str, entries: int = MODEL_ENTRIES) ->
     sizes = whole.agg(*(F.count_if(F.col("n") >= x).alias(str(k)) for k, x in enumerate(steps))).first()
     least = next(x for k, x in enumerate(steps) if sizes[str(k)] <= entries)
     got = whole.filter((F.col("n") >= least) | (F.col("kind") == len(KINDS))).toPandas()
-    return ContextModel.of(zip(got["kind"], got["key"], got["n"], strict=True))
+    model = ContextModel.of(zip(got["kind"], got["key"], got["n"], strict=True))
+    if least > steps[0]:
+        model.partial, model.table = True, whole.filter((F.col("n") >= steps[0]) & (F.col("kind") < len(KINDS)))
+    return model
+
+
+#: What an ending asks of the corpus: a kind of question and the words it is about (see answer).
+Asked = tuple[str, ...]
+
+
+def _context(tokens: list[str]) -> tuple[str, str]:
+    return norm(tokens[-2]) if len(tokens) > 1 else "", norm(tokens[-1])
+
+
+def looked_up(asked: Asked) -> list[tuple[int, str]]:
+    """(kind, key) of all counts that the answer to ``asked`` rests on, as ContextModel.counts() names them."""
+    kind, *words = asked
+    if kind == "version":
+        return [(k, f"{words[0]}\0{x}") for k in (0, 1) for x in ("9.9", "9")]
+    whole = {"known": words, "alone": words[1:], "item": words[:1]}.get(kind, [])
+    keys = [(k, w.lower()) for w in whole for k in (2, 3)]
+    if kind == "alone":
+        keys.append((3, words[0]))
+    if kind in ("item", "number", "dots"):
+        before, last = words[-2:]
+        keys += [(k, x) for k in (0, 1) for x in (f"{before}\0{last}", last)]
+    return list(dict.fromkeys(keys))
+
+
+def answer(asked: Asked, model: ContextModel) -> str:
+    """The ending that a question leaves to the corpus, by kind:
+
+    ``version`` (word): a point after a number, where the word stands before version numbers only; ``known`` (word): a last word; ``alone`` (text,
+    words): a text of one or two words; ``item`` (word, context), ``number`` (context): a last item of a list; ``dots`` (context): prose before
+    an ellipsis.
+    """
+    kind, *words = asked
+    if kind == "version":
+        versions, plain = (model.ends[words[0], x] + model.goes_on[words[0], x] for x in ("9.9", "9"))
+        return CUT if versions > 20 * (plain + 0.2) else OPEN
+    if kind == "known":
+        sound = model.known(words[0])
+    elif kind == "alone":
+        sound = model.alone[words[0]] or (len(words) > 1 and all(map(model.known, words[1:])))
+    else:
+        likely = model.can_end([w for w in words[-2:] if w])
+        sound = likely >= {"item": 0.05, "number": 0.1, "dots": 0.04}[kind] and (kind != "item" or model.known(words[0]))
+    return WHOLE if sound else CUT
+
+
+def settled(rows: DataFrame, model: ContextModel) -> DataFrame:
+    """``rows`` (call_id, ending, asked and others) without ``asked``, with the codes of endings that were left open as questions.
+
+    The distinct questions are joined with the counts they rest on, from the table of all counts, and the answers with the rows.
+    Texts take no part in this. Nothing is done for a model that holds all counts.
+    """
+    if not model.partial:
+        return rows.drop("asked")
+
+    @F.pandas_udf("array<struct<kind: int, key: string>>")
+    def keys(asked: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "key": x} for k, x in looked_up(tuple(a))] for a in asked], dtype=object)
+
+    @F.pandas_udf("int")
+    def told(asked: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([CODES[answer(tuple(a), ContextModel.of((x["kind"], x["key"], x["n"]) for x in c))] for a, c in zip(asked, counts, strict=True)], dtype="int32")
+
+    rows = durable_table(rows)
+    open_ones = rows.filter(F.col("asked").isNotNull())
+    wanted = open_ones.select("asked").distinct().select("asked", F.explode(keys("asked")).alias("k")).select("asked", "k.*")
+    found = wanted.join(model.table, ["kind", "key"], "left").groupBy("asked").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("kind", "key", "n"))).alias("counts"))
+    answers = durable_table(found.select("asked", told("asked", "counts").alias("told")))
+    now = joined(open_ones.drop("ending"), answers, ["asked"], answers.count(), "call_id").withColumnRenamed("told", "ending")
+    return rows.filter(F.col("asked").isNull()).unionByName(now).drop("asked")
 
 
 def _tail_tokens(s: str, n: int = 3) -> list[str]:
     return [m[0] for m in _TOKEN.finditer(s[-160:])][-n:]
 
 
-def _sentence(s: str, model: ContextModel, threshold: float = 0.04) -> str:
+def _sentence(s: str) -> str | Asked:
     """Prose: does it stop at the end of a sentence?"""
     s = s.rstrip(_SPACE)
     dots = s[-1:] in ("…", ".") and bool(_DOTS.search(s))
@@ -228,14 +324,10 @@ def _sentence(s: str, model: ContextModel, threshold: float = 0.04) -> str:
     if bare[-1] in _TERMINAL:
         if bare[-1] == "." and len(bare) > 1 and bare[-2].isdigit():
             t = _tail_tokens(bare, 2)
-            if len(t) == 2 and norm(t[1]) == "9":
-                versions, plain = model.ends[norm(t[0]), "9.9"] + model.goes_on[norm(t[0]), "9.9"], model.ends[norm(t[0]), "9"] + model.goes_on[norm(t[0]), "9"]
-                if versions > 20 * (plain + 0.2):
-                    return CUT
-            return OPEN
+            return ("version", norm(t[0])) if len(t) == 2 and norm(t[1]) == "9" else OPEN
         return WHOLE
-    if dots:
-        return WHOLE if model.can_end(_tail_tokens(bare)) >= threshold else CUT
+    if dots and (t := _tail_tokens(bare)):
+        return "dots", *_context(t)
     return CUT
 
 
@@ -290,7 +382,19 @@ def is_empty(text: str | None) -> bool:
 
 
 def inspect(text: str | None, model: ContextModel) -> str:
-    """``whole``, ``cut``, ``open`` or ``empty`` (see is_empty)."""
+    """``whole``, ``cut``, ``open`` or ``empty`` (see is_empty), by what the model holds."""
+    q = question(text)
+    return q if isinstance(q, str) else answer(q, model)
+
+
+def judged(text: str | None, model: ContextModel) -> str | Asked:
+    """As inspect(); the question itself where a partial model does not hold the answer."""
+    q = question(text)
+    return answer(q, model) if not isinstance(q, str) and model.holds(q) else q
+
+
+def question(text: str | None) -> str | Asked:
+    """``whole``, ``cut``, ``open`` or ``empty`` (see is_empty), or what has to be asked of the corpus to tell."""
     if is_empty(text):
         return EMPTY
     s = text.rstrip(_SPACE)
@@ -310,12 +414,12 @@ def inspect(text: str | None, model: ContextModel) -> str:
                 return CUT
             rest = rest.strip(_SPACE + "`")
             if rest and len(_TOKEN.findall(rest)) > 1:
-                return _tail(rest, model)
+                return _tail(rest)
             said = _strings(value)
             if said and len(said[-1].split()) >= 3:
-                return _tail(said[-1], model)
+                return _tail(said[-1])
             longest = max(said, key=len, default="")
-            return _tail(longest, model) if len(longest.split()) >= 5 else WHOLE
+            return _tail(longest) if len(longest.split()) >= 5 else WHOLE
     if fences and s.endswith("```"):
         body = s[: s.rstrip("`").__len__()].rstrip(_SPACE)
         opened = body.rfind("```")
@@ -325,10 +429,10 @@ def inspect(text: str | None, model: ContextModel) -> str:
         return WHOLE
     if marked and not s.rstrip(_CLOSERS).endswith(tuple(_TERMINAL)):
         return CUT
-    return _tail(s, model)
+    return _tail(s)
 
 
-def _tail(s: str, model: ContextModel) -> str:
+def _tail(s: str) -> str | Asked:
     """Prose, lists, labels, headings and sign-offs."""
     s = s.rstrip(_SPACE)
     if not s:
@@ -336,7 +440,7 @@ def _tail(s: str, model: ContextModel) -> str:
     line = s[s.rfind("\n") + 1 :]
     bare = _DOTS.sub("", line).rstrip(_CLOSERS + _SPACE)
     if bare and bare[-1] in _TERMINAL and not re.fullmatch(r"\s*(?:\d{1,3}[.)]|[-*+])", bare):
-        return _sentence(s, model)
+        return _sentence(s)
     several = "\n" in s
     tokens = _tail_tokens(bare)
     if several and not tokens:
@@ -345,27 +449,20 @@ def _tail(s: str, model: ContextModel) -> str:
         body = _ITEM.sub("", bare)
         above = s[: s.rfind("\n")].rstrip(_SPACE).split("\n")[-1]
         if above and _ITEM.match(above) and above.rstrip(_CLOSERS + _SPACE)[-1:] in _TERMINAL:
-            return _sentence(line, model)  # items of this list are sentences
+            return _sentence(line)  # items of this list are sentences
         t = _tail_tokens(body)
         if not t or (line.count("(") > line.count(")")):
             return CUT
-        if t[-1][0].isdigit() and model.can_end(t) < 0.1:
-            return CUT
-        if not t[-1][0].isdigit() and not model.known(t[-1]):
-            return CUT
-        return WHOLE if model.can_end(t) >= 0.05 else CUT
+        return ("number", *_context(t)) if t[-1][0].isdigit() else ("item", t[-1].lower(), *_context(t))
     if _aside(line, several):
         if line.count("(") > line.count(")") or line.count("[") > line.count("]"):
             return CUT
         if _NUMBER_END.search(bare) or line.rstrip().endswith((")", "]")):
             return WHOLE
-        return WHOLE if tokens and model.known(tokens[-1]) else CUT
+        return ("known", tokens[-1].lower()) if tokens else CUT
     if not several and len(line) < 40 and len(line.split()) <= 2:
-        word = bare.strip(" .!").lower()
-        if model.alone[word] or (tokens and all(model.known(t) for t in tokens)):
-            return WHOLE
-        return CUT
-    return _sentence(s, model)
+        return "alone", bare.strip(" .!").lower(), *(t.lower() for t in tokens)
+    return _sentence(s)
 
 
 _ASIDE = (

@@ -247,11 +247,14 @@ class Judge:
     def __getstate__(self):
         return {"contexts": self.contexts, "languages": self.languages}
 
-    def examine(self, prompt: str | None, response: str | None, lang: str | None = None) -> tuple[str | None, str]:
-        """(defect apart from truncation, ending of the response). Without a prompt only the response is looked at."""
+    def examine(self, prompt: str | None, response: str | None, lang: str | None = None) -> tuple[str | None, str | endings.Asked]:
+        """(defect apart from truncation, ending of the response, or what it asks of counts that the model does not hold).
+
+        Without a prompt only the response is looked at. The language of a response that turns out to be cut does not count (see defects).
+        """
         if endings.is_empty(response):
             return EMPTY, endings.EMPTY
-        ending = endings.inspect(response, self.contexts)
+        ending = endings.judged(response, self.contexts)
         said = self.prose(response)
         if refuses(said if said else response):
             return REFUSAL, ending
@@ -348,15 +351,17 @@ def examined(pairs: DataFrame, judge: Judge) -> DataFrame:
     source = F.coalesce("source", F.lit("")) if "source" in pairs.columns else F.lit("")
     named = truncation.lengths(F.coalesce("output", F.lit("")))
     rows = pairs.select("call_id", source.alias("source"), "prompt", "output", "lang", *(c.cast("int").alias(n) for n, c in named.items()))
-    code, names = {d: i for i, d in enumerate(DEFECTS)}, ["call_id", "source", "code", "ending", *named]
+    code, names = {d: i for i, d in enumerate(DEFECTS)}, ["call_id", "source", "code", "ending", "asked", *named]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [judge.examine(*x) for x in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-            codes, ends = pa.array([code.get(d) for d, _ in got], pa.int32()), pa.array([truncation.CODES[e] for _, e in got], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), codes, ends, *b.columns[5:]], names=names)
+            codes, ends = pa.array([code.get(d) for d, _ in got], pa.int32()), pa.array([truncation.CODES[e] if isinstance(e, str) else None for _, e in got], pa.int32())
+            asked = pa.array([None if isinstance(e, str) else list(e) for _, e in got], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), codes, ends, asked, *b.columns[5:]], names=names)
 
-    found = rows.mapInArrow(run, "call_id long, source string, code int, ending int, " + ", ".join(f"{n} int" for n in named))
+    found = rows.mapInArrow(run, "call_id long, source string, code int, ending int, asked array<string>, " + ", ".join(f"{n} int" for n in named))
+    found = endings.settled(found, judge.contexts)
     return found.groupBy("call_id", "source").agg(F.min("code").alias("code"), F.max("ending").alias("ending"), *(F.max(n).alias(n) for n in named))
 
 

@@ -20,7 +20,7 @@ from .base import durable
 
 #: The encodings under which lengths are taken.
 LENGTHS = ("characters", "utf8_bytes", "utf16_units", "html_characters", "html_bytes", "json_ascii", "json_characters", "json_bytes", "crlf_characters", "crlf_bytes")
-CODES = {endings.WHOLE: 0, endings.EMPTY: 1, endings.OPEN: 2, endings.CUT: 3}
+CODES = endings.CODES
 
 
 def lengths(text: Column) -> dict[str, Column]:
@@ -44,13 +44,15 @@ def lengths(text: Column) -> dict[str, Column]:
 
 
 def inspector(model: endings.ContextModel):
-    """A column function: text to the code of its ending."""
+    """A column function: text to the code of its ending, or to what it asks of counts that the model does not hold."""
     shared = {}
 
-    @F.pandas_udf("int")
-    def code(text: pd.Series) -> pd.Series:
+    @F.pandas_udf("ending int, asked array<string>")
+    def code(text: pd.Series) -> pd.DataFrame:
         m = shared.setdefault("m", model)
-        return pd.Series([CODES[endings.inspect(t, m)] for t in text], dtype="int32")
+        got = [endings.judged(t, m) for t in text]
+        ending = pd.array([CODES[x] if isinstance(x, str) else None for x in got], dtype="Int32")
+        return pd.DataFrame({"ending": ending, "asked": pd.Series([None if isinstance(x, str) else list(x) for x in got], dtype=object)})
 
     return code
 
@@ -61,9 +63,10 @@ def records(texts: DataFrame) -> DataFrame:
     Null and empty texts have code 1; of repeated rows the worst ending counts. Whole texts are
     read once and dropped; what is shuffled is a few numbers a text.
     """
-    code = inspector(endings.context_model(texts, "text"))
+    model = endings.context_model(texts, "text")
     named = lengths(F.coalesce("text", F.lit("")))
-    flat = texts.select("call_id", F.coalesce("source", F.lit("")).alias("source"), code("text").alias("ending"), *(c.cast("int").alias(n) for n, c in named.items()))
+    flat = texts.select("call_id", F.coalesce("source", F.lit("")).alias("source"), inspector(model)("text").alias("x"), *(c.cast("int").alias(n) for n, c in named.items()))
+    flat = endings.settled(flat.select("call_id", "source", "x.*", *named), model)
     return flat.groupBy("call_id", "source").agg(F.max("ending").alias("ending"), *(F.max(n).alias(n) for n in named))
 
 

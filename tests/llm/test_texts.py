@@ -144,6 +144,33 @@ def test_counts_over_tasks_are_those_of_one(spark):
     assert en.context_model(spark.createDataFrame([(t,) for t in texts], "t string"), "t", entries=5).held() <= 5
 
 
+def test_answers_rest_on_the_counts_that_are_looked_up(model):
+    counts = {(kind, key): n for kind, key, n in model.counts()}
+    texts = [*WHOLE, *CUT, "- a\n- in version 3", "It is version 9.", "qzx", "The log takes qzx…", "- the key\n- the qzx", "The key.\n\n# the qzx"]
+    asked = {t: q for t in texts if not isinstance(q := en.question(t), str)}
+    assert {q[0] for q in asked.values()} == {"version", "known", "alone", "item", "number", "dots"}
+    for t, q in asked.items():
+        own = en.ContextModel.of((*k, counts[k]) for k in en.looked_up(q) if k in counts)
+        assert en.answer(q, own) == en.inspect(t, model)
+
+
+def test_endings_do_not_depend_on_what_a_model_holds(spark, monkeypatch):
+    def found():
+        rec = sorted((tuple(r) for r in tr.records(texts).collect()), key=str)
+        bad = sorted((r["call_id"], r["defect"]) for r in pa.defects(pairs, pa.learn(pairs)).collect())
+        return rec, bad
+
+    texts, pairs = spark.read.parquet(f"{DATA}/completions.parquet"), spark.read.parquet(f"{DATA}/results.parquet")
+    more = [(i, "s", t) for i, t in enumerate([*WHOLE, *CUT, "qzx", None, ""] * 2, 10**6)] + [(None, None, "The log takes qzx…")]
+    texts = texts.select("call_id", "source", "text").unionByName(spark.createDataFrame(more, "call_id long, source string, text string"))
+    whole = found()
+    for entries in (0, 300):
+        monkeypatch.setattr(en.context_model, "__defaults__", (entries,))
+        assert en.context_model(texts, "text").held() <= entries
+        assert found() == whole
+        assert en.context_model(texts, "text").partial
+
+
 def test_open_endings_at_a_limit_are_truncated_in_both(spark):
     rows = [(i, "s", "Say it.", "The log takes the key in round " + "x" * (i % 9) + " before 1.", "en") for i in range(20)]
     df = spark.createDataFrame(rows, "call_id long, source string, prompt string, output string, lang string")
